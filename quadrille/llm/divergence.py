@@ -11,14 +11,11 @@ names. Repeated rows are judged alike.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, small_enough, words
+from .common import WHITE, small_enough, words, written
 
-SYMBOLS = "#*$%&|<>"
 #: Character classes of the histogram, in order.
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
 #: Languages whose references may be broadcast: about 40 short words each, so 8 MB at most.
@@ -50,16 +47,6 @@ def _dup_lines(text: Column) -> Column:
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def _with_base(df: DataFrame) -> DataFrame:
-    """Adds __words and the base columns."""
-    df = df.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("text")))
-    df = _repeat_words(df).drop("__windows", "__sorted", "__at")
-    df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
-    symbols = reduce(lambda a, b: a + b, (F.octet_length("__text") - F.octet_length(F.replace("__text", F.lit(c), F.lit(""))) for c in SYMBOLS))
-    df = df.withColumn("n_symbols", symbols.cast("long")).withColumn("n_dup_lines", _dup_lines(F.col("__text")))
-    return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-
-
 def _with_class_counts(df: DataFrame, name: str) -> DataFrame:
     """Adds the counts of CLASSES in __text, one array of doubles. Each regular expression runs once a text."""
     n = F.length("__text")
@@ -69,6 +56,16 @@ def _with_class_counts(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.concat("__parts", F.array(rest)).cast("array<double>")).drop("__parts")
 
 
+def _with_base(df: DataFrame) -> DataFrame:
+    """Adds __text, __words, __classes (their counts) and the base columns; symbols and space are classes, counted once."""
+    df = df.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("text")))
+    df = _with_class_counts(_repeat_words(df).drop("__windows", "__sorted", "__at"), "__classes")
+    count = lambda c: F.get("__classes", CLASSES.index(c)).cast("long")
+    df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length("__text") - count("space"))
+    df = df.withColumn("n_symbols", count("symbol")).withColumn("n_dup_lines", _dup_lines(F.col("__text")))
+    return df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+
+
 def _with_shares(df: DataFrame, counts: str) -> DataFrame:
     """Turns an array of counts into shares; the sum is a column of its own, else each element would sum anew."""
     df = df.withColumn("__sum", F.greatest(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x), F.lit(1.0)))
@@ -94,7 +91,9 @@ def language_references(docs: DataFrame, *, n_common: int = 40, max_word: int =
         .agg(*(F.sum(F.col("c")[i]).alias(c) for i, c in enumerate(CLASSES)), F.sum("n").alias("total"))
     )
     short = df.select("lang", F.explode(words(F.col("__text"))).alias("word")).where(F.length("word") <= max_word).groupBy("lang", "word").count()
+    # a row a language; written, since it is needed twice
     totals = _with_shares(by_class.select("lang", "total", F.array(*CLASSES).alias("class_shares")), "class_shares")
+    totals = written(totals)
     # at most 1 / min_share words of a language pass, so the list below is bounded
     frequent = short.join(totals.select("lang", "total"), "lang").where(F.col("count") >= min_share * F.col("total"))
     ranked = frequent.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("k"), "word"))), 1, n_common).alias("top"))
@@ -113,7 +112,7 @@ def judge(
     kept: the base rule passes, and neither histogram is farther from its language than the limit; the
     distances are null, and not held against a text, below min_words or min_language_words.
     """
-    references = language_references(docs) if references is None else references
+    references = written(language_references(docs)) if references is None else references
     ref = references.select("lang", F.struct("words", "word_shares", "class_shares", "total").alias("__ref")).withColumnRenamed("lang", "__lang")
     if small_enough(ref, MAX_BROADCAST_LANGUAGES):
         ref = F.broadcast(ref)
@@ -121,7 +120,7 @@ def judge(
     df = _with_base(df.withColumn("__lang", F.coalesce("lang", F.lit("")))).join(ref, "__lang", "left")
     r = F.col("__ref")
     judged = (F.col("n_words") >= min_words) & (r["total"] >= min_language_words)
-    df = _with_shares(_with_class_counts(df, "__classes"), "__classes")
+    df = _with_shares(df, "__classes")
     df = df.withColumn("class_distance", F.when(judged, jensen_shannon(F.col("__classes"), r["class_shares"])))
     # which common word each word is, the others dropped; then how often each occurs
     df = df.withColumn("__which", F.when(judged, F.array_remove(F.transform("__words", lambda w: F.array_position(r["words"], w)), F.lit(0))))

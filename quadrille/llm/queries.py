@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, divergence, jaccard, line_runs, quotes, warc
+from . import containment, crf, divergence, jaccard, line_runs, maxplus, quotes, token_files, warc
 from .common import table
 
 
+def op1_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the patterns' spans and those of the random field."""
+    model = crf.fitted(crf.labelled_table(spark))
+    out = crf.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return out.drop("text")
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules: base counts and the verdict of the language histograms for every document."""
     out = divergence.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_maxplus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding of all documents by the max-plus scan, and whether decoding gives the text back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    out = maxplus.decode(maxplus.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup: what each document loses as later copies of repeated line runs, and the rest's digest."""
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"))
@@ -32,6 +46,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Arrow files of fixed-size sequences and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotation linking: what each message replies to, its place in reply order, and its body without quotes."""
     out = quotes.linked_conversations(table(spark, sf_dir, "conversations"))
@@ -45,7 +70,7 @@ def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_divergence": op2_divergence, "op4_quotes": op4_quotes, "op5_containment": op5_containment, "op8_line_runs": op8_line_runs, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+    return {"op1_crf": op1_crf, "op2_divergence": op2_divergence, "op3_token_files": op3_token_files, "op4_quotes": op4_quotes, "op5_containment": op5_containment, "op6_maxplus": op6_maxplus, "op8_line_runs": op8_line_runs, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 
 OP5_SQL = r"""
