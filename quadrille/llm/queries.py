@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, crf, divergence, jaccard, line_runs, maxplus, quotes, token_files, warc
+from . import containment, crf, divergence, jaccard, line_runs, maxplus, quotes, suffixes, token_files, warc
 from .common import table
 
 
@@ -29,6 +29,12 @@ def op6_maxplus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix dedup: what each document loses to strings of 200 bytes that start anywhere else too."""
+    out = suffixes.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup: what each document loses as later copies of repeated line runs, and the rest's digest."""
     out = line_runs.line_dedup(table(spark, sf_dir, "documents"))
@@ -70,7 +76,7 @@ def op5_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_crf": op1_crf, "op2_divergence": op2_divergence, "op3_token_files": op3_token_files, "op4_quotes": op4_quotes, "op5_containment": op5_containment, "op6_maxplus": op6_maxplus, "op8_line_runs": op8_line_runs, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
+    return {"op1_crf": op1_crf, "op2_divergence": op2_divergence, "op3_token_files": op3_token_files, "op4_quotes": op4_quotes, "op5_containment": op5_containment, "op6_maxplus": op6_maxplus, "op7_suffixes": op7_suffixes, "op8_line_runs": op8_line_runs, "op9_warc": op9_warc, "op10_jaccard": op10_jaccard}
 
 
 OP5_SQL = r"""
