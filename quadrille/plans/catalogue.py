@@ -1,9 +1,484 @@
-"""The registered queries of the triple engine and their SQL."""
+"""The registered queries of the triple engine, each a plan or an operator over the test tables, and the same as SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strings, terms
+from ..functions.terms import Keyword
+from ..operators import claims, graph, history, profile, schema
+from ..sources.tables import event_log, operations, propositions, read, tagged
+from .evaluate import Source, run
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# the tables as propositions
+
+_IDS = {"customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey", "nation": "n_nationkey", "region": "r_regionkey", "documents": "doc_id"}
+_REFERENCES = {"o_custkey": "customer", "c_nationkey": "nation", "s_nationkey": "nation", "n_regionkey": "region"}
+
+
+def facts(spark: SparkSession, sf_dir: str, *wanted: str) -> Source:
+    """The propositions of columns, given as table.column; row ids are unique, so no row comes twice."""
+    by_table: dict[str, list[str]] = {}
+    for x in wanted:
+        by_table.setdefault(x.split(".")[0], []).append(x.split(".")[1])
+    parts = None
+    for t, columns in by_table.items():
+        row_id = F.concat_ws("-", F.lit("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") if t == "lineitem" else tagged(t)(F.col(_IDS[t]))
+        p = propositions(read(spark, sf_dir, t), row_id, columns, {c: tagged(_REFERENCES[c]) for c in columns if c in _REFERENCES})
+        parts = p if parts is None else parts.unionAll(p)
+    return Source(parts, distinct=True)
+
+
+def v(name: str) -> dict:
+    return {"var": name}
+
+
+def has(subject, column: str, value) -> dict:
+    return {"rel": "triple", "args": [subject, Keyword(f":{column}"), value]}
+
+
+def rule(name: str, args: list, *body: dict) -> dict:
+    return {"head": {"rel": name, "args": args}, "body": list(body)}
+
+
+def scalars(df: DataFrame, **columns: str) -> DataFrame:
+    """name="c0.s": the payload as a plain column."""
+    return df.select(*(F.col(x).alias(n) for n, x in columns.items()))
+
+
+# joins, union, negation
+
+
+@query("join_kind_title", "select 'orders:' || o_orderkey as order_id, o_totalprice as total from customer join orders on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
+def flagship(spark, sf_dir):
+    plan = {"find": "out", "rules": [rule("out", [v("o"), v("t")], has(v("c"), "c_mktsegment", "BUILDING"), has(v("o"), "o_custkey", v("c")), has(v("o"), "o_totalprice", v("t")))]}
+    return scalars(run(plan, facts(spark, sf_dir, "customer.c_mktsegment", "orders.o_custkey", "orders.o_totalprice"), spark), order_id="c0.s", total="c1.f")
+
+
+@query("join_path", "select c_name as customer, r_name as region from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def join_path(spark, sf_dir):
+    plan = {"find": "out", "rules": [rule("out", [v("n"), v("r")], has(v("c"), "c_name", v("n")), has(v("c"), "c_nationkey", v("x")), has(v("x"), "n_regionkey", v("y")), has(v("y"), "r_name", v("r")))]}
+    return scalars(run(plan, facts(spark, sf_dir, "customer.c_name", "customer.c_nationkey", "nation.n_regionkey", "region.r_name"), spark), customer="c0.s", region="c1.s")
+
+
+@query("cross_pairs", "select a.n_name as a, b.r_name as b from nation a, region b")
+def cross_pairs(spark, sf_dir):
+    plan = {"find": "out", "rules": [rule("out", [v("a"), v("b")], has(v("x"), "n_name", v("a")), has(v("y"), "r_name", v("b")))]}
+    return scalars(run(plan, facts(spark, sf_dir, "nation.n_name", "region.r_name"), spark), a="c0.s", b="c1.s")
+
+
+@query("rule_union", "select c_name as name from customer where c_nationkey = 7 union select s_name from supplier where s_nationkey = 7")
+def rule_union(spark, sf_dir):
+    plan = {"find": "out", "rules": [rule("out", [v("n")], has(v("x"), "c_nationkey", "nation:7"), has(v("x"), "c_name", v("n"))), rule("out", [v("n")], has(v("x"), "s_nationkey", "nation:7"), has(v("x"), "s_name", v("n")))]}
+    return scalars(run(plan, facts(spark, sf_dir, "customer.c_nationkey", "customer.c_name", "supplier.s_nationkey", "supplier.s_name"), spark), name="c0.s")
+
+
+@query("intersect_rules", "select 'nation:' || c_nationkey as nation from customer where c_mktsegment = 'BUILDING' intersect select 'nation:' || s_nationkey from supplier")
+def intersect_rules(spark, sf_dir):
+    plan = {
+        "find": "both",
+        "strata": [
+            [rule("a", [v("n")], has(v("x"), "c_mktsegment", "BUILDING"), has(v("x"), "c_nationkey", v("n"))), rule("b", [v("n")], has(v("y"), "s_nationkey", v("n")))],
+            [rule("both", [v("n")], {"rel": "a", "args": [v("n")]}, {"rel": "b", "args": [v("n")]})],
+        ],
+    }
+    return scalars(run(plan, facts(spark, sf_dir, "customer.c_mktsegment", "customer.c_nationkey", "supplier.s_nationkey"), spark), nation="c0.s")
+
+
+@query("negation_except", "select 'customer:' || c_custkey as customer from customer where c_custkey not in (select o_custkey from orders)")
+def negation_except(spark, sf_dir):
+    plan = {"find": "out", "strata": [[rule("buys", [v("c")], has(v("o"), "o_custkey", v("c")))], [rule("out", [v("c")], has(v("c"), "c_name", v("n")), {"rel": "buys", "args": [v("c")], "neg": True})]]}
+    return scalars(run(plan, facts(spark, sf_dir, "orders.o_custkey", "customer.c_name"), spark), customer="c0.s")
+
+
+@query("self_unify", "select distinct 'lineitem-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as line, l_partkey as k from lineitem where l_partkey = l_suppkey")
+def self_unify(spark, sf_dir):
+    plan = {
+        "find": "out",
+        "strata": [
+            [rule("pair", [v("l"), v("p"), v("s")], has(v("l"), "l_partkey", v("p")), has(v("l"), "l_suppkey", v("s")))],
+            [rule("out", [v("l"), v("x")], {"rel": "pair", "args": [v("l"), v("x"), v("x")]})],
+        ],
+    }
+    return scalars(run(plan, facts(spark, sf_dir, "lineitem.l_partkey", "lineitem.l_suppkey"), spark), line="c0.s", k="c1.i")
+
+
+@query("theta_join", "select 'part:' || a.p_partkey as a, 'part:' || b.p_partkey as b from part a join part b on a.p_type = b.p_type and a.p_size = b.p_size and a.p_retailprice < b.p_retailprice")
+def theta_join(spark, sf_dir):
+    body = [has(v(x), c, v(y)) for x, c, y in (("a", "p_type", "t"), ("a", "p_size", "s"), ("a", "p_retailprice", "p"), ("b", "p_type", "t"), ("b", "p_size", "s"), ("b", "p_retailprice", "q"))]
+    plan = {"find": "out", "rules": [rule("out", [v("a"), v("b")], *body, {"pred": "lt", "args": [v("p"), v("q")]})]}
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_type", "part.p_size", "part.p_retailprice"), spark), a="c0.s", b="c1.s")
+
+
+# comparisons and arithmetic
+
+
+def _compared(op: str) -> Query:
+    def q(spark, sf_dir):
+        plan = {"find": "out", "rules": [rule("out", [v("p"), v("s")], has(v("p"), "p_size", v("s")), {"pred": op, "args": [v("s"), 25]})]}
+        return scalars(run(plan, facts(spark, sf_dir, "part.p_size"), spark), part="c0.s", size="c1.i")
+
+    return q
+
+
+for _op, _sign in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    query(f"cmp_{_op}", f"select 'part:' || p_partkey as part, p_size::bigint as size from part where p_size {_sign} 25")(_compared(_op))
+
+
+def _computed(op: str, payload: str) -> Query:
+    def q(spark, sf_dir):
+        body = [has(v("p"), "p_size", v("s")), {"fn": "-", "args": [v("s"), 20], "bind": "d"}, {"fn": op, "args": [v("d"), 7], "bind": "x"}, {"fn": op, "args": [7, v("d")], "bind": "y"}]
+        plan = {"find": "out", "rules": [rule("out", [v("p"), v("x"), v("y")], *body)]}
+        return scalars(run(plan, facts(spark, sf_dir, "part.p_size"), spark), part="c0.s", x=f"c1.{payload}", y=f"c2.{payload}")
+
+    return q
+
+
+_D = "(p_size - 20)::bigint"
+for _name, _op, _payload, _x, _y, _keep in (
+    ("add", "+", "i", f"{_D} + 7", f"7 + {_D}", "true"),
+    ("sub", "-", "i", f"{_D} - 7", f"7 - {_D}", "true"),
+    ("mul", "*", "i", f"{_D} * 7", f"7 * {_D}", "true"),
+    ("div", "/", "f", f"{_D}::double / 7", f"7::double / {_D}", "p_size <> 20"),
+    ("mod", "mod", "i", f"(({_D} % 7) + 7) % 7", f"((7 % {_D}) + {_D}) % {_D}", "p_size <> 20"),
+):
+    query(f"arith_{_name}", f"select 'part:' || p_partkey as part, {_x} as x, {_y} as y from part where {_keep}")(_computed(_op, _payload))
+
+
+@query("arith_chain", "select 'part:' || p_partkey as part, (p_size * 2 + p_partkey)::bigint as x from part where p_size * 2 + p_partkey > 500")
+def arith_chain(spark, sf_dir):
+    source = facts(spark, sf_dir, "part.p_size", "part.p_partkey")
+    body = [has(v("p"), "p_size", v("s")), has(v("p"), "p_partkey", v("k")), {"fn": "*", "args": [v("s"), 2], "bind": "d"}, {"fn": "+", "args": [v("d"), v("k")], "bind": "x"}, {"pred": "gt", "args": [v("x"), 500]}]
+    return scalars(run({"find": "out", "rules": [rule("out", [v("p"), v("x")], *body)]}, source, spark), part="c0.s", x="c1.i")
+
+
+# aggregates, order, limit
+
+_BRAND = [rule("sized", [v("b"), v("p"), v("s")], has(v("p"), "p_brand", v("b")), has(v("p"), "p_size", v("s")))]
+
+
+def _aggregate(agg: list[dict], group=(0,), **more) -> dict:
+    return {"find": {"rel": "sized", "group": list(group), "agg": agg, **more}, "rules": _BRAND}
+
+
+def _aggregated(op: str, payload: str) -> Query:
+    def q(spark, sf_dir):
+        agg = {"op": op} if op == "count" else {"op": op, "arg": 2}
+        return scalars(run(_aggregate([agg]), facts(spark, sf_dir, "part.p_brand", "part.p_size"), spark), brand="c0.s", x=f"c1.{payload}")
+
+    return q
+
+
+for _op, _payload, _x in (("count", "i", "count(*)"), ("count-distinct", "i", "count(distinct p_size)"), ("sum", "i", "sum(p_size)::bigint"), ("avg", "f", "sum(p_size)::double / count(*)"), ("min", "i", "min(p_size)::bigint"), ("max", "i", "max(p_size)::bigint")):
+    query(f"agg_{_op.replace('-', '_')}", f"select p_brand as brand, {_x} as x from part group by 1")(_aggregated(_op, _payload))
+
+
+@query("agg_having", "select p_brand as brand, count(*) as n, sum(p_size)::bigint as total from part group by 1 having count(*) >= 80 and sum(p_size) < 2300")
+def agg_having(spark, sf_dir):
+    plan = _aggregate([{"op": "count"}, {"op": "sum", "arg": 2}], having=[{"op": "ge", "agg": 0, "val": 80}, {"op": "lt", "agg": 1, "val": 2300}])
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_brand", "part.p_size"), spark), brand="c0.s", n="c1.i", total="c2.i")
+
+
+@query("agg_global", "select count(*) as n, min(p_size)::bigint as low, max(p_size)::bigint as high from part")
+def agg_global(spark, sf_dir):
+    plan = _aggregate([{"op": "count"}, {"op": "min", "arg": 2}, {"op": "max", "arg": 2}], group=())
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_brand", "part.p_size"), spark), n="c0.i", low="c1.i", high="c2.i")
+
+
+@query("agg_empty", "select count(*) as n from part where p_size < 0 having count(*) > 0")
+def agg_empty(spark, sf_dir):
+    plan = {"find": {"rel": "none", "group": [], "agg": [{"op": "count"}]}, "rules": [rule("none", [v("p")], has(v("p"), "p_size", v("s")), {"pred": "lt", "args": [v("s"), 0]})]}
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_size"), spark), n="c0.i")
+
+
+@query("agg_topk", "select p_brand as brand, sum(p_size)::bigint as total from part group by 1 order by 2 desc, 1 limit 5")
+def agg_topk(spark, sf_dir):
+    plan = _aggregate([{"op": "sum", "arg": 2}]) | {"order-by": [{"column": 1, "direction": "desc"}, {"column": 0, "direction": "asc"}], "limit": 5}
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_brand", "part.p_size"), spark), brand="c0.s", total="c1.i")
+
+
+@query("agg_join_lines", "select o_orderpriority as priority, count(*) as n, sum(l_quantity) as quantity from orders join (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem) on l_orderkey = o_orderkey group by 1")
+def agg_join_lines(spark, sf_dir):
+    """The line's order as a reference, so that lines join their orders; quantities are whole, so sums are exact."""
+    lines = read(spark, sf_dir, "lineitem")
+    row_id = F.concat_ws("-", F.lit("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    props = propositions(lines, row_id, ["l_orderkey", "l_quantity"], {"l_orderkey": tagged("orders")}).unionAll(facts(spark, sf_dir, "orders.o_orderpriority").of)
+    body = [has(v("l"), "l_orderkey", v("o")), has(v("l"), "l_quantity", v("q")), has(v("o"), "o_orderpriority", v("p"))]
+    plan = {"find": {"rel": "out", "group": [0], "agg": [{"op": "count"}, {"op": "sum", "arg": 2}]}, "rules": [rule("out", [v("p"), v("l"), v("q")], *body)]}
+    return scalars(run(plan, Source(props, distinct=True), spark), priority="c0.s", n="c1.i", quantity="c2.f")
+
+
+@query("order_topk", "select 'orders:' || o_orderkey as order_id, o_totalprice as total from orders order by o_totalprice desc, o_orderkey limit 10")
+def order_topk(spark, sf_dir):
+    plan = {"find": "out", "rules": [rule("out", [v("o"), v("t")], has(v("o"), "o_totalprice", v("t")))], "order-by": [{"column": 1, "direction": "desc"}], "limit": 10}
+    return scalars(run(plan, facts(spark, sf_dir, "orders.o_totalprice"), spark), order_id="c0.s", total="c1.f")
+
+
+@query("order_mixed", "select p_brand as brand, p_size::bigint as size, 'part:' || p_partkey as part from part order by p_brand desc, p_size, 3 limit 50")
+def order_mixed(spark, sf_dir):
+    order = [{"column": 0, "direction": "desc"}, {"column": 2, "direction": "asc"}, {"column": 1, "direction": "asc"}]
+    return scalars(run({"find": "sized", "rules": _BRAND, "order-by": order, "limit": 50}, facts(spark, sf_dir, "part.p_brand", "part.p_size"), spark), brand="c0.s", size="c2.i", part="c1.s")
+
+
+# recursion
+
+_EDGE_SQL = "select distinct user_id as src, cast(regexp_extract(props, '\"k\": *([0-9]+)', 1) as bigint) % 15 as dst from events"
+
+
+def _edges(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("src"), (F.get_json_object("props", "$.k").cast("bigint") % 15).alias("dst")).distinct()
+
+
+def _edge_facts(spark, sf_dir) -> Source:
+    e = _edges(spark, sf_dir)
+    return Source(e.select(terms.integer(F.col("src")).alias("t1"), terms.literal(Keyword(":edge")).alias("t2"), terms.integer(F.col("dst")).alias("t3")), distinct=True)
+
+
+@query("closure_users", f"with recursive e as ({_EDGE_SQL}), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src, dst from r where src <> dst")
+def closure_users(spark, sf_dir):
+    """Linear recursion over a graph with cycles."""
+    rules = [rule("reach", [v("a"), v("b")], has(v("a"), "edge", v("b"))), rule("reach", [v("a"), v("c")], {"rel": "reach", "args": [v("a"), v("b")]}, has(v("b"), "edge", v("c")))]
+    plan = {"find": "out", "strata": [rules, [rule("out", [v("a"), v("b")], {"rel": "reach", "args": [v("a"), v("b")]}, {"pred": "ne", "args": [v("a"), v("b")]})]]}
+    return scalars(run(plan, _edge_facts(spark, sf_dir), spark), src="c0.i", dst="c1.i")
+
+
+@query("closure_nonlinear", f"with recursive e as ({_EDGE_SQL}), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src, dst from r")
+def closure_nonlinear(spark, sf_dir):
+    reach = lambda a, b: {"rel": "reach", "args": [v(a), v(b)]}
+    rules = [rule("reach", [v("a"), v("b")], has(v("a"), "edge", v("b"))), rule("reach", [v("a"), v("c")], reach("a", "b"), reach("b", "c"))]
+    return scalars(run({"find": "reach", "rules": rules}, _edge_facts(spark, sf_dir), spark), src="c0.i", dst="c1.i")
+
+
+@query("reach_region", "select 'customer:' || c_custkey as a, 'region:' || n_regionkey as b from customer join nation on c_nationkey = n_nationkey union all select 'customer:' || c_custkey, 'nation:' || c_nationkey from customer union all select 'nation:' || n_nationkey, 'region:' || n_regionkey from nation")
+def reach_region(spark, sf_dir):
+    up = lambda a, b: {"rel": "up", "args": [v(a), v(b)]}
+    first = [rule("up", [v("a"), v("b")], has(v("a"), c, v("b"))) for c in ("c_nationkey", "n_regionkey")]
+    plan = {"find": "within", "strata": [first, [rule("within", [v("a"), v("b")], up("a", "b")), rule("within", [v("a"), v("c")], {"rel": "within", "args": [v("a"), v("b")]}, up("b", "c"))]]}
+    return scalars(run(plan, facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey"), spark), a="c0.s", b="c1.s")
+
+
+@query("dead_nodes", f"with recursive e as ({_EDGE_SQL}), n as (select src as node from e union select dst from e), r as (select 0::bigint as node union select e.dst from r join e on e.src = r.node where e.dst <= r.node + 2) select node from n where node not in (select node from r)")
+def dead_nodes(spark, sf_dir):
+    """Nodes that node 0 doesn't reach over edges that rise by two at most."""
+    e = _edges(spark, sf_dir)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    roots = spark.range(1).select(F.lit(0).cast("bigint").alias("node"))
+    return graph.dead(e.where("dst <= src + 2"), nodes, roots)
+
+
+@query("bfs_depth", f"with recursive e as ({_EDGE_SQL}), r as (select 0::bigint as node, 0 as depth union select e.dst, r.depth + 1 from r join e on e.src = r.node where r.depth < 6 and e.dst <= r.node + 3) select node, min(depth) as depth from r group by 1")
+def bfs_depth(spark, sf_dir):
+    roots = spark.range(1).select(F.lit(0).cast("bigint").alias("node"))
+    return graph.reach(_edges(spark, sf_dir).where("dst <= src + 3"), roots, 6)
+
+
+@query("degrees", f"with e as ({_EDGE_SQL}) select node, sum(i)::bigint as fan_in, sum(o)::bigint as fan_out from (select src as node, 0 as i, 1 as o from e union all select dst, 1, 0 from e) group by 1")
+def degrees(spark, sf_dir):
+    return graph.degrees(_edges(spark, sf_dir))
+
+
+@query(
+    "spearman_degree",
+    "with d as (select o_custkey as k, count(*) as n, count(distinct o_orderpriority) as m from orders group by 1), r as (select rank() over (order by n) + (count(*) over (partition by n) - 1) / 2.0 as a, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0 as b from d) select round(corr(a, b), 9) as rho from r",
+)
+def spearman_degree(spark, sf_dir):
+    d = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderpriority").alias("m"))
+    return graph.spearman(d, "n", "m").select(F.round("rho", 9).alias("rho"))
+
+
+# history
+
+_OPS = """with ops as (select event_id + 1 as seq, case when event_type = 'error' then 'retract' else 'assert' end as action, user_id as u,
+  cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) % 8 as k from events {where}),
+a as (select *, sum(case when action = 'assert' then 1 else -1 end) over (partition by u, k order by seq) as s from ops),
+b as (select *, s - least(0, min(s) over (partition by u, k order by seq rows unbounded preceding)) as d from a),
+c as (select *, case when action = 'assert' then d else nullif(lag(d) over (partition by u, k order by seq), 0) end as l from b),
+f as (select *, case when action = 'retract' and l is not null then lag(seq) over w end as target, action = 'assert' and coalesce(lead(action) over w, 'assert') <> 'retract' as live
+  from c window w as (partition by u, k, l order by seq)) """
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select("seq", F.col("t1.i").alias("u"), F.col("t3.i").alias("k"))
+
+
+@query("ops_live", _OPS.format(where="") + "select seq, u, k from f where live")
+def ops_live(spark, sf_dir):
+    return _plain(history.live_occurrences(event_log(spark, sf_dir)))
+
+
+@query("ops_live_asof", _OPS.format(where="where event_id + 1 <= 700") + "select seq, u, k from f where live")
+def ops_live_asof(spark, sf_dir):
+    return _plain(history.as_of(event_log(spark, sf_dir), 700).live())
+
+
+@query("ops_since", _OPS.format(where="where event_id + 1 <= 900") + "select distinct u, k from f where live and seq > 400")
+def ops_since(spark, sf_dir):
+    """What is live at 900 and was asserted after 400, as a set, by a plan."""
+    plan = {"find": "out", "rules": [rule("out", [v("u"), v("k")], has(v("u"), "did", v("k")))]}
+    return scalars(run(plan, history.since(event_log(spark, sf_dir), 400, 900), spark), u="c0.i", k="c1.i")
+
+
+@query("ops_withdrawals", _OPS.format(where="") + "select seq, target as target_seq from f where target is not null")
+def ops_withdrawals(spark, sf_dir):
+    return history.withdrawals(event_log(spark, sf_dir)).select("seq", "target_seq")
+
+
+@query("ops_withdrawn_by_plan", _OPS.format(where="") + "select g.u, g.k, count(*) as n from f join f g on f.target = g.seq group by 1, 2")
+def ops_withdrawn_by_plan(spark, sf_dir):
+    """withdrawal joined with occurrence on coordinates, counted by what was withdrawn."""
+    log = event_log(spark, sf_dir)
+    body = [{"rel": "withdrawal", "args": [v("r"), v("a")]}, {"rel": "occurrence", "args": [v("a"), Keyword(":assert"), v("p")]}]
+    plan = {"find": {"rel": "out", "group": [1], "agg": [{"op": "count"}]}, "rules": [rule("out", [v("r"), v("p")], *body)]}
+    found = run(plan, history.current(log), spark)
+    props = log.select(history.proposition()["key"].alias("key"), F.col("t1.i").alias("u"), F.col("t3.i").alias("k")).distinct()
+    return found.join(props, found["c0"]["key"] == props["key"]).select("u", "k", F.col("c1.i").alias("n"))
+
+
+@query("scan_t2", _OPS.format(where="") + "select u, k from f where live")
+def scan_t2(spark, sf_dir):
+    return _plain(history.matching(history.live_occurrences(event_log(spark, sf_dir)), t2=Keyword(":did"))).drop("seq")
+
+
+@query("scan_t12", _OPS.format(where="") + "select seq, k from f where live and u = 3")
+def scan_t12(spark, sf_dir):
+    return _plain(history.matching(history.live_occurrences(event_log(spark, sf_dir)), t1=3, t2=Keyword(":did"))).drop("u")
+
+
+@query("scan_t23", _OPS.format(where="") + "select seq, u from f where live and k = 5")
+def scan_t23(spark, sf_dir):
+    return _plain(history.matching(history.live_occurrences(event_log(spark, sf_dir)), t2=Keyword(":did"), t3=5)).drop("k")
+
+
+@query("frames_between", "select event_id + 1 as seq, 1 as n from events where event_id + 1 > 100 and event_id + 1 <= 300")
+def frames_between(spark, sf_dir):
+    return history.frames(event_log(spark, sf_dir), 100, 300).select("seq", F.size("operations").alias("n"))
+
+
+@query("lookup_single", _OPS.format(where="") + "select u, arg_max(k, seq) as k from f where live group by 1")
+def lookup_single(spark, sf_dir):
+    """A single-valued reading: the newest live value of each subject."""
+    return history.newest(history.live_occurrences(event_log(spark, sf_dir)), "t1", "t2").select(F.col("t1.i").alias("u"), F.col("t3.i").alias("k"))
+
+
+@query("rename_predicate", "select 'part:' || p_partkey as part, p_size::bigint as size from part")
+def rename_predicate(spark, sf_dir):
+    """Values found by a predicate's alias, through the registry."""
+    p = read(spark, sf_dir, "part")
+    own = operations(p, "s", F.col("p_partkey") + 10, F.lit(0), F.lit("assert"), terms.string(tagged("part")(F.col("p_partkey"))), terms.literal("p1"), terms.integer(F.col("p_size")))
+    names = spark.createDataFrame([(1, "p1", schema.NAME, "p_size"), (2, "p1", schema.ALIAS, "size"), (3, "p1", schema.CARDINALITY, "single")], "seq long, a string, b string, c string")
+    named = operations(names, "s", F.col("seq"), F.lit(0), F.lit("assert"), terms.string(F.col("a")), terms.string(F.col("b")), terms.string(F.col("c")))
+    live = history.live_occurrences(own.unionByName(named))
+    return schema.lookup(live, schema.resolved(live, "size")).select(F.col("t1.s").alias("part"), F.col("t3.i").alias("size"))
+
+
+@query("lease_current", "select 'res:' || (event_id % 11) as resource, arg_max(user_id, event_id) as holder, max(event_id) + 1 as epoch from events group by 1")
+def lease_current(spark, sf_dir):
+    """The holder of each resource's latest lease, its epoch the sequence."""
+    e = read(spark, sf_dir, "events")
+    log = operations(e, "s", F.col("event_id") + 1, F.lit(0), F.lit("assert"), terms.string(F.concat(F.lit("res:"), (F.col("event_id") % 11).cast("string"))), terms.literal(Keyword(":kernel/lease")), terms.integer(F.col("user_id")))
+    return history.newest(log, "t1").select(F.col("t1.s").alias("resource"), F.col("t3.i").alias("holder"), F.col("seq").alias("epoch"))
+
+
+@query("claims_verdict", "select doc_id % 50 as claim, case when arg_max(quality, doc_id) = 1 then 'verified' else 'rejected' end as verdict from labels group by 1")
+def claims_verdict(spark, sf_dir):
+    """Labels as selections of a claim by two views; the last one decides."""
+    view = F.when(F.col("quality") == 1, "verified").otherwise("rejected")
+    picks = read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("claim"), view.alias("view"), F.col("doc_id").alias("seq"), F.lit(0).alias("ord"))
+    return claims.verdicts(picks).select("claim", "verdict")
+
+
+@query("lint_profile", "select 'part:' || p_partkey as part, 'R3' as rule from part where p_size <= 5 union all select 'part:' || p_partkey, 'R2' from part where p_size > 45")
+def lint_profile(spark, sf_dir):
+    """Small parts get an empty predicate, large ones a number for a subject."""
+    p = read(spark, sf_dir, "part")
+    row_id = tagged("part")(F.col("p_partkey"))
+    t1 = F.when(F.col("p_size") > 45, terms.integer(F.col("p_partkey"))).otherwise(terms.string(row_id))
+    t2 = F.when(F.col("p_size") <= 5, terms.literal("")).otherwise(terms.literal("size"))
+    found = profile.lint(p.select(t1.alias("t1"), t2.alias("t2"), terms.integer(F.col("p_size")).alias("t3")))
+    return found.select(F.coalesce("t1.s", F.concat(F.lit("part:"), F.col("t1.i").cast("string"))).alias("part"), "rule")
+
+
+@query("pull_nested", "select 'customer:' || c_custkey as root, 0 as depth, 'c_nationkey' as predicate from customer where c_custkey <= 20 union all select 'customer:' || c_custkey, 1, 'n_regionkey' from customer where c_custkey <= 20")
+def pull_nested(spark, sf_dir):
+    source = facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey").of
+    roots = read(spark, sf_dir, "customer").where("c_custkey <= 20").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
+    out = graph.pull(source, roots, [":c_nationkey", ":n_regionkey"], 3)
+    return out.select(F.regexp_extract("root", r"^s\d+:(.*)$", 1).alias("root"), "depth", F.substring("predicate", 2, 100).alias("predicate"))
+
+
+@query("call_resolution", "select 'customer:' || c_custkey as caller, 'nation:' || c_nationkey as callee from customer where c_nationkey <> 3 or c_custkey % 2 = 0")
+def call_resolution(spark, sf_dir):
+    """A name defined in the caller's file wins; else the only definition; nation 3 is defined in both files, customers with even keys in the first."""
+    n = read(spark, sf_dir, "nation").select(F.lit("f0").alias("file"), F.col("n_name").alias("name"), tagged("nation")(F.col("n_nationkey")).alias("id"))
+    twice = n.where("id = 'nation:3'")
+    definitions = n.unionAll(twice.select(F.lit("f9"), "name", F.lit("nation:other")))
+    c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    file = F.when(F.col("c_custkey") % 2 == 0, "f0").otherwise("f1")
+    return graph.resolved_calls(c.select(file.alias("file"), tagged("customer")(F.col("c_custkey")).alias("caller"), F.col("n_name").alias("name")), definitions)
+
+
+# text
+
+
+def _documents(spark, sf_dir) -> Source:
+    return facts(spark, sf_dir, "documents.text", "documents.lang")
+
+
+def _text(relation: str, needle: str, *rest) -> Query:
+    def q(spark, sf_dir):
+        args = [v("d"), Keyword(":text"), needle, *(v(x) for x in rest)]
+        out = run({"find": "out", "rules": [rule("out", [v("d"), *(v(x) for x in rest)], {"rel": relation, "args": args})]}, _documents(spark, sf_dir), spark)
+        return scalars(out, doc="c0.s", **{x: f"c{k}.i" for k, x in enumerate(rest, 1)})
+
+    return q
+
+
+_TOKENS = r"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\p{L}\p{Nd}]+'), lambda x: x <> ''), lambda x: lower(x))"
+_HIT = "select 'documents:' || doc_id as doc from documents where "
+query("text_match", _HIT + f"list_has_all({_TOKENS}, ['reou', 'the'])")(_text("text-match", "The, reou"))
+query("text_phrase", _HIT + f"contains('|' || array_to_string({_TOKENS}, '|') || '|', '|of|the|')")(_text("text-phrase", "of the"))
+query("text_substring", _HIT + "contains(lower(text), 'tion. th')")(_text("text-substring", "tion. Th"))
+query("text_missing", _HIT + "false")(_text("text-match", "zzyzx quux"))
+query("text_stem")(_text("text-stem", "thes reou"))
+query("text_search")(_text("text-search", "the reou of", "score"))
+
+
+@query("text_needle_variable", f"select w as needle, count(*) as n from (select unnest(['la', 'und', 'with']) as w) n join documents d on list_contains({_TOKENS}, n.w) group by 1")
+def text_needle_variable(spark, sf_dir):
+    """Needles from a relation, one row each, counted over the documents that have them."""
+    needles = spark.createDataFrame([("q1", "la"), ("q2", "und"), ("q3", "with")], "q string, w string")
+    more = needles.select(terms.string(F.col("q")).alias("t1"), terms.literal(Keyword(":needle")).alias("t2"), terms.string(F.col("w")).alias("t3"))
+    body = [has(v("q"), "needle", v("n")), {"rel": "text-match", "args": [v("d"), Keyword(":text"), v("n")]}]
+    plan = {"find": {"rel": "out", "group": [0], "agg": [{"op": "count"}]}, "rules": [rule("out", [v("n"), v("d")], *body)]}
+    return scalars(run(plan, Source(_documents(spark, sf_dir).of.unionAll(more), distinct=True), spark), needle="c0.s", n="c1.i")
+
+
+@query("string_helpers", r"select p_partkey as part, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits, 'p' || lpad(p_partkey::varchar, 8, '0') as padded from part")
+def string_helpers(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), strings.slugify(F.col("p_name")).alias("slug"), strings.digits(F.col("p_brand")).alias("digits"), strings.padded_id(F.col("p_partkey"), "p", 8).alias("padded"))
