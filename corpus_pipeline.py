@@ -1,11 +1,17 @@
-"""A corpus pipeline out of the operators of quadrille.llm: each stage is written as Parquet and read again."""
+"""A corpus pipeline out of the operators of quadrille.llm: each stage is written as Parquet and read again.
+
+Each stage takes all rows that the one before it kept. Null texts count as empty and fail the quality rules, so later
+stages see none; an empty table gives an empty table; columns besides doc_id, text, lang and n_chars pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrille.llm import divergence
+from quadrille.llm import containment, divergence, jaccard, line_runs, maxplus
 from quadrille.llm.common import shared_dir, table, written
+from quadrille.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +19,38 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return divergence.judge(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts later copies of repeated line runs out of texts; a document of which nothing is left goes."""
+    cut = line_runs.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
+    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return cut.withColumns(changed).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of near duplicates (5-word shingles, 0.8) the document with the smallest doc_id."""
+    copies = jaccard.classes(docs).where("component <> doc_id").select("doc_id").distinct()
+    return docs.join(written(copies), "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that contain a benchmark item (0.8 of its 5-word shingles)."""
+    return containment.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ids, the document's pieces."""
+    return maxplus.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
+]
 
-#: Tokens and learnt shares are beyond SQL here; the tests compare with brute force.
+#: Pieces and language shares are beyond SQL here; the tests compare with brute force.
 ORACLE_SQL = None
 
 
