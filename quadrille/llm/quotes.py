@@ -17,7 +17,7 @@ kept and share its links. A null conv_id or turn links nothing. Other columns pa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -48,7 +48,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
     return df.withColumn("__passages", passages).drop("__ends", "__begins")
 
 
-def _body() -> F.col:
+def _body() -> Column:
     own = F.filter("__lines", lambda x, i: (x["level"] == 0) & ~(x["rest"].rlike(ATTRIBUTION) & (F.coalesce(F.get("__lines", i + 1)["level"], F.lit(0)) > 0)))
     return F.regexp_replace(F.array_join(F.transform(own, lambda x: x["rest"]), "\n"), r"^(?:[\x20\x09]*\n)+|(?:\n[\x20\x09]*)+$", "")
 
@@ -78,13 +78,13 @@ def linked_conversations(messages: DataFrame) -> DataFrame:
     """messages with body, n_quotes (quoted passages), parent_turn, root_turn, depth."""
     messages = messages.drop("body", "n_quotes", "parent_turn", "root_turn", "depth")
     parsed = _parsed(messages)
-    links = _rooted(replies(parsed)).select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), "parent", "root", "depth")
+    links = _rooted(replies(parsed)).select(F.col("conv_id").alias("__c"), F.col("turn").alias("__t"), F.col("parent").alias("__parent"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
     df = parsed.join(links, (parsed["conv_id"] == links["__c"]) & (parsed["turn"] == links["__t"]), "left")
     return df.select(
         *(parsed[c] for c in messages.columns),
         _body().alias("body"),
         F.size(F.filter("__passages", lambda x: x["level"] > 0)).cast("long").alias("n_quotes"),
-        F.col("parent").alias("parent_turn"),
-        F.coalesce("root", parsed["turn"]).alias("root_turn"),
-        F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.col("__parent").alias("parent_turn"),
+        F.coalesce("__root", parsed["turn"]).alias("root_turn"),
+        F.coalesce("__depth", F.lit(0)).cast("long").alias("depth"),
     )

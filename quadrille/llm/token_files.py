@@ -158,7 +158,7 @@ def write(docs: DataFrame, where: str, tokenizer: str, *, length: int = 2048, ro
                     out.add(doc_id, ids + end)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [out.path], "n": [out.n]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [out.path], "n": [out.n]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "part int, path string, n long"))
