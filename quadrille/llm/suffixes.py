@@ -358,8 +358,27 @@ def _repeats(pieces: DataFrame, length: int) -> DataFrame:
     return pieces.groupBy("range").applyInArrow(run, "context binary, before long, behind long")
 
 
+def _joined(spans: DataFrame) -> DataFrame:
+    """spans with each row's overlapping or touching spans made one."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for found in batch.column("spans").to_pylist():
+                row: list[dict] = []
+                for s in found:  # sorted
+                    if row and s["a"] <= row[-1]["b"]:
+                        row[-1]["b"] = max(row[-1]["b"], s["b"])
+                    else:
+                        row.append(dict(s))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], ["doc_id", "th", "spans"])
+
+    return spans.mapInArrow(run, "doc_id long, th long, spans array<struct<a: long, b: long>>")
+
+
 def repeated_spans(docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """doc_id, th, spans (start, end in bytes): what repeats in each text, th the text's hash; spans may overlap."""
+    """doc_id, th, spans (start, end in bytes): the maximal stretches that repeat in each text, th the text's hash."""
     size = length - window_of(length) + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     held = _positions(docs, length)
@@ -373,7 +392,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200) -> DataFrame:
     found = written(_repeats(pieces, length))
     members = rows.where("at is not null").select("doc_id", "th", F.explode(F.arrays_zip("at", "contexts")).alias("m")).select("doc_id", "th", "m.at", F.col("m.contexts").alias("context"))
     spans = members.join(found, "context").select("doc_id", "th", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("behind")).alias("b")).alias("span"))
-    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    return _joined(spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")))
 
 
 def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
@@ -392,10 +411,8 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
                 for text, spans in zip(rows.column("text").to_pylist(), rows.column("__spans").to_pylist(), strict=True):
                     raw, kept, at, n = (text or "").encode(), [], 0, 0
                     for s in spans or []:
-                        if s["a"] > at or not n:
-                            kept.append(raw[at : s["a"]])
-                            n += 1
-                        at = max(at, s["b"])
+                        kept.append(raw[at : s["a"]])
+                        at, n = s["b"], n + 1
                     kept.append(raw[at:])
                     kept = b"".join(kept)
                     out.append((len(raw), len(raw) - len(kept), n, kept))
