@@ -19,3 +19,13 @@ def statuses(claims: DataFrame, selections: DataFrame, evidence: DataFrame) -> D
     e = evidence.select("claim").distinct().withColumn("has", F.lit(True))
     df = claims.join(v, "claim", "left").join(e, "claim", "left")
     return df.select("claim", F.when(~F.col("live"), "superseded").otherwise(F.coalesce("verdict", F.when(F.col("has"), "pending"))).alias("status"))
+
+
+def resolved_slots(chain: DataFrame, overlays: DataFrame) -> DataFrame:
+    """version, slot, value: what each version sees of overlays (version, slot, value; a null value deletes).
+
+    chain (version, ancestor, distance) lists each version's ancestors, itself at 0; the nearest overlay of a slot wins.
+    """
+    o = overlays.withColumnRenamed("version", "ancestor").withColumn("gone", F.col("value").isNull())
+    seen = chain.join(o, "ancestor").groupBy("version", "slot").agg(F.min_by(F.struct("value", "gone"), "distance").alias("x"))
+    return seen.where("not x.gone").select("version", "slot", F.col("x.value").alias("value"))

@@ -73,3 +73,14 @@ def pull(live: DataFrame, roots: DataFrame, predicates: list[str], depth: int =
             break
         seen = written(seen.unionByName(front))
     return out
+
+
+def name_collisions(definitions: DataFrame) -> DataFrame:
+    """name, n_files: names that more than one file defines, of definitions (file, name)."""
+    return definitions.groupBy("name").agg(F.count_distinct("file").alias("n_files")).where("n_files > 1")
+
+
+def jurisdictions(definitions: DataFrame, edges: DataFrame) -> DataFrame:
+    """from_regime, to_regime, n: edges (src, dst) between definitions (id, regime), counted by regime."""
+    a, b = definitions.select(F.col("id").alias("src"), F.col("regime").alias("from_regime")), definitions.select(F.col("id").alias("dst"), F.col("regime").alias("to_regime"))
+    return edges.join(a, "src").join(b, "dst").groupBy("from_regime", "to_regime").agg(F.count("*").alias("n"))

@@ -133,3 +133,31 @@ def newest(df: DataFrame, *by: str) -> DataFrame:
 def staged(ops: DataFrame, more: DataFrame) -> DataFrame:
     """A log with operations that aren't committed yet."""
     return ops.unionByName(more)
+
+
+SUPERSEDES, SELECTS = terms.Keyword(":kernel/supersedes"), terms.Keyword(":view/selects")
+
+
+def _coordinates(live: DataFrame) -> DataFrame:
+    return live.withColumn("__c", coordinate(F.col("space"), F.col("seq"), F.col("ord"))["key"])
+
+
+def not_superseded(live: DataFrame) -> DataFrame:
+    """Live occurrences without those that a live (new, :kernel/supersedes, old) names as old, by coordinate."""
+    hidden = live.where(F.col("t2.key") == terms.literal(SUPERSEDES)["key"]).select(F.col("t3.key").alias("__old"))
+    df = _coordinates(live)
+    return df.join(hidden, df["__c"] == hidden["__old"], "left_anti").drop("__c")
+
+
+def view_occurrences(live: DataFrame) -> DataFrame:
+    """view (t1's key) and the live occurrences whose coordinates it selects."""
+    picks = live.where(F.col("t2.key") == terms.literal(SELECTS)["key"]).select(F.col("t1.key").alias("view"), F.col("t3.key").alias("__p")).distinct()
+    df = _coordinates(live)
+    return df.join(picks, df["__c"] == picks["__p"]).drop("__c", "__p")
+
+
+def page(df: DataFrame, limit: int, after: tuple[int, int] | None = None) -> DataFrame:
+    """The next rows in commit order behind a place (seq, ord): a keyset, so no page counts the ones before it."""
+    if after is not None:
+        df = df.where((F.col("seq") > after[0]) | ((F.col("seq") == after[0]) & (F.col("ord") > after[1])))
+    return df.orderBy("seq", "ord").limit(limit)

@@ -443,6 +443,57 @@ def call_resolution(spark, sf_dir):
     return graph.resolved_calls(c.select(file.alias("file"), tagged("customer")(F.col("c_custkey")).alias("caller"), F.col("n_name").alias("name")), definitions)
 
 
+@query("superseded_view", _OPS.format(where="") + "select seq, u, k from f where live and not (seq % 2 = 1 and seq <= 200)")
+def superseded_view(spark, sf_dir):
+    """Odd occurrences up to 200 are superseded by later statements about their coordinates."""
+    log = event_log(spark, sf_dir)
+    old = history.coordinate(F.lit("events"), F.col("id"), F.lit(0))
+    marks = operations(spark.range(1, 201, 2), "events", F.col("id") + 10_000_000, F.lit(0), F.lit("assert"), terms.literal("new"), terms.literal(history.SUPERSEDES), old)
+    return _plain(history.not_superseded(history.live_occurrences(log.unionByName(marks))).where("seq < 10000000"))
+
+
+@query("view_occurrences", _OPS.format(where="") + "select 'v' || (seq % 2) as view, seq from f where live and seq <= 50")
+def view_occurrences(spark, sf_dir):
+    log = event_log(spark, sf_dir)
+    picks = spark.range(1, 51)
+    picked = history.coordinate(F.lit("events"), F.col("id"), F.lit(0))
+    marks = operations(picks, "events", F.col("id") + 10_000_000, F.lit(0), F.lit("assert"), terms.string(F.concat(F.lit("v"), (F.col("id") % 2).cast("string"))), terms.literal(history.SELECTS), picked)
+    out = history.view_occurrences(history.live_occurrences(log.unionByName(marks)))
+    return out.select(F.regexp_extract("view", "^s[0-9]+:(.*)$", 1).alias("view"), "seq")
+
+
+@query("scan_page", _OPS.format(where="") + "select seq, u, k from f where live and seq > 300 order by seq limit 50")
+def scan_page(spark, sf_dir):
+    return _plain(history.page(history.live_occurrences(event_log(spark, sf_dir)), 50, (300, 0)))
+
+
+@query("name_collisions", "select p_brand as name, count(distinct p_type) as n_files from part group by 1 having count(distinct p_type) > 1")
+def name_collisions(spark, sf_dir):
+    return graph.name_collisions(read(spark, sf_dir, "part").select(F.col("p_type").alias("file"), F.col("p_brand").alias("name")))
+
+
+@query("jurisdictions", "select a.n_regionkey as from_regime, b.n_regionkey as to_regime, count(*) as n from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey join nation a on a.n_nationkey = c_nationkey join nation b on b.n_nationkey = s_nationkey group by 1, 2")
+def jurisdictions(spark, sf_dir):
+    """Lines as edges from customers to suppliers, counted by region."""
+    regime = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("regime"))
+    c = read(spark, sf_dir, "customer").select(tagged("customer")(F.col("c_custkey")).alias("id"), F.col("c_nationkey").alias("k"))
+    s = read(spark, sf_dir, "supplier").select(tagged("supplier")(F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("k"))
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = lines.select(tagged("customer")(F.col("o_custkey")).alias("src"), tagged("supplier")(F.col("l_suppkey")).alias("dst"))
+    return graph.jurisdictions(c.union(s).join(regime, "k").select("id", "regime"), edges)
+
+
+@query("resolved_slots", "select 'v' || a.event_id as version, 's' || b.user_id as slot, arg_max(b.event_id, b.event_id) as value from events a join events b on b.event_id <= a.event_id where a.event_id < 40 group by 1, 2 having max(b.event_id) % 5 <> 0")
+def resolved_slots(spark, sf_dir):
+    """A chain of versions, each an event that sets its user's slot; every fifth deletes it."""
+    e = read(spark, sf_dir, "events").where("event_id < 40").select("event_id", "user_id")
+    name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
+    chain = e.select(F.col("event_id").alias("a")).join(e.select(F.col("event_id").alias("b")), F.col("b") <= F.col("a"))
+    chain = chain.select(name("a").alias("version"), name("b").alias("ancestor"), (F.col("a") - F.col("b")).alias("distance"))
+    overlays = e.select(name("event_id").alias("version"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("slot"), F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("value"))
+    return claims.resolved_slots(chain, overlays)
+
+
 # text
 
 
