@@ -1,14 +1,15 @@
 """N-gram Jaccard join with a token-group matrix: which documents link, at a threshold num/den, and their components.
 
 1. Documents with equal shingle sets are one class (a 64-bit id of the set); everything below works on classes.
-2. All sets are read in one order of tokens: those known to be frequent last, else by hash. Two sets that link
-   share a number of tokens within the first part of each (the prefix), so only prefixes are exchanged.
-3. Similar classes are gathered in groups: those with the same first token, around leaders; whoever links to a
-   leader is in its group, over a few rounds, and the rest are groups of their own. A group is connected.
+2. All sets are read in one order of tokens: rare ones first by hash, frequent ones last by how frequent they are. Two
+   sets that link share a number of tokens within the first part of each (the prefix), so only prefixes are
+   exchanged; and what a copy has changed stands first in it.
+3. Similar classes are gathered in groups: those with the same smallest hash (under two hashes in turn) are
+   compared with the one among them that has the fewest rare tokens, and links make groups. A group is connected.
 4. The token-group matrix holds (token, group) for each token in the union of a group's prefixes. The tokens that
-   a class shares with a group's union bound its overlap with every member; only groups that reach the
-   needed number are opened: first the leader is compared, then, where that left the two apart, the members that
-   reach the bound by themselves.
+   a class shares with a group's union, and those before the last of them that it doesn't share, bound its overlap
+   with every member; only groups that reach the needed overlap are opened, first the member that stands for the
+   group, then, where that left the two apart, the members that reach the bound by themselves.
 5. Comparisons are exact intersections of the sets. The links and the groups give the components.
 
 No token is capped or dropped: frequency only decides the order, and any order gives the same links.
@@ -29,13 +30,13 @@ from .common import small_enough, written
 from .components import connected
 from .shingles import mix, shingle_sets
 
-#: Tokens below this hash are counted (a fifth of all); of those, so many of the most frequent, in at least so many sets, go last.
-COUNTED = np.uint64((1 << 64) // 5)
-MAX_FREQUENT, FREQUENT = 200_000, 64
+#: Each task counts the tokens of so many at a time and passes on those that occur twice or more (lossy counting: a total
+#: is short by one for each such block at most); so many of the most frequent, in at least so many sets, go last.
+BLOCK, MAX_FREQUENT, FREQUENT = 4_000_000, 1_000_000, 24
 #: Ids that may be broadcast.
 MAX_BROADCAST_IDS = 500_000
-#: A prefix is longer by one in so many tokens, so that more than one token must be shared.
-EXTRA = 50
+#: A prefix row holds a set's size and a token's place in one number: the place in so many low bits.
+PLACE = 31
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -48,57 +49,79 @@ def _need(n, num: int, den: int):
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
-    return n - _need(n, num, den) + max(1, n // EXTRA)
+    return n - _need(n, num, den) + 1
 
 
 def class_sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
-    """doc_id, n, cid and low, the counted tokens, of each document."""
+    """Rows of two kinds: doc_id, n, cid and keys (the least hash under two functions) of each document, and token, count,
+    lists of a block's repeated tokens."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(token)], pa.int32()), pa.array(x)) for x in (token.view(np.int64), count)]
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), *lists], _SET_NAMES)
 
     def run(batches):
+        held, m = [], 0
         for batch in batches:
-            n, cid, low, ends = [], [], [], [0]
+            n, cid, keys = [], [], []
             for s in shingle_sets(batch.column("text"), size, fold_case=fold_case):
                 n.append(len(s))
                 cid.append(_class_id(s))
-                low.append(s[: np.searchsorted(s, COUNTED)])
-                ends.append(ends[-1] + len(low[-1]))
-            flat = np.concatenate(low or [np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "n", "cid", "low"])
+                keys.append((s[0], mix(s ^ np.uint64(0x5851F42D4C957F2D)).min()) if len(s) else (0, 0))
+                held.append(s)
+                m += len(s)
+                if m > BLOCK:
+                    yield counted(held)
+                    held, m = [], 0
+            none = pa.nulls(len(n), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (zip(*keys, strict=True) if keys else ((), ()))), none, none], _SET_NAMES)
+        if held:
+            yield counted(held)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, key0 long, key1 long, token array<long>, count array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, low array<long>")
+_SET_NAMES = ["doc_id", "n", "cid", "key0", "key1", "token", "count"]
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
-    """The most frequent counted tokens, sorted; a bounded number."""
-    counts = sets.select(F.explode("low").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
+    """The most frequent tokens, rarest first; a bounded number."""
+    each = sets.where("token is not null").select(F.explode(F.arrays_zip("token", "count")).alias("x")).select("x.*")
+    counts = each.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT)
     top = counts.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
+    return top.astype(np.int64)[::-1].copy().view(np.uint64)
 
 
 def prefixes(docs: DataFrame, size: int, fold_case: bool, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """token, cid, n, first (whether it is the first of its set) for the prefix of each set."""
+    """token, cid, x for the prefix of each set, x its size and the token's place; and a row with -1 - x its rare tokens."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         last = held.value
+        rank = np.argsort(last, kind="stable")
+        known = last[rank]
         for batch in batches:
-            tokens, cids, sizes, firsts = [], [], [], []
+            tokens, cids, xs = [], [], []
             for s in shingle_sets(batch.column("text"), size, fold_case=fold_case):
                 if not len(s):
                     continue
                 p, cid, n = prefix_length(len(s), num, den), _class_id(s), len(s)
-                if len(last):
-                    known = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~known], s[known]])
+                rare = n
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = known[at] == s
+                    rare = n - int(often.sum())
+                    s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]])]]) if rare < p else s[~often]
                 s = s[:p]
-                tokens.append(s)
-                cids.append(np.full(len(s), cid, np.int64))
-                sizes.append(np.full(len(s), n, np.int64))
-                firsts.append(np.arange(len(s)) == 0)
+                tokens += [s, mix(np.array([cid], np.int64).view(np.uint64))]
+                cids.append(np.full(len(s) + 1, cid, np.int64))
+                xs += [(n << PLACE) + np.arange(len(s)), np.array([-1 - rare])]
             if tokens:
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "cid": np.concatenate(cids), "n": np.concatenate(sizes), "first": np.concatenate(firsts)})
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "cid": np.concatenate(cids), "x": np.concatenate(xs).astype(np.int64)})
 
-    return docs.select("text").mapInArrow(run, "token long, cid long, n long, first boolean")
+    return docs.select("text").mapInArrow(run, "token long, cid long, x long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int, fold_case: bool) -> DataFrame:
@@ -122,16 +145,32 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int, fold_case: bool)
     return sets.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
+def _bounded(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of classes those whose prefixes let them link; tokens: the prefix tokens that classes share."""
+    x = tokens.select(F.col("cid").alias("a"), "token", "n", "pos")
+    y = tokens.select(F.col("cid").alias("b"), "token", F.col("n").alias("m"), F.col("pos").alias("at"))
+    both = pairs.join(x, "a").join(y, ["b", "token"]).where(_fits(F.col("n"), F.col("m"), F.col("m"), num, den))
+    both = both.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("pos").alias("last"), F.max("at").alias("at"))
+    reach = _reaches(F.col("k"), F.col("last"), F.col("n"), F.col("m"), num, den) & _reaches(F.col("k"), F.col("at"), F.col("m"), F.col("n"), num, den)
+    return both.where(reach).select("a", "b")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, by_class: DataFrame, size: int, fold_case: bool, num: int, den: int) -> DataFrame:
+    """The written pairs (a, b) of classes whose sets link, by the exact intersection of the sets."""
+    pairs = written(pairs.select("a", "b").distinct())
+    wanted = written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(by_class.select("cid", "doc_id"), "cid"))
+    sets = written(_whole_sets(docs, wanted, size, fold_case))
     x, y = sets.select(F.col("cid").alias("a"), F.col("h").alias("x")), sets.select(F.col("cid").alias("b"), F.col("h").alias("y"))
     both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return both.where(den * F.col("both") >= num * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
+    return written(both.where(den * F.col("both") >= num * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
+
 
+def _reaches(k: Column, last: Column, n: Column, other: Column, num: int, den: int) -> Column:
+    """Whether a set of n tokens that shares k in the prefixes, the last at place `last`, can link to one of `other` tokens.
 
-def _bound(n: Column, num: int, den: int) -> Column:
-    """How many prefix tokens a set of n tokens shares with any that links to it, at least."""
-    return F.greatest(F.lit(1), F.floor(F.ceil(num * n / F.lit(den)) / EXTRA))
+    What it doesn't share up to there it doesn't share at all, so k + n - last - 1 bounds the overlap.
+    """
+    return ((num + den) * (k + n - last - 1) >= num * (n + other))
 
 
 def _fits(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
@@ -139,45 +178,41 @@ def _fits(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
     return (num * n <= den * high) & (num * low <= den * n)
 
 
-def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fold_case: bool = True, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fold_case: bool = True) -> DataFrame:
     """doc_id, n (tokens), cid (its class) and component (the smallest doc_id it reaches) of every row."""
     sets = written(class_sets(docs, size, fold_case))
     frequent = _frequent(sets)
-    by_class = written(sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    held = prefixes(docs, size, fold_case, num, den, frequent).dropDuplicates(["token", "cid"])
-    shared = held.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1").drop("k")
-    shared = written(shared)  # prefix tokens that two classes have at least
-
-    # classes that can link at all, and their sets
-    able = shared.groupBy("cid").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _bound(F.col("n"), num, den))
-    able = written(able.join(by_class, "cid").select("cid", "n", "doc_id", "copies"))
-    whole = written(_whole_sets(docs, able, size, fold_case))
-    shared = written(shared.join(able.select("cid"), "cid", "left_semi"))
-
-    # groups: rounds of leaders among those with the same first token
-    rest = written(shared.where("first").select("cid", F.col("token").alias("key")).join(able.select("cid", "copies"), "cid"))
-    grouped = []
-    for _ in range(rounds):
-        leaders = rest.groupBy("key").agg(F.max_by("cid", F.struct("copies", "cid")).alias("leader"), F.count("*").alias("k")).where("k > 1").drop("k")
-        near = rest.join(leaders, "key").where("cid <> leader")
-        links = _linked(near.select(F.col("cid").alias("a"), F.col("leader").alias("b")), whole, num, den).select(F.col("a").alias("cid"), F.col("b").alias("leader"))
-        links = written(links.union(leaders.select("leader", "leader")))
-        grouped.append(links)
-        rest = written(rest.join(links, "cid", "left_anti"))
-        if rest.isEmpty():
-            break
-    group = grouped[0]
-    for x in grouped[1:]:
-        group = group.union(x)
-    group = written(able.select("cid").join(group, "cid", "left").select("cid", F.coalesce("leader", "cid").alias("leader")))
+    sets = sets.where("cid is not null").drop("token", "count")
+    by_class = written(sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("key0").alias("key0"), F.first("key1").alias("key1")))
+    # one exchange by token serves both the distinct and the count
+    held = prefixes(docs, size, fold_case, num, den, frequent).repartition("token").dropDuplicates(["token", "cid"])
+    held = written(held.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1 or x < 0").drop("k"))
+    shared = held.where("x >= 0").select("token", "cid", F.shiftright("x", PLACE).alias("n"), F.col("x").bitwiseAND((1 << PLACE) - 1).alias("pos"))
+
+    able = shared.select("cid").distinct().join(held.where("x < 0").select("cid", (-1 - F.col("x")).alias("rare")), "cid")
+    able = written(able.join(by_class, "cid"))  # classes that share a prefix token
+    how = (docs, by_class, size, fold_case, num, den)
+
+    # groups: all with the same key against the one with the fewest rare tokens
+    near = None
+    for k in range(2):
+        keyed = able.select("cid", "rare", F.col(f"key{k}").alias("key"))
+        leaders = keyed.groupBy("key").agg(F.min_by("cid", F.struct("rare", "cid")).alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
+        pairs = keyed.join(leaders, "key").where("cid <> b").select(F.col("cid").alias("a"), "b")
+        near = pairs if near is None else near.union(pairs)
+    label = connected(_linked(_bounded(near.distinct(), shared, num, den), *how))
+    # the member with the fewest rare tokens stands for its group
+    group = able.select("cid", "rare").join(label, able["cid"] == label["node"], "left").select("cid", "rare", F.coalesce("label", "cid").alias("label"))
+    stands = group.groupBy("label").agg(F.min_by("cid", F.struct("rare", "cid")).alias("leader"))
+    group = written(group.join(stands, "label").select("cid", "leader"))
 
     # the matrix, and the groups that each class qualifies for
-    placed = written(shared.join(group, "cid").select("token", "cid", "n", "leader"))
+    placed = written(shared.join(group, "cid").select("token", "cid", "n", "pos", "leader"))
     matrix = placed.groupBy("token", F.col("leader").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     open_ = placed.join(matrix, "token").where((F.col("leader") > F.col("other")) & _fits(F.col("n"), F.col("low"), F.col("high"), num, den))
-    open_ = open_.groupBy("cid", "other").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("leader").alias("leader"))
-    open_ = written(open_.where(F.col("k") >= _bound(F.col("n"), num, den)).select("cid", "leader", "other"))
-    by_leader = _linked(open_.select(F.col("cid").alias("a"), F.col("other").alias("b")), whole, num, den)
+    open_ = open_.groupBy("cid", "other").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n"), F.first("leader").alias("leader"), F.min("low").alias("low"))
+    open_ = written(open_.where(_reaches(F.col("k"), F.col("last"), F.col("n"), F.col("low"), num, den)).select("cid", "leader", "other"))
+    by_leader = _linked(_bounded(open_.select(F.col("cid").alias("a"), F.col("other").alias("b")), shared, num, den), *how)
     links = written(group.select(F.col("cid").alias("a"), F.col("leader").alias("b")).union(by_leader))
     label = connected(links)
 
@@ -186,13 +221,12 @@ def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fo
     apart = open_.join(tag("cid", "mine"), "cid", "left").join(tag("other", "theirs"), "other", "left")
     apart = written(apart.where(F.coalesce("mine", "leader") != F.coalesce("theirs", "other")).select("cid", "other"))
     if not apart.isEmpty():
-        mine = apart.join(placed.select("cid", "token", "n"), "cid").select(F.col("cid").alias("a"), "other", "token", "n")
-        theirs = placed.where("cid <> leader").select("token", F.col("leader").alias("other"), F.col("cid").alias("b"), F.col("n").alias("m"))
-        pairs = mine.join(theirs, ["token", "other"]).where(_fits(F.col("n"), F.col("m"), F.col("m"), num, den))
-        pairs = written(pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= _bound(F.col("n"), num, den)).select("a", "b"))
-        label = connected(links.union(_linked(pairs, whole, num, den)))
+        # members are found by the tokens they share with the class, not paired with it first
+        mine = apart.join(placed.select("cid", "token"), "cid").select(F.col("cid").alias("a"), "other", "token")
+        pairs = mine.join(placed.where("cid <> leader").select("token", F.col("leader").alias("other"), F.col("cid").alias("b")), ["token", "other"])
+        label = connected(links.union(_linked(_bounded(pairs.select("a", "b").distinct(), shared, num, den), *how)))
 
     smallest = by_class.join(label, by_class["cid"] == label["node"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
     of_label = smallest.groupBy("label").agg(F.min("doc_id").alias("component"))
     out = smallest.select("cid", "label").join(of_label, "label").select("cid", "component")
-    return sets.drop("low").join(out, "cid", "left").select("doc_id", "n", "cid", F.coalesce("component", "doc_id").alias("component"))
+    return sets.select("doc_id", "n", "cid").join(out, "cid", "left").select("doc_id", "n", "cid", F.coalesce("component", "doc_id").alias("component"))
