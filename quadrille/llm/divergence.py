@@ -11,6 +11,8 @@ names. Repeated rows are judged alike.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .common import WHITE, small_enough, words, written
 
 #: Character classes of the histogram, in order.
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other")
+#: A letter for each common word of a language.
+LETTERS = string.digits + string.ascii_letters
 #: Languages whose references may be broadcast: about 40 short words each, so 8 MB at most.
 MAX_BROADCAST_LANGUAGES = 4096
 
@@ -81,8 +85,10 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 
 def language_references(docs: DataFrame, *, n_common: int = 40, max_word: int = 5, min_share: float = 0.001) -> DataFrame:
     """One row a language, from all documents: lang, words (its n_common most frequent words of up to max_word
-    characters with at least min_share of its words), word_shares (theirs and, last, of all other words),
+    characters, none a comma, with at least min_share of its words), word_shares (theirs and, last, of all other words),
     class_shares, total (its words)."""
+    if n_common > len(LETTERS):
+        raise ValueError(f"{n_common} common words; there are {len(LETTERS)} letters")
     df = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("__text"))
     by_class = (
         _with_class_counts(df, "c")
@@ -90,7 +96,7 @@ def language_references(docs: DataFrame, *, n_common: int = 40, max_word: int =
         .groupBy("lang")
         .agg(*(F.sum(F.col("c")[i]).alias(c) for i, c in enumerate(CLASSES)), F.sum("n").alias("total"))
     )
-    short = df.select("lang", F.explode(words(F.col("__text"))).alias("word")).where(F.length("word") <= max_word).groupBy("lang", "word").count()
+    short = df.select("lang", F.explode(words(F.col("__text"))).alias("word")).where((F.length("word") <= max_word) & ~F.contains("word", F.lit(","))).groupBy("lang", "word").count()
     # a row a language; written, since it is needed twice
     totals = _with_shares(by_class.select("lang", "total", F.array(*CLASSES).alias("class_shares")), "class_shares")
     totals = written(totals)
@@ -113,7 +119,7 @@ def judge(
     distances are null, and not held against a text, below min_words or min_language_words.
     """
     references = written(language_references(docs)) if references is None else references
-    ref = references.select("lang", F.struct("words", "word_shares", "class_shares", "total").alias("__ref")).withColumnRenamed("lang", "__lang")
+    ref = references.select("lang", F.struct("words", F.array_join("words", ",").alias("list"), "word_shares", "class_shares", "total").alias("__ref")).withColumnRenamed("lang", "__lang")
     if small_enough(ref, MAX_BROADCAST_LANGUAGES):
         ref = F.broadcast(ref)
     df = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
@@ -122,11 +128,12 @@ def judge(
     judged = (F.col("n_words") >= min_words) & (r["total"] >= min_language_words)
     df = _with_shares(df, "__classes")
     df = df.withColumn("class_distance", F.when(judged, jensen_shannon(F.col("__classes"), r["class_shares"])))
-    # which common word each word is, the others dropped; then how often each occurs
-    df = df.withColumn("__which", F.when(judged, F.array_remove(F.transform("__words", lambda w: F.array_position(r["words"], w)), F.lit(0))))
+    # each word as the letter of the common word that it is, the others dropped; then how often each letter occurs
+    letter = lambda w: F.substr(F.lit("." + LETTERS), F.find_in_set(w, r["list"]) + 1, F.lit(1))
+    df = df.withColumn("__which", F.when(judged, F.replace(F.array_join(F.transform("__words", letter), ""), F.lit("."), F.lit(""))))
     known = F.col("__which")
-    counts = F.transform(r["words"], lambda w, i: (F.size(known) - F.size(F.array_remove(known, (i + 1).cast("long")))).cast("double"))
-    df = df.withColumn("__counts", F.concat(counts, F.array((F.col("n_words") - F.size(known)).cast("double"))))
+    counts = F.transform(r["words"], lambda w, i: (F.octet_length(known) - F.octet_length(F.replace(known, F.substr(F.lit(LETTERS), i + 1, F.lit(1)), F.lit("")))).cast("double"))
+    df = df.withColumn("__counts", F.concat(counts, F.array((F.col("n_words") - F.octet_length(known)).cast("double"))))
     df = _with_shares(df, "__counts").withColumn("word_distance", F.when(judged, jensen_shannon(F.col("__counts"), r["word_shares"])))
     far = F.coalesce((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance), F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~far).drop("__lang", "__text", "__words", "__ref", "__which", "__classes", "__counts")
