@@ -21,6 +21,7 @@ rows with equal doc_id and text get equal ids. All columns pass through; ids, if
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -183,6 +184,12 @@ class Pieces:
         return np.array(first, "<i4").tobytes() + b"".join(map(self.words.__getitem__, between)) + np.array(last, "<i4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def pieces_of(model: str) -> Pieces:
+    """One vocabulary a worker process, so that tasks after the first find its cache filled."""
+    return Pieces(model)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two matrices."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -198,7 +205,7 @@ def _lists(ids: list[bytes | None]) -> pa.Array:
 
 def _encode_whole(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(texts), 512):
@@ -227,7 +234,7 @@ def _chunks(giants: DataFrame, longest: int, size: int) -> DataFrame:
 
 def _matrices(chunks: DataFrame, model: str) -> DataFrame:
     def run(batches):
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             for i in range(len(batch)):
                 pieces.trim()
@@ -278,7 +285,7 @@ def _states(matrices: DataFrame) -> DataFrame:
 
 def _encode_chunks(chunks: DataFrame, states: DataFrame, model: str) -> DataFrame:
     def run(batches):
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         for batch in batches:
             for i in range(len(batch)):
                 pieces.trim()
@@ -295,7 +302,7 @@ def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
     giants = docs.where(F.length("text") > chunk).withColumn("__th", F.xxhash64("text"))
     if giants.isEmpty():
         return whole
-    longest = Pieces(model).longest
+    longest = pieces_of(model).longest
     each = giants.select(F.col("doc_id").cast("long"), F.col("__th").alias("th"), "text").dropDuplicates(["doc_id", "th"])
     chunks = written(_chunks(each, longest, chunk))
     chunks = chunks.repartition("doc_id", "th", "c")
@@ -311,7 +318,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches):
-        raw = pa.array(Pieces(model).raw, pa.large_binary())
+        raw = pa.array(pieces_of(model).raw, pa.large_binary())
         space = SPACE.encode()
         for batch in batches:
             for a in range(0, len(batch), 512):

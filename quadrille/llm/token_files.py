@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,12 @@ class Encoder:
         return [self.head[x[0]] + b"".join(map(get, x[1:])) for x in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(file: str) -> Encoder:
+    """One encoder a worker process, so that tasks after the first find its cache filled."""
+    return Encoder(file)
+
+
 def _schema(kind: np.dtype, length: int) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
@@ -148,7 +155,7 @@ def write(docs: DataFrame, where: str, tokenizer: str, *, length: int = 2048, ro
     """Writes the files below where; returns the written table (part, path, n) that lists them in order of doc_id."""
 
     def run(batches):
-        out, encoder = None, Encoder(tokenizer)
+        out, encoder = None, encoder_of(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             texts = batch.column("text")
