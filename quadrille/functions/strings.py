@@ -17,7 +17,7 @@ def split_kv(c: Column) -> Column:
 
 
 def split_comma(c: Column) -> Column:
-    return F.array_remove(F.transform(F.split(c, ","), F.trim), "")
+    return F.array_remove(F.transform(F.split(c, ","), lambda x: F.trim(x)), "")
 
 
 def digits(c: Column) -> Column:
