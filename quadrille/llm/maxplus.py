@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Matrices that one task combines.
 FAN = 64
 #: Words kept between batches.
-MAX_CACHE = 400_000
+MAX_CACHE = 200_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MARKS = ".,;:!?|#$%&*\"'()"
 
@@ -98,9 +98,8 @@ class Pieces:
         return [x for ids in reversed(out) for x in ids]
 
     def _atom(self, s: str) -> None:
-        best, back = self.paths(s, len(s))
+        _, back = self.paths(s, len(s))
         self.words[s] = np.array(self.trace(s, back, len(s)), "<i4").tobytes()
-        self.scores[s] = best[len(s)]
 
     def learn(self, new: set[str]) -> None:
         """Words into the cache; marks behind a word are apart from it where no piece has both."""
@@ -114,14 +113,19 @@ class Pieces:
                     if x not in self.words:
                         self._atom(x)
                 self.words[word] = self.words[stem] + self.words[marks]
-                self.scores[word] = self.scores[stem] + self.scores[marks]
             else:
                 self._atom(word)
 
+    def best(self, word: str) -> float:
+        """The score of a word's best path; only chunks need it."""
+        if (found := self.scores.get(word)) is None:
+            found = self.scores[word] = self.paths(word, len(word))[0][-1]
+        return found
+
     def trim(self) -> None:
-        if len(self.words) > MAX_CACHE:
-            self.words.clear()
-            self.scores.clear()
+        for cache in (self.words, self.scores):
+            if len(cache) > MAX_CACHE:
+                cache.clear()
 
     def cut(self, text: str) -> list[str]:
         """The words of a text, with its first space added."""
@@ -160,8 +164,7 @@ class Pieces:
         f, g = cuts
         tail, _ = self.paths(s[g:], n - g)
         between = _WORD.findall(s[f:g])
-        self.learn(set(between))
-        middle = sum(map(self.scores.__getitem__, between))
+        middle = sum(map(self.best, between))
         for d in range(min(m, f + 1)):
             head, _ = self.paths(s[:f], f, d)
             out[d, : len(s) + 1 - n] = head[f] + middle + np.array(tail[n - g :])
@@ -190,6 +193,12 @@ def pieces_of(model: str) -> Pieces:
     return Pieces(model)
 
 
+@lru_cache(maxsize=1)
+def raw_pieces(model: str) -> pa.Array:
+    """The bytes of each piece, all that decoding needs."""
+    return pa.array(Pieces(model).raw, pa.large_binary())
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two matrices."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -318,7 +327,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches):
-        raw = pa.array(pieces_of(model).raw, pa.large_binary())
+        raw = raw_pieces(model)
         space = SPACE.encode()
         for batch in batches:
             for a in range(0, len(batch), 512):
