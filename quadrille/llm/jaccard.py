@@ -208,10 +208,13 @@ def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fo
 
     # the matrix, and the groups that each class qualifies for
     placed = written(shared.join(group, "cid").select("token", "cid", "n", "pos", "leader"))
-    matrix = placed.groupBy("token", F.col("leader").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    open_ = placed.join(matrix, "token").where((F.col("leader") > F.col("other")) & _fits(F.col("n"), F.col("low"), F.col("high"), num, den))
-    open_ = open_.groupBy("cid", "other").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n"), F.first("leader").alias("leader"), F.min("low").alias("low"))
-    open_ = written(open_.where(_reaches(F.col("k"), F.col("last"), F.col("n"), F.col("low"), num, den)).select("cid", "leader", "other"))
+    matrix = placed.groupBy("token", F.col("leader").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    # no token before the first shared one is shared, so n - pos and room bound the overlap there; a pair that no shared
+    # token lets reach the needed overlap is out, and the others leave only rows that do
+    need = num * (F.col("n") + F.col("low"))
+    first = ((num + den) * (F.col("n") - F.col("pos")) >= need) & ((num + den) * F.col("room") >= need)
+    open_ = placed.join(matrix, "token").where((F.col("leader") > F.col("other")) & _fits(F.col("n"), F.col("low"), F.col("high"), num, den) & first)
+    open_ = written(open_.select("cid", "leader", "other").distinct())
     by_leader = _linked(_bounded(open_.select(F.col("cid").alias("a"), F.col("other").alias("b")), shared, num, den), *how)
     links = written(group.select(F.col("cid").alias("a"), F.col("leader").alias("b")).union(by_leader))
     label = connected(links)
