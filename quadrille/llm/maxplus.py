@@ -1,6 +1,14 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
+"""SentencePiece encoding and decoding: by merges for BPE models, as a max-plus parallel scan for unigram models.
 
-A text is segmented into pieces of a SentencePiece vocabulary so that the sum of the pieces' scores is the greatest: the
+The ids are those that SentencePieceProcessor.encode gives with the same, unmodified model; its file says which kind it is.
+
+BPE: a greedy order of merges is no sum of scores, so there is no scan. But no merge makes what no piece holds: between
+two characters that stand side by side in no piece, a text falls apart into parts whose merges don't touch. Words
+are such parts where no piece reaches from a visible character into the space behind it; they are encoded one by one
+by the library and kept in a bounded cache. A giant text is split into chunks at such places, its chunks are encoded in
+different tasks and joined. A stretch without such a place (one letter a million times) stays in one chunk.
+
+Unigram: a text is segmented into pieces of a SentencePiece vocabulary so that the sum of the pieces' scores is the greatest: the
 best path of a lattice over its characters (unigram semantics, byte fallback for characters that no piece covers). The
 path is found by Viterbi, with these cuts: no piece reaches from a visible character into the space behind it, so
 words are segmented apart and a bounded cache keeps them.
@@ -11,7 +19,7 @@ associatively in the max-plus sense, level by level in groups of FAN; from the t
 come back down the levels; then each chunk, knowing its two states, backtraces its own pieces. No task sees more than
 one chunk or FAN matrices of a text.
 
-Where several segmentations have the same greatest score any of them is right; within a chunk the longer last piece wins.
+Where several unigram segmentations have the same greatest score any of them is right; within a chunk the longer last piece wins.
 
 Decoding concatenates the pieces' bytes and restores spaces. As SentencePiece does, it reads the character U+2581 as a
 space; all other texts come back as they were. Defined results: a null text has no ids (null), an empty one no pieces;
@@ -37,6 +45,10 @@ SPACE = "▁"
 FAN = 64
 #: Words kept between batches.
 MAX_CACHE = 200_000
+#: Characters of the longest word that is kept.
+MAX_WORD = 200
+#: Kinds of models, as in the file.
+UNIGRAM, BPE = 1, 2
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MARKS = ".,;:!?|#$%&*\"'()"
 
@@ -187,10 +199,102 @@ class Pieces:
         return np.array(first, "<i4").tobytes() + b"".join(map(self.words.__getitem__, between)) + np.array(last, "<i4").tobytes()
 
 
+class Merges:
+    """A BPE model; parts of a text between cuts are encoded apart."""
+
+    def __init__(self, model: str):
+        import sentencepiece
+
+        # the space in front is added to a text here, once, not to each of its parts: normalizer_spec.add_dummy_prefix = false
+        with open(model, "rb") as f:
+            self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=f.read() + b"\x1a\x02\x18\x00")
+        held = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+        self.pairs = {p[k : k + 2] for p in held for k in range(len(p) - 1)}
+        self.apart = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
+        self.words: dict[str, bytes] = {}
+
+    def atom(self, s: str) -> bytes:
+        return np.array(self.sp.encode(s), "<i4").tobytes()
+
+    def word(self, s: str) -> bytes:
+        """The ids of a word; marks behind it are apart from it where no piece has both."""
+        if (found := self.words.get(s)) is not None:
+            return found
+        stem = s.rstrip(_MARKS)
+        marks = s[len(stem) :]
+        if marks and stem and stem[-1] + marks[0] not in self.pairs:
+            found = self.word(stem) + self.word(marks)
+        else:
+            found = self.atom(s)
+        if len(s) <= MAX_WORD:
+            self.words[s] = found
+        return found
+
+    def part(self, s: str) -> bytes:
+        """The ids of a part of a text whose spaces are replaced."""
+        if len(self.words) > MAX_CACHE:
+            self.words.clear()
+        return b"".join(map(self.word, _WORD.findall(s))) if self.apart else self.atom(s)
+
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        return [None if t is None else self.part(SPACE + t.replace(" ", SPACE)) if t else b"" for t in texts]
+
+    def chunks(self, s: str, size: int) -> list[str]:
+        """Parts of about size characters between cuts: the last cut within size, else the next one beyond."""
+        out, a = [], 0
+        while a < len(s):
+            e = min(a + size, len(s))
+            while a < e < len(s) and s[e - 1 : e + 1] in self.pairs:
+                e -= 1
+            if e == a:
+                e = a + size
+                while e < len(s) and s[e - 1 : e + 1] in self.pairs:
+                    e += 1
+            out.append(s[a:e])
+            a = e
+        return out
+
+
+def _fields(raw: bytes):
+    """(number, value) of each field of a protocol buffer: an integer, or bytes."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            value |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return value
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, raw[at : at + n]
+            at += n
+
+
+@lru_cache(maxsize=4)
+def kind_of(model: str) -> int:
+    """The model's kind, from its trainer_spec.model_type; unigram where it's left out."""
+    with open(model, "rb") as f:
+        spec = [x for number, x in _fields(f.read()) if number == 2]
+    kind = ([x for number, x in _fields(spec[-1]) if number == 3] if spec else []) or [UNIGRAM]
+    if kind[-1] not in (UNIGRAM, BPE):
+        raise ValueError(f"neither a unigram nor a BPE model: {model}")
+    return kind[-1]
+
+
 @lru_cache(maxsize=1)
-def pieces_of(model: str) -> Pieces:
+def pieces_of(model: str) -> Pieces | Merges:
     """One vocabulary a worker process, so that tasks after the first find its cache filled."""
-    return Pieces(model)
+    return Merges(model) if kind_of(model) == BPE else Pieces(model)
 
 
 @lru_cache(maxsize=1)
@@ -241,6 +345,32 @@ def _chunks(giants: DataFrame, longest: int, size: int) -> DataFrame:
     return giants.mapInArrow(run, _CHUNK)
 
 
+def _encode_parts(giants: DataFrame, model: str, size: int) -> DataFrame:
+    """doc_id, th, c, ids: the chunks between cuts of each text, encoded in different tasks."""
+
+    def cut(batches):
+        pieces = pieces_of(model)
+        for batch in batches:
+            for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
+                for c, s in enumerate(pieces.chunks(SPACE + text.replace(" ", SPACE), size)):
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "th": [th], "c": [c], "s": [s]})
+
+    def run(batches):
+        pieces = pieces_of(model)
+        for batch in batches:
+            for a in range(0, len(batch), 16):
+                rows = batch.slice(a, 16)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "th", "c")), _lists([pieces.part(s) for s in rows.column("s").to_pylist()])], ["doc_id", "th", "c", "ids"])
+
+    chunks = giants.mapInArrow(cut, "doc_id long, th long, c long, s string").repartition("doc_id", "th", "c")
+    return chunks.mapInArrow(run, "doc_id long, th long, c long, ids array<int>")
+
+
+def _encode_scanned(giants: DataFrame, model: str, size: int) -> DataFrame:
+    chunks = written(_chunks(giants, pieces_of(model).longest, size)).repartition("doc_id", "th", "c")
+    return _encode_chunks(chunks, _states(written(_matrices(chunks, model))), model)
+
+
 def _matrices(chunks: DataFrame, model: str) -> DataFrame:
     def run(batches):
         pieces = pieces_of(model)
@@ -305,17 +435,14 @@ def _encode_chunks(chunks: DataFrame, states: DataFrame, model: str) -> DataFram
 
 
 def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
-    """docs with ids; texts of more than `chunk` characters go through the scan in chunks of that size."""
+    """docs with ids; texts of more than `chunk` characters are encoded in chunks of about that size."""
     docs = docs.drop("ids")
     whole = _encode_whole(docs.where(F.col("text").isNull() | (F.length("text") <= chunk)), model)
     giants = docs.where(F.length("text") > chunk).withColumn("__th", F.xxhash64("text"))
     if giants.isEmpty():
         return whole
-    longest = pieces_of(model).longest
     each = giants.select(F.col("doc_id").cast("long"), F.col("__th").alias("th"), "text").dropDuplicates(["doc_id", "th"])
-    chunks = written(_chunks(each, longest, chunk))
-    chunks = chunks.repartition("doc_id", "th", "c")
-    ids = _encode_chunks(chunks, _states(written(_matrices(chunks, model))), model)
+    ids = (_encode_parts if kind_of(model) == BPE else _encode_scanned)(each, model, chunk)
     ids = ids.groupBy("doc_id", "th").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
     ids = ids.withColumnsRenamed({"doc_id": "__doc", "th": "__h"})
     found = giants.join(ids, giants["doc_id"].eqNullSafe(ids["__doc"]) & (giants["__th"] == ids["__h"]))

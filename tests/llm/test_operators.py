@@ -330,6 +330,17 @@ def test_encoding_round_trip(spark, docs, none, texts, model, monkeypatch):
     assert maxplus.encode(none, model).count() == 0
 
 
+def test_ids_are_those_of_the_unmodified_model(spark, docs, texts, model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    odd = ["Elle est", "  lead", "trail  ", " ", "a" * 700, "😀" * 300, "tab\tnew\nline " * 60, "a▁b▁▁", "(x).,; \x00 1234" * 30, "她 说过" * 90, "a   b" * 50]
+    more = docs.unionByName(spark.createDataFrame([(3000 + i, t, "x", 0, "") for i, t in enumerate(odd)], SCHEMA))
+    for chunk in (60, 1 << 15):
+        for r in maxplus.encode(more, model, chunk=chunk).collect():
+            assert r.ids == (None if r.text is None else sp.encode(r.text)), (chunk, r.text)
+
+
 # personal data
 
 
