@@ -23,7 +23,7 @@ Where several unigram segmentations have the same greatest score any of them is
 
 Decoding concatenates the pieces' bytes and restores spaces. As SentencePiece does, it reads the character U+2581 as a
 space; all other texts come back as they were. Defined results: a null text has no ids (null), an empty one no pieces;
-rows with equal doc_id and text get equal ids. All columns pass through; ids, if there before, is replaced.
+rows with equal texts get equal ids, those with a null doc_id too. All columns pass through; ids, if there before, is replaced.
 """
 
 from __future__ import annotations
@@ -438,14 +438,15 @@ def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
     """docs with ids; texts of more than `chunk` characters are encoded in chunks of about that size."""
     docs = docs.drop("ids")
     whole = _encode_whole(docs.where(F.col("text").isNull() | (F.length("text") <= chunk)), model)
-    giants = docs.where(F.length("text") > chunk).withColumn("__th", F.xxhash64("text"))
+    # chunks meet by (__key, hash), which are never null; which doc_id stands for a null one doesn't matter, equal texts have equal ids
+    giants = docs.where(F.length("text") > chunk).withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("__th", F.xxhash64("text"))
     if giants.isEmpty():
         return whole
-    each = giants.select(F.col("doc_id").cast("long"), F.col("__th").alias("th"), "text").dropDuplicates(["doc_id", "th"])
+    each = giants.select(F.col("__key").alias("doc_id"), F.col("__th").alias("th"), "text").dropDuplicates(["doc_id", "th"])
     ids = (_encode_parts if kind_of(model) == BPE else _encode_scanned)(each, model, chunk)
     ids = ids.groupBy("doc_id", "th").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
     ids = ids.withColumnsRenamed({"doc_id": "__doc", "th": "__h"})
-    found = giants.join(ids, giants["doc_id"].eqNullSafe(ids["__doc"]) & (giants["__th"] == ids["__h"]))
+    found = giants.join(ids, (giants["__key"] == ids["__doc"]) & (giants["__th"] == ids["__h"]))
     return whole.unionByName(found.select(*docs.columns, "ids"))
 
 

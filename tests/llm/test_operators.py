@@ -341,6 +341,21 @@ def test_ids_are_those_of_the_unmodified_model(spark, docs, texts, model):
             assert r.ids == (None if r.text is None else sp.encode(r.text)), (chunk, r.text)
 
 
+@pytest.mark.parametrize("kind", [1, 2])
+def test_giants_without_doc_id_keep_their_rows(spark, model, tmp_path, kind):
+    raw = open(model, "rb").read()
+    at = raw.rindex(b"\x12\x06tok_v0\x18\x02")
+    (tmp_path / "m").write_bytes(raw[: at + 9] + bytes([kind]) + raw[at + 10 :])
+    giant = "mine and yours " * 20
+    rows = [(None, giant), (None, giant), (None, giant + "x"), (0, giant), (0, giant + "y"), (None, "short"), (None, None), (1, giant)]
+    ids = {}
+    for chunk in (60, 1 << 15):
+        out = maxplus.encode(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "m"), chunk=chunk).collect()
+        assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+        for r in out:
+            assert ids.setdefault(r.text, r.ids) == r.ids and (r.ids is None) == (r.text is None)
+
+
 # personal data
 
 
