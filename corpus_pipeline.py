@@ -13,6 +13,9 @@ from quadrille.llm import containment, divergence, jaccard, line_runs, maxplus
 from quadrille.llm.common import shared_dir, table, written
 from quadrille.llm.queries import tokenizer_file
 
+#: A line of so many words is a passage: its later copies go even where the lines around it differ.
+LONG_LINE = 50
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rule and lie near their language; columns as they came."""
@@ -20,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later copies of repeated line runs out of texts; a document of which nothing is left goes."""
-    cut = line_runs.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
+    """Cuts later copies of repeated line runs, and of single lines of LONG_LINE words, out of texts; a document of which
+    nothing is left goes."""
+    cut = line_runs.line_dedup(docs, min_words=LONG_LINE).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
     changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return cut.withColumns(changed).select(*docs.columns)
 

@@ -8,7 +8,8 @@ other and leaves. Sorting stops at the depth min_lines: neighbours there with a
 LCP interval, all its members but the first are later copies, and chained they are the maximal repeated runs.
 
 Defined results: a line is deleted if it lies in a run of min_lines or more consecutive non-blank lines that also
-occurs earlier, by (doc_id, line). Blank lines stay and do not break a run. A null text counts as empty and stays
+occurs earlier, by (doc_id, line); with min_words also if it has that many words and occurs earlier by itself, in a run
+of any length. Blank lines stay and do not break a run. A null text counts as empty and stays
 null. Documents with equal doc_id are told apart by their texts; rows with equal doc_id and text are one
 document, each row of which gets the same result. Other columns pass through untouched.
 """
@@ -18,15 +19,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import words, written
 
 
-def _sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, pos, r): each non-blank line, its number in the text, its number in the sequence, its id."""
+def _sequences(docs: DataFrame, min_words: int | None) -> DataFrame:
+    """(doc_id, th, line, pos, r, long): each non-blank line, its number in the text, its number in the sequence, its id,
+    whether it has min_words words."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    tagged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("r"), x.rlike(r"[^\x20\x09-\x0D]").alias("ink")))
+    long = lambda x: F.lit(False) if min_words is None else F.size(words(x)) >= min_words
+    tagged = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("r"), long(x).alias("long"), x.rlike(r"[^\x20\x09-\x0D]").alias("ink")))
     df = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.filter(tagged, lambda x: x["ink"])).alias("pos", "x"))
-    return df.select("doc_id", "th", "pos", F.col("x.line").alias("line"), F.col("x.r").alias("r"))
+    return df.select("doc_id", "th", "pos", F.col("x.line").alias("line"), F.col("x.r").alias("r"), F.col("x.long").alias("long"))
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def _ranked(suffixes: DataFrame) -> DataFrame:
     pairs = suffixes.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).where("n > 1")
     # after a range sort the ids that Spark numbers rows with rise with (a, b); writing fixes them
     ranks = written(pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").select("a", "b", F.monotonically_increasing_id().alias("r"), "first"))
-    return written(suffixes.join(ranks, ["a", "b"]).select("doc_id", "th", "pos", "line", "r", "first"))
+    return written(suffixes.join(ranks, ["a", "b"]).select("doc_id", "th", "pos", "line", "long", "r", "first"))
 
 
 def _moved(suffixes: DataFrame, by: int) -> DataFrame:
@@ -43,24 +46,30 @@ def _moved(suffixes: DataFrame, by: int) -> DataFrame:
     return suffixes.withColumnRenamed("r", "a").drop("first").join(on, ["doc_id", "th", "pos"])
 
 
-def later_copies(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
-    """(doc_id, th, pos): where a run of min_lines lines starts that also starts earlier, th the text's hash."""
+def later_copies(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
+    """(doc_id, th, pos, n): where a run of n lines starts that also starts earlier, th the text's hash.
+
+    n is min_lines, or 1 where the line alone has min_words words.
+    """
+    later = F.struct("doc_id", "th", "pos") != F.col("first")
     # the same rows twice are one document
-    found = _ranked(_sequences(docs).dropDuplicates(["doc_id", "th", "pos"]).withColumnRenamed("r", "a").withColumn("b", F.lit(0)))
+    found = _ranked(_sequences(docs, min_words).dropDuplicates(["doc_id", "th", "pos"]).withColumnRenamed("r", "a").withColumn("b", F.lit(0)))
+    alone = found.where(later & F.col("long")).select("doc_id", "th", "pos", F.lit(1).alias("n"))
     h = 1
     while 2 * h <= min_lines:
         found = _ranked(_moved(found, h))
         h *= 2
     if h < min_lines:  # two overlapping stretches of h lines make min_lines
         found = _ranked(_moved(found, min_lines - h))
-    return found.where(F.struct("doc_id", "th", "pos") != F.col("first")).select("doc_id", "th", "pos")
+    runs = found.where(later).select("doc_id", "th", "pos", F.lit(min_lines).alias("n"))
+    return runs if min_words is None else runs.union(alone)
 
 
-def line_dedup(docs: DataFrame, *, min_lines: int = 2) -> DataFrame:
-    """docs with later copies of repeated line runs cut from text, and n_lines (non-blank), n_removed, n_runs."""
+def line_dedup(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
+    """docs with later copies of repeated line runs, and of single lines of min_words words, cut from text, and n_lines (non-blank), n_removed, n_runs."""
     docs = docs.drop("n_lines", "n_removed", "n_runs")
-    starts = later_copies(docs, min_lines=min_lines)
-    gone = starts.select("doc_id", "th", F.explode(F.sequence("pos", F.col("pos") + min_lines - 1)).alias("pos"))
+    starts = later_copies(docs, min_lines=min_lines, min_words=min_words)
+    gone = starts.select("doc_id", "th", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos"))
     gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__doc", "th": "__of"})
     df = docs.withColumn("__th", F.xxhash64("text"))

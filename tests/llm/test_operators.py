@@ -117,6 +117,16 @@ def test_line_dedup(docs, none, texts, least):
     assert line_runs.line_dedup(none).count() == 0
 
 
+def test_long_single_lines(spark):
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"v{k}" for k in range(49))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}"), (3, f"{long}\n\n{long}\ne"), (4, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: rows[0][1], 2: f"c\nd\n{short}", 3: "\ne", 4: ""}
+    assert {r.doc_id: r.text for r in line_runs.line_dedup(docs, min_words=50).collect()} == want
+    cut = __import__("corpus_pipeline").line_dedup(spark, docs, "")
+    assert {r.doc_id: r.text for r in cut.collect()} == {k: t for k, t in want.items() if k != 4}
+
+
 # Jaccard join
 
 
