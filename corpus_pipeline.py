@@ -1,7 +1,8 @@
 """A corpus pipeline out of the operators of quadrille.llm: each stage is written as Parquet and read again.
 
 Each stage takes all rows that the one before it kept. Null texts count as empty and fail the quality rules, so later
-stages see none; an empty table gives an empty table; columns besides doc_id, text, lang and n_chars pass through.
+stages see none; a null doc_id is one like others, and documents with equal doc_id are told apart by their texts; rows
+with equal doc_id and text are one document, of which the third stage leaves one row; an empty table gives an empty table; columns besides doc_id, text, lang and n_chars pass through.
 """
 
 from __future__ import annotations
@@ -31,9 +32,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component of near duplicates (5-word shingles, 0.8) the document with the smallest doc_id."""
-    copies = jaccard.classes(docs).where("component <> doc_id").select("doc_id").distinct()
-    return docs.join(written(copies), "doc_id", "left_anti").select(*docs.columns)
+    """Keeps of each component of near duplicates (5-word shingles, 0.8) one row: that with the smallest doc_id, nulls
+    last, of those the smallest text hash, of equal ones the smallest as JSON. Texts without words stay."""
+    rows = jaccard.classes(docs).where("label is not null").groupBy("doc_id", "th", "label").agg(F.count("*").alias("n"))
+    rows = written(rows)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = first.select(F.col("label").alias("__label"), F.col("first.doc_id").alias("__first"), F.col("first.th").alias("__of"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("th") == F.col("__of"))
+    marked = written(rows.join(first, F.col("label") == F.col("__label")).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "n", is_first.alias("kept")))
+    same = docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+    repeated = marked.where("kept and n > 1").drop("n", "kept")
+    if repeated.isEmpty():
+        return docs.join(marked.where("not kept"), same, "left_anti").select(*docs.columns)
+    single = docs.join(marked.where("not kept or n > 1"), same, "left_anti").select(*docs.columns)
+    each = docs.join(repeated, same, "left_semi").select("doc_id", "text", F.struct(*docs.columns).alias("x"))
+    return single.unionByName(each.groupBy("doc_id", "text").agg(F.min_by("x", F.to_json("x")).alias("x")).select("x.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

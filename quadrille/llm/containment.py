@@ -11,7 +11,7 @@ Only DataFrame functions run here. Sketches and items are broadcast only below a
 
 Defined results: texts are lower-cased, words split at ASCII white space; an item with fewer words than a shingle is one
 shingle of that many words; null or wordless items and texts match nothing. Rows with equal doc_id and text count once,
-and so do items with equal item_id and text. Other columns are not looked at.
+null doc_ids being equal, and so do items with equal item_id and text. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -84,7 +84,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, num: int =
         return docs.sparkSession.createDataFrame([], none)
     found = written(found.groupBy("doc_id", "th").agg(F.collect_set("item_id").alias("items")))
     listed = F.broadcast(found) if small_enough(found, MAX_BROADCAST) else found
-    w = docs.join(listed, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).withColumn("w", words(F.lower("text")))
+    listed = listed.withColumnsRenamed({"doc_id": "__doc", "th": "__th"})
+    w = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__th"))).dropDuplicates(["doc_id", "th"]).withColumn("w", words(F.lower("text")))
     sizes = [r["size"] for r in items.select("size").distinct().collect()]
     w = w.select("doc_id", "th", "items", *(_shingles(F.col("w"), k).alias(f"s{k}") for k in sizes))
     held = F.lit(None).cast("array<string>")
@@ -100,5 +101,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     bad = matches(docs, benchmark, **how).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct()
     bad = written(bad)
     bad = F.broadcast(bad) if small_enough(bad, MAX_BROADCAST) else bad
-    same = (docs["doc_id"] == bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__th"])
+    same = docs["doc_id"].eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__th"])
     return docs.join(bad, same, "left_anti")

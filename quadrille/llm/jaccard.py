@@ -15,7 +15,8 @@
 No token is capped or dropped: frequency only decides the order, and any order gives the same links.
 
 Defined results: a null or wordless text has an empty set and no links; a text with fewer words than a shingle is one
-shingle; equal sets link, so repeated rows and equal doc_ids are in one component if their sets link. Columns
+shingle; equal sets link, so repeated rows and equal doc_ids are in one component if their sets link; a component of
+null doc_ids alone has none. Columns
 other than doc_id and text are not looked at.
 """
 
@@ -53,14 +54,14 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def class_sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
-    """Rows of two kinds: doc_id, n, cid and keys (the least hash under two functions) of each document, and token, count,
+    """Rows of two kinds: doc_id, th (the text's hash), n, cid and keys (the least hash under two functions) of each document, and token, count,
     lists of a block's repeated tokens."""
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count > 1], count[count > 1]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(token)], pa.int32()), pa.array(x)) for x in (token.view(np.int64), count)]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(5)), *lists], _SET_NAMES)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(6)), *lists], _SET_NAMES)
 
     def run(batches):
         held, m = [], 0
@@ -76,14 +77,14 @@ def class_sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
                     yield counted(held)
                     held, m = [], 0
             none = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (zip(*keys, strict=True) if keys else ((), ()))), none, none], _SET_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (zip(*keys, strict=True) if keys else ((), ()))), none, none], _SET_NAMES)
         if held:
             yield counted(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, cid long, key0 long, key1 long, token array<long>, count array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n long, cid long, key0 long, key1 long, token array<long>, count array<long>")
 
 
-_SET_NAMES = ["doc_id", "n", "cid", "key0", "key1", "token", "count"]
+_SET_NAMES = ["doc_id", "th", "n", "cid", "key0", "key1", "token", "count"]
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -140,7 +141,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int, fold_case: bool)
     ids = wanted.select("doc_id").distinct()
     if small_enough(ids, MAX_BROADCAST_IDS):
         ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+    ids = ids.withColumnRenamed("doc_id", "__doc")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi")
     sets = texts.select("text").mapInArrow(run, "cid long, h array<long>")
     return sets.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
@@ -179,7 +181,8 @@ def _fits(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
 
 
 def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fold_case: bool = True) -> DataFrame:
-    """doc_id, n (tokens), cid (its class) and component (the smallest doc_id it reaches) of every row."""
+    """doc_id, th (the text's hash), n (tokens), cid (its class), component (the smallest doc_id it reaches) and label (the
+    component's own id, null without words) of every row."""
     sets = written(class_sets(docs, size, fold_case))
     frequent = _frequent(sets)
     sets = sets.where("cid is not null").drop("token", "count")
@@ -231,5 +234,5 @@ def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fo
 
     smallest = by_class.join(label, by_class["cid"] == label["node"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
     of_label = smallest.groupBy("label").agg(F.min("doc_id").alias("component"))
-    out = smallest.select("cid", "label").join(of_label, "label").select("cid", "component")
-    return sets.select("doc_id", "n", "cid").join(out, "cid", "left").select("doc_id", "n", "cid", F.coalesce("component", "doc_id").alias("component"))
+    out = smallest.select("cid", "label").join(of_label, "label").select("cid", "label", "component")
+    return sets.select("doc_id", "th", "n", "cid").join(out, "cid", "left").select("doc_id", "th", "n", "cid", F.coalesce("component", "doc_id").alias("component"), "label")

@@ -11,7 +11,7 @@ Defined results: a line is deleted if it lies in a run of min_lines or more cons
 occurs earlier, by (doc_id, line); with min_words also if it has that many words and occurs earlier by itself, in a run
 of any length. Blank lines stay and do not break a run. A null text counts as empty and stays
 null. Documents with equal doc_id are told apart by their texts; rows with equal doc_id and text are one
-document, each row of which gets the same result. Other columns pass through untouched.
+document, each row of which gets the same result. A null doc_id is one like others and comes first. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ def _ranked(suffixes: DataFrame) -> DataFrame:
 
 def _moved(suffixes: DataFrame, by: int) -> DataFrame:
     """Suffixes with a, their rank, and b, that of the suffix so many lines on in the same document."""
-    on = suffixes.select("doc_id", "th", (F.col("pos") - by).alias("pos"), F.col("r").alias("b"))
-    return suffixes.withColumnRenamed("r", "a").drop("first").join(on, ["doc_id", "th", "pos"])
+    on = suffixes.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__of"), (F.col("pos") - by).alias("__pos"), F.col("r").alias("b"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("th") == F.col("__of")) & (F.col("pos") == F.col("__pos"))
+    return suffixes.withColumnRenamed("r", "a").drop("first").join(on, same).drop("__doc", "__of", "__pos")
 
 
 def later_copies(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def line_dedup(docs: DataFrame, *, min_lines: int = 2, min_words: int | None = N
     gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__doc", "th": "__of"})
     df = docs.withColumn("__th", F.xxhash64("text"))
-    df = df.join(gone, (df["doc_id"] == gone["__doc"]) & (df["__th"] == gone["__of"]), "left").drop("__doc", "__of", "__th")
+    df = df.join(gone, df["doc_id"].eqNullSafe(gone["__doc"]) & (df["__th"] == gone["__of"]), "left").drop("__doc", "__of", "__th")
     df = df.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     # __ink: the line numbers of the sequence's members
     df = df.withColumn("__ink", F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull()))

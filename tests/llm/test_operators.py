@@ -467,6 +467,31 @@ def test_quote_links(spark):
 # the pipeline
 
 
+def test_null_and_repeated_doc_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "abcde")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    # stage 2: the null doc_id comes first, its later copies and its own go like others
+    two = frame([(None, "x y\nz w\nq", "en"), (None, "p\nx y\nz w", "en"), (7, "x y\nz w\nr", "en")])
+    cut = [(r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, two, "").collect()]
+    assert len(cut) == 3 and sum(t.count("x y\nz w") for _, t in cut) == 1 and (7, "r") in cut
+
+    # stage 3: one of repeated rows, the clean text beside a copy under one doc_id, near copies without doc_id
+    rows = [(1, a, "en"), (1, a, "de"), (2, a + " more", "en"), (2, b, "en"), (3, c, "en"), (None, c + " end", "en"), (None, d, "en"), (None, d + " end", "en"), (4, e, "en"), (4, e + " end", "en")]
+    got = [tuple(r) for r in corpus_pipeline.ngram_jaccard_join(spark, frame(rows), "").collect()]
+    assert [r[1] for r in got].count(a) == 1 and (1, a, "de") in got and (2, b, "en") in got and (3, c, "en") in got
+    assert len(got) == 5 and sum(r[0] is None and r[1].startswith(d) for r in got) == 1 and sum(r[0] == 4 for r in got) == 1
+
+    # stage 4: a contaminated null doc_id goes, a clean one stays
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.benchmark_decontamination(spark, frame([(None, a + " x", "en"), (None, b, "en"), (5, a, "en")]), str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(None, b, "en")]
+    assert containment.matches(frame([(None, a, "en")]), spark.read.parquet(str(tmp_path / "benchmark.parquet"))).count() == 1
+
+
 def test_pipeline_stages(spark, tmp_path, texts):
     import corpus_pipeline
 
