@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,15 @@ def resolved_slots(chain: DataFrame, overlays: DataFrame) -> DataFrame:
     o = overlays.withColumnRenamed("version", "ancestor").withColumn("gone", F.col("value").isNull())
     seen = chain.join(o, "ancestor").groupBy("version", "slot").agg(F.min_by(F.struct("value", "gone"), "distance").alias("x"))
     return seen.where("not x.gone").select("version", "slot", F.col("x.value").alias("value"))
+
+
+def chain_slots(overlays: DataFrame) -> DataFrame:
+    """version, slot, value: as resolved_slots, of overlays (chain, place, version, slot, value) in linear chains.
+
+    A version sees the last overlay of each slot up to its place; rows are versions times slots of a chain, not pairs.
+    """
+    versions, slots = overlays.select("chain", "place", "version").distinct(), overlays.select("chain", "slot").distinct()
+    o = overlays.select("chain", "version", "slot", F.struct("value").alias("x"))
+    upto = Window.partitionBy("chain", "slot").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    seen = versions.join(slots, "chain").join(o, ["chain", "version", "slot"], "left").withColumn("x", F.last("x", ignorenulls=True).over(upto))
+    return seen.select("version", "slot", F.col("x.value").alias("value")).where("value is not null")

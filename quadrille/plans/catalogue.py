@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings, terms
@@ -494,6 +494,55 @@ def resolved_slots(spark, sf_dir):
     return claims.resolved_slots(chain, overlays)
 
 
+# the same over whole tables
+
+
+@query("pull_nested_all", "select 'customer:' || c_custkey as root, 0 as depth, 'c_nationkey' as predicate from customer union all select 'customer:' || c_custkey, 1, 'n_regionkey' from customer")
+def pull_nested_all(spark, sf_dir):
+    source = facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey").of
+    roots = read(spark, sf_dir, "customer").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
+    out = graph.pull(source, roots, [":c_nationkey", ":n_regionkey"], 3)
+    return out.select(F.regexp_extract("root", r"^s\d+:(.*)$", 1).alias("root"), "depth", F.substring("predicate", 2, 100).alias("predicate"))
+
+
+def _marks(spark, sf_dir, predicate: Keyword, t1: Column, where: str = "true") -> DataFrame:
+    """Statements, in a space of their own, about the coordinates of the events (seq) for which where holds."""
+    e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq")).where(where)
+    return operations(e, "marks", F.col("seq"), F.lit(0), F.lit("assert"), t1, terms.literal(predicate), history.coordinate(F.lit("events"), F.col("seq"), F.lit(0)))
+
+
+@query("superseded_view_all", _OPS.format(where="") + "select seq, u, k from f where live and seq % 2 = 0")
+def superseded_view_all(spark, sf_dir):
+    """All odd occurrences are superseded."""
+    log = event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SUPERSEDES, terms.literal("new"), "seq % 2 = 1"))
+    return _plain(history.not_superseded(history.live_occurrences(log)).where("space = 'events'"))
+
+
+@query("view_occurrences_all", _OPS.format(where="") + "select 'v' || (seq % 2) as view, seq from f where live")
+def view_occurrences_all(spark, sf_dir):
+    """All occurrences are selected, by two views."""
+    view = terms.string(F.concat(F.lit("v"), (F.col("seq") % 2).cast("string")))
+    out = history.view_occurrences(history.live_occurrences(event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SELECTS, view))))
+    return out.select(F.regexp_extract("view", "^s[0-9]+:(.*)$", 1).alias("view"), "seq")
+
+
+_DAILY = """with e as (select event_id, user_id, cast(ts as date) as day, 's' || (cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) % 8) as slot from events),
+s as (select distinct user_id, day, slot from e),
+g as (select a.event_id, s.slot, last_value(b.event_id ignore nulls) over (partition by a.user_id, a.day, s.slot order by a.event_id rows unbounded preceding) as value
+  from e a join s on a.user_id is not distinct from s.user_id and a.day is not distinct from s.day left join e b on b.event_id = a.event_id and b.slot = s.slot)
+select 'v' || event_id as version, slot, value from g where value % 5 <> 0"""
+
+
+@query("resolved_slots_daily", _DAILY)
+def resolved_slots_daily(spark, sf_dir):
+    """Each user's events of a day as a chain of versions, each of which sets a slot; every fifth deletes it."""
+    e = read(spark, sf_dir, "events")
+    slot = F.concat(F.lit("s"), (F.get_json_object("props", "$.k").cast("bigint") % 8).cast("string"))
+    version, value = F.concat(F.lit("v"), F.col("event_id").cast("string")), F.when(F.col("event_id") % 5 != 0, F.col("event_id"))
+    chain = F.to_json(F.struct("user_id", F.to_date("ts").alias("day")))
+    return claims.chain_slots(e.select(chain.alias("chain"), F.col("event_id").alias("place"), version.alias("version"), slot.alias("slot"), value.alias("value")))
+
+
 # text
 
 

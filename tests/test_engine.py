@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quadrille.errors import QueryError
 from quadrille.functions import terms, text
 from quadrille.functions.terms import Instant, Keyword, Triple
-from quadrille.operators import graph, history, profile
+from quadrille.operators import claims, graph, history, profile
 from quadrille.operators.write import Builder, Log, parse_key, python
+from quadrille.plans import catalogue
 from quadrille.plans.evaluate import collected, page, run
 from quadrille.plans.plan import parse
 from quadrille.sources import tables
@@ -209,6 +210,26 @@ def test_writes_leases_and_replacement(spark, tmp_path):
     assert log.lease("res") is None
 
 
+def test_slots_of_chains(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), i, f"v{i}", f"s{rng.randrange(4)}", None if rng.randrange(4) == 0 else i) for i in range(80)]
+    overlays = spark.createDataFrame(rows, "chain int, place int, version string, slot string, value int")
+    a, b = overlays.alias("a"), overlays.alias("b")
+    pairs = a.join(b, F.expr("a.chain = b.chain and b.place <= a.place")).selectExpr("a.version", "b.version as ancestor", "a.place - b.place as distance")
+    want = claims.resolved_slots(pairs, overlays.select("version", "slot", "value"))
+    assert sorted(map(tuple, claims.chain_slots(overlays).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_queries_over_whole_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    n = tables.read(spark, sf, "customer").count()
+    assert catalogue.queries()["pull_nested_all"](spark, sf).groupBy("depth").count().orderBy("depth").collect() == [(0, n), (1, n)]
+    live = {r.seq for r in history.live_occurrences(tables.event_log(spark, sf)).collect()}
+    assert sorted(map(tuple, catalogue.queries()["view_occurrences_all"](spark, sf).collect())) == sorted((f"v{s % 2}", s) for s in live)
+    assert sorted(r.seq for r in catalogue.queries()["superseded_view_all"](spark, sf).collect()) == sorted(s for s in live if s % 2 == 0)
+    assert max(live) > 200
+
+
 def test_markdown_profile_and_graph(spark, tmp_path):
     (tmp_path / "a.md").write_text("# @a\nowner @me\ntag x, y\n---\nSome text\n")
     found = tables.read_markdown(spark, str(tmp_path))
