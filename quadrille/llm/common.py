@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; only where that is unset, a local one."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir; where that is unset, a local one, but only if
+    the session has no other machines."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all its machines share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
@@ -29,6 +33,15 @@ def written(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()[:1]}
+        for where in folders:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,3 +61,8 @@ def file_system(uri: str):
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; looks at no more than one row beyond."""
     return df.limit(rows + 1).count() <= rows
+
+
+def written_bytes(df: DataFrame) -> int:
+    """The size of a written table's files, as Spark's own plan states it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

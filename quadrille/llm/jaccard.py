@@ -4,13 +4,17 @@
 2. All sets are read in one order of tokens: rare ones first by hash, frequent ones last by how frequent they are. Two
    sets that link share a number of tokens within the first part of each (the prefix), so only prefixes are
    exchanged; and what a copy has changed stands first in it.
-3. Similar classes are gathered in groups: those with the same smallest hash (under two hashes in turn) are
-   compared with the one among them that has the fewest rare tokens, and links make groups. A group is connected.
-4. The token-group matrix holds (token, group) for each token in the union of a group's prefixes. The tokens that
-   a class shares with a group's union, and those before the last of them that it doesn't share, bound its overlap
-   with every member; only groups that reach the needed overlap are opened, first the member that stands for the
-   group, then, where that left the two apart, the members that reach the bound by themselves.
-5. Comparisons are exact intersections of the sets. The links and the groups give the components.
+3. Each class has a sketch: one bit a token, set if an odd number of tokens fall on it. What two sets share cancels
+   out, so the bits in which two sketches differ are a lower bound of the tokens in which the sets differ.
+4. Similar classes are gathered in groups: those with the same smallest hash (under two hashes in turn) are
+   compared with the one among them that has the fewest rare tokens, their leader; who links with a leader joins its group.
+   A group's radius is the greatest difference between a member and its leader.
+5. The token-group matrix holds (token, group) for each token in the union of a group's prefixes. A class looks up the
+   groups whose unions hold its prefix tokens, where places and sizes let the needed overlap be reached. Of these it is
+   compared with the leader; where that left the two apart, and the difference to the leader less the radius is
+   small enough for a link with a member, the group is opened: first with a member that stands for the group, twice, as a
+   link of any two connects all; then with all its members whose sketches let them link.
+6. Comparisons are exact intersections of the sets. The links and the groups give the components.
 
 No token is capped or dropped: frequency only decides the order, and any order gives the same links.
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_enough, written
+from .common import forget, small_enough, written
 from .components import connected
 from .shingles import mix, shingle_sets
 
@@ -38,6 +42,8 @@ BLOCK, MAX_FREQUENT, FREQUENT = 4_000_000, 1_000_000, 24
 MAX_BROADCAST_IDS = 500_000
 #: A prefix row holds a set's size and a token's place in one number: the place in so many low bits.
 PLACE = 31
+#: Members that stand for a group before it is opened to all.
+DEPUTIES = 2
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -53,38 +59,51 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - _need(n, num, den) + 1
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens on each of len(s) bits or more, a power of two, as 64-bit words."""
+    bits = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_KINDS = {"doc_id": "long", "th": "long", "n": "long", "cid": "long", "key0": "long", "key1": "long", "bits": "array<long>", "token": "array<long>", "count": "array<long>"}
+
+
 def class_sets(docs: DataFrame, size: int, fold_case: bool) -> DataFrame:
-    """Rows of two kinds: doc_id, th (the text's hash), n, cid and keys (the least hash under two functions) of each document, and token, count,
+    """Rows of two kinds: doc_id, th (the text's hash), n, cid, keys (the least hash under two functions) and the sketch of each document, and token, count,
     lists of a block's repeated tokens."""
+    names = list(_KINDS)
+
+    def lists(held: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0] + [len(x) for x in held])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*held, np.zeros(0, np.int64)])))
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count > 1], count[count > 1]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(token)], pa.int32()), pa.array(x)) for x in (token.view(np.int64), count)]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(6)), *lists], _SET_NAMES)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(6)), pa.nulls(1, pa.list_(pa.int64())), lists([token.view(np.int64)]), lists([count])], names)
 
     def run(batches):
         held, m = [], 0
         for batch in batches:
-            n, cid, keys = [], [], []
+            n, cid, keys, bits = [], [], [], []
             for s in shingle_sets(batch.column("text"), size, fold_case=fold_case):
                 n.append(len(s))
                 cid.append(_class_id(s))
                 keys.append((s[0], mix(s ^ np.uint64(0x5851F42D4C957F2D)).min()) if len(s) else (0, 0))
+                bits.append(sketch(s))
                 held.append(s)
                 m += len(s)
                 if m > BLOCK:
                     yield counted(held)
                     held, m = [], 0
             none = pa.nulls(len(n), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *(pa.array(np.array(k, np.uint64).view(np.int64)) for k in (zip(*keys, strict=True) if keys else ((), ()))), none, none], _SET_NAMES)
+            two = (pa.array(np.array(k, np.uint64).view(np.int64)) for k in (zip(*keys, strict=True) if keys else ((), ())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), *two, lists(bits), none, none], names)
         if held:
             yield counted(held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n long, cid long, key0 long, key1 long, token array<long>, count array<long>")
-
-
-_SET_NAMES = ["doc_id", "th", "n", "cid", "key0", "key1", "token", "count"]
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in _KINDS.items()))
 
 
 def _frequent(sets: DataFrame) -> np.ndarray:
@@ -147,32 +166,38 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int, fold_case: bool)
     return sets.join(wanted.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _bounded(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose prefixes let them link; tokens: the prefix tokens that classes share."""
-    x = tokens.select(F.col("cid").alias("a"), "token", "n", "pos")
-    y = tokens.select(F.col("cid").alias("b"), "token", F.col("n").alias("m"), F.col("pos").alias("at"))
-    both = pairs.join(x, "a").join(y, ["b", "token"]).where(_fits(F.col("n"), F.col("m"), F.col("m"), num, den))
-    both = both.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"), F.max("pos").alias("last"), F.max("at").alias("at"))
-    reach = _reaches(F.col("k"), F.col("last"), F.col("n"), F.col("m"), num, den) & _reaches(F.col("k"), F.col("at"), F.col("m"), F.col("n"), num, den)
-    return both.where(reach).select("a", "b")
+def _differ(x: Column, y: Column) -> Column:
+    """A lower bound of the tokens in which two sets differ, by their sketches; the longer is folded to the other's length.
+
+    Sets that can link have sketches of equal lengths or one twice the other; of others nothing is claimed.
+    """
+
+    def folded(a, b):
+        half = (F.size(a) / 2).cast("int")
+        upper = F.slice(a, F.greatest(half, F.lit(1)) + 1, F.greatest(half, F.lit(1)))
+        return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, 1, F.greatest(half, F.lit(1))), upper, lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+
+    each = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda s, d: s + d), F.lit(0)).cast("long")
+
+
+def _close(differ: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    """Whether sets of n and m tokens that differ in so many link: shared = (n + m - differ) / 2."""
+    return (num + den) * (n + m - differ) >= 2 * num * (n + m)
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, by_class: DataFrame, size: int, fold_case: bool, num: int, den: int) -> DataFrame:
-    """The written pairs (a, b) of classes whose sets link, by the exact intersection of the sets."""
+    """The written pairs (a, b) of classes whose sets link, by the exact intersection of the sets, and differ, the tokens
+    that one of the two has."""
     pairs = written(pairs.select("a", "b").distinct())
     wanted = written(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(by_class.select("cid", "doc_id"), "cid"))
     sets = written(_whole_sets(docs, wanted, size, fold_case))
     x, y = sets.select(F.col("cid").alias("a"), F.col("h").alias("x")), sets.select(F.col("cid").alias("b"), F.col("h").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
-    return written(both.where(den * F.col("both") >= num * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
-
-
-def _reaches(k: Column, last: Column, n: Column, other: Column, num: int, den: int) -> Column:
-    """Whether a set of n tokens that shares k in the prefixes, the last at place `last`, can link to one of `other` tokens.
-
-    What it doesn't share up to there it doesn't share at all, so k + n - last - 1 bounds the overlap.
-    """
-    return ((num + den) * (k + n - last - 1) >= num * (n + other))
+    both = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = both.withColumn("all", F.size("x") + F.size("y") - F.col("both")).where(den * F.col("both") >= num * F.col("all"))
+    out = written(both.select("a", "b", (F.col("all") - F.col("both")).alias("differ")))
+    forget(pairs, wanted, sets)
+    return out
 
 
 def _fits(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
@@ -180,59 +205,84 @@ def _fits(n: Column, low: Column, high: Column, num: int, den: int) -> Column:
     return (num * n <= den * high) & (num * low <= den * n)
 
 
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, label) once more links (a, b) are known."""
+    tag = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))
+    between = links.join(tag("a", "x"), "a", "left").join(tag("b", "y"), "b", "left")
+    above = connected(between.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    above = above.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    known = label.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("node").agg(F.min("label").alias("label"))
+    return written(known.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+
+
 def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fold_case: bool = True) -> DataFrame:
     """doc_id, th (the text's hash), n (tokens), cid (its class), component (the smallest doc_id it reaches) and label (the
     component's own id, null without words) of every row."""
     sets = written(class_sets(docs, size, fold_case))
     frequent = _frequent(sets)
     sets = sets.where("cid is not null").drop("token", "count")
-    by_class = written(sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("key0").alias("key0"), F.first("key1").alias("key1")))
+    by_class = written(sets.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("n", "key0", "key1", "bits")).alias("x")).select("cid", "doc_id", "x.*"))
     # one exchange by token serves both the distinct and the count
     held = prefixes(docs, size, fold_case, num, den, frequent).repartition("token").dropDuplicates(["token", "cid"])
     held = written(held.withColumn("k", F.count("*").over(Window.partitionBy("token"))).where("k > 1 or x < 0").drop("k"))
     shared = held.where("x >= 0").select("token", "cid", F.shiftright("x", PLACE).alias("n"), F.col("x").bitwiseAND((1 << PLACE) - 1).alias("pos"))
 
     able = shared.select("cid").distinct().join(held.where("x < 0").select("cid", (-1 - F.col("x")).alias("rare")), "cid")
-    able = written(able.join(by_class, "cid"))  # classes that share a prefix token
+    able = written(able.join(by_class.drop("doc_id"), "cid"))  # classes that share a prefix token
     how = (docs, by_class, size, fold_case, num, den)
+    bound = lambda radius=0: _close(F.greatest(_differ(F.col("bits"), F.col("others")) - radius, F.lit(0)), F.col("n"), F.col("m"), num, den)
 
     # groups: all with the same key against the one with the fewest rare tokens
     near = None
     for k in range(2):
-        keyed = able.select("cid", "rare", F.col(f"key{k}").alias("key"))
-        leaders = keyed.groupBy("key").agg(F.min_by("cid", F.struct("rare", "cid")).alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
-        pairs = keyed.join(leaders, "key").where("cid <> b").select(F.col("cid").alias("a"), "b")
+        keyed = able.select("cid", "rare", "n", "bits", F.col(f"key{k}").alias("key"))
+        leaders = keyed.groupBy("key").agg(F.min_by(F.struct("cid", "n", "bits"), F.struct("rare", "cid")).alias("b"), F.count("*").alias("k")).where("k > 1")
+        leaders = leaders.select("key", F.col("b.cid").alias("b"), F.col("b.n").alias("m"), F.col("b.bits").alias("others"))
+        pairs = keyed.join(leaders, "key").where((F.col("cid") != F.col("b")) & _fits(F.col("n"), F.col("m"), F.col("m"), num, den) & bound())
+        pairs = pairs.select(F.col("cid").alias("a"), "b")
         near = pairs if near is None else near.union(pairs)
-    label = connected(_linked(_bounded(near.distinct(), shared, num, den), *how))
-    # the member with the fewest rare tokens stands for its group
-    group = able.select("cid", "rare").join(label, able["cid"] == label["node"], "left").select("cid", "rare", F.coalesce("label", "cid").alias("label"))
-    stands = group.groupBy("label").agg(F.min_by("cid", F.struct("rare", "cid")).alias("leader"))
-    group = written(group.join(stands, "label").select("cid", "leader"))
+    near = _linked(near, *how)
+    # a leader with followers stays in its own group, others join the nearest of their leaders
+    followers = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    follows = followers.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("x")).select(F.col("a").alias("__a"), "x.*")
+    group = able.join(follows, F.col("cid") == F.col("__a"), "left").select("cid", "n", "bits", F.coalesce("b", "cid").alias("leader"), F.coalesce("differ", F.lit(0)).alias("differ"))
+    group = written(group)
 
     # the matrix, and the groups that each class qualifies for
-    placed = written(shared.join(group, "cid").select("token", "cid", "n", "pos", "leader"))
+    placed = written(shared.join(group.select("cid", "leader"), "cid").select("token", "cid", "n", "pos", "leader"))
     matrix = placed.groupBy("token", F.col("leader").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
     # no token before the first shared one is shared, so n - pos and room bound the overlap there; a pair that no shared
     # token lets reach the needed overlap is out, and the others leave only rows that do
     need = num * (F.col("n") + F.col("low"))
     first = ((num + den) * (F.col("n") - F.col("pos")) >= need) & ((num + den) * F.col("room") >= need)
-    open_ = placed.join(matrix, "token").where((F.col("leader") > F.col("other")) & _fits(F.col("n"), F.col("low"), F.col("high"), num, den) & first)
-    open_ = written(open_.select("cid", "leader", "other").distinct())
-    by_leader = _linked(_bounded(open_.select(F.col("cid").alias("a"), F.col("other").alias("b")), shared, num, den), *how)
-    links = written(group.select(F.col("cid").alias("a"), F.col("leader").alias("b")).union(by_leader))
-    label = connected(links)
-
-    # groups still apart: their members one by one
-    tag = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))
-    apart = open_.join(tag("cid", "mine"), "cid", "left").join(tag("other", "theirs"), "other", "left")
-    apart = written(apart.where(F.coalesce("mine", "leader") != F.coalesce("theirs", "other")).select("cid", "other"))
-    if not apart.isEmpty():
-        # members are found by the tokens they share with the class, not paired with it first
-        mine = apart.join(placed.select("cid", "token"), "cid").select(F.col("cid").alias("a"), "other", "token")
-        pairs = mine.join(placed.where("cid <> leader").select("token", F.col("leader").alias("other"), F.col("cid").alias("b")), ["token", "other"])
-        label = connected(links.union(_linked(_bounded(pairs.select("a", "b").distinct(), shared, num, den), *how)))
-
-    smallest = by_class.join(label, by_class["cid"] == label["node"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
+    found = placed.join(matrix, "token").where((F.col("leader") > F.col("other")) & _fits(F.col("n"), F.col("low"), F.col("high"), num, den) & first)
+    found = found.select("cid", "other").distinct()
+    # m: the greatest size in the group; the difference to the leader less the radius bounds that to any member
+    span = group.groupBy("leader").agg(F.max("n").alias("m"), F.max("differ").alias("radius"), F.count("*").alias("members"))
+    span = span.join(group.select(F.col("cid").alias("leader"), F.col("n").alias("of_leader"), F.col("bits").alias("others")), "leader").withColumnRenamed("leader", "other")
+    open_ = found.join(group.select("cid", "n", "bits"), "cid").join(span, "other").where(bound(F.col("radius")))
+    open_ = written(open_.select("cid", "other", "members", _close(_differ(F.col("bits"), F.col("others")), F.col("n"), F.col("of_leader"), num, den).alias("leads")))
+    by_leader = _linked(open_.where("leads").select(F.col("cid").alias("a"), F.col("other").alias("b")), *how)
+    forget(held, placed)
+    label = connected(near.select("a", "b").union(by_leader.select("a", "b")))
+
+    # groups of several that are still apart
+    apart = open_.where("members > 1").select("cid", "other")
+    sized = group.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("leader").alias("other"))
+    for turn in range(DEPUTIES + 1):
+        tag = lambda c, to: label.select(F.col("node").alias(c), F.col("label").alias(to))  # noqa: E731, B023
+        apart = apart.join(tag("cid", "mine"), "cid", "left").join(tag("other", "theirs"), "other", "left")
+        apart = written(apart.where(F.coalesce("mine", "cid") != F.coalesce("theirs", "other")).select("cid", "other"))
+        if apart.isEmpty():
+            break
+        members = sized.where("b <> other")
+        if turn < DEPUTIES:  # another member each turn
+            members = members.groupBy("other").agg(F.min_by(F.struct("b", "m", "others"), F.xxhash64("b", F.lit(turn))).alias("x")).select("other", "x.*")
+        mine = apart.join(group.select("cid", "n", "bits"), "cid")
+        pairs = mine.join(members, (mine["other"] == members["other"]) & _fits(F.col("n"), F.col("m"), F.col("m"), num, den) & bound())
+        label = _merged(label, _linked(pairs.select(F.col("cid").alias("a"), "b"), *how).select("a", "b"))
+
+    smallest = by_class.select("cid", "doc_id").join(label, by_class["cid"] == label["node"], "left").select("cid", "doc_id", F.coalesce("label", "cid").alias("label"))
     of_label = smallest.groupBy("label").agg(F.min("doc_id").alias("component"))
     out = smallest.select("cid", "label").join(of_label, "label").select("cid", "label", "component")
     return sets.select("doc_id", "th", "n", "cid").join(out, "cid", "left").select("doc_id", "th", "n", "cid", F.coalesce("component", "doc_id").alias("component"), "label")
