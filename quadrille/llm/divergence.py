@@ -136,7 +136,7 @@ def judge(
     df = df.withColumn("__counts", F.concat(counts, F.array((F.col("n_words") - F.octet_length(known)).cast("double"))))
     df = _with_shares(df, "__counts").withColumn("word_distance", F.when(judged, jensen_shannon(F.col("__counts"), r["word_shares"])))
     far = F.coalesce((F.col("class_distance") > max_class_distance) | (F.col("word_distance") > max_word_distance), F.lit(False))
-    # a generator of one row: a caller's filter on the verdict stays above it, instead of repeating all of this below, inside
-    # the functions that run over arrays
-    df = df.select("*", F.inline(F.array(F.struct((~F.col("base_failed") & ~far).alias("kept")))))
+    # an expression that Spark takes for nondeterministic: a caller's filter on the verdict stays above it, instead of
+    # repeating all of this below, inside the functions that run over arrays
+    df = df.withColumn("kept", ~F.col("base_failed") & ~far & (F.monotonically_increasing_id() >= 0))
     return df.drop("__lang", "__text", "__words", "__ref", "__which", "__classes", "__counts")
