@@ -4,8 +4,8 @@ An item of m distinct shingles is found in a document that holds need = ceil(num
 its m - need + 1 smallest shingle hashes, its bottom-k MinHash: whoever holds enough of the item misses fewer than that,
 so holds one of the sketch, however long it is. Items are partitioned by size (powers of two); a partition has a hash
 threshold, the largest hash of its sketches, and the size of the smallest document that can hold one of its items. A
-document is sketched by its shingle hashes below the thresholds, and looked up there; that gives all candidates, no
-scaling of the estimate and no miss. Candidates are verified by exact containment of the shingles themselves.
+document is sketched by its shingle hashes below the largest threshold of the partitions that it is large enough for, and looked
+up there; that gives all candidates, no scaling of the estimate and no miss. Candidates are verified by exact containment of the shingles themselves.
 
 Only DataFrame functions run here. Sketches and items are broadcast only below a checked size.
 
@@ -72,10 +72,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, num: int =
         sketch = own.select("item_id", "part", "need", F.explode(bottom).alias("h"))
         part = sketch.groupBy("part").agg(F.max("h").alias("tau"), F.min("need").alias("least"))
         sketch = sketch.join(F.broadcast(part), "part")  # one row for each power of two
-        # a document enters with its hashes below the largest threshold; its size is checked with the partition
-        tau = part.agg(F.max("tau").alias("tau")).collect()[0]["tau"]
+        # a document is sketched by its hashes below the threshold of the partitions that it is large enough for
         w = docs.withColumn("w", words(F.lower("text"))).withColumn("n", F.size("w") - (k - 1))
-        seen = w.select("doc_id", "th", "n", F.explode(_hashes(F.col("w"), k)).alias("h")).where(F.col("h") <= tau)
+        limits = [F.when(F.col("n") >= r["least"], F.lit(r["tau"])) for r in part.collect()]
+        limit = F.col("limit")
+        w = w.withColumn("limit", F.greatest(*limits, F.lit(None), F.lit(None)))
+        # named twice in the function, the limit stays a column, worked out once a document
+        seen = w.select("doc_id", "th", "n", F.explode(F.filter(_hashes(F.col("w"), k), lambda h: limit.isNotNull() & (h <= limit))).alias("h"))
         sketch = F.broadcast(sketch) if few_items else sketch
         hits = seen.join(sketch, "h").where((F.col("n") >= F.col("least")) & (F.col("h") <= F.col("tau"))).select("doc_id", "th", "item_id").distinct()
         found = hits if found is None else found.union(hits)
