@@ -65,4 +65,4 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 def written_bytes(df: DataFrame) -> int:
     """The size of a written table's files, as Spark's own plan states it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

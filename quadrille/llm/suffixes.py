@@ -17,7 +17,10 @@ anchors whose contexts, the bytes around them that their strings span, agree. An
 5. The strings found of an anchor all hold it, so what they cover is one span; the spans go back to their documents.
 
 Defined results: matches never cross documents; a null or empty text, or one shorter than length, loses nothing; rows equal
-in doc_id and text count as two copies, both of which lose what they share. Other columns pass through.
+in doc_id and text count as two copies, both of which lose what they share; a null doc_id is one like others. Other columns
+pass through, whatever their names, but n_bytes, n_removed, n_spans and kept are replaced.
+
+Which anchors repeat is decided by the hash join of step 1; the merge decides which bytes go.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_enough, written
+from .common import written, written_bytes
 from .shingles import mix, texts
 
 GRAM = 16
@@ -40,12 +43,14 @@ GRAM = 16
 BLOCK, LOW = 1 << 20, 22
 #: Contexts in a run, samples that it gives, and contexts aimed at in a range.
 RUN, SAMPLES, RANGE = 60_000, 16, 100_000
-#: Documents whose spans may be broadcast.
-MAX_BROADCAST = 200_000
+#: Bytes of the files of spans that may be broadcast.
+MAX_BROADCAST = 16 << 20
 
 
 def window_of(length: int) -> int:
     """How many positions of a string may hold its anchor: two thirds, so that a third is guaranteed behind it."""
+    if not 2 * GRAM <= length < 1 << 12:
+        raise ValueError(f"strings of {length} bytes; {2 * GRAM} to {(1 << 12) - 1} can be looked for")
     return length - max(GRAM, length // 3) + 1
 
 
@@ -116,7 +121,7 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            ids, ths = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("th").to_numpy()
+            ids, ths = batch.column("doc_id"), batch.column("th").to_numpy()
             i, n = 0, len(ids)
             while i < n:
                 j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1))
@@ -130,7 +135,7 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
                         doc = np.searchsorted(offsets[i : j + 1], at + a, "right") - 1
                         doc = np.minimum(doc, j - i - 1)
                         x = _pack(at + a - offsets[i : j + 1][doc], at - first, at - last)
-                        yield pa.RecordBatch.from_pydict({"h": _guaranteed(part, at, size).view(np.int64), "doc_id": ids[i + doc].astype(np.int64), "th": ths[i + doc], "x": x})
+                        yield pa.RecordBatch.from_pydict({"h": _guaranteed(part, at, size).view(np.int64), "doc_id": ids.take(pa.array(i + doc)), "th": ths[i + doc], "x": x})
                     if j > i + 1:
                         break
                 i = j
@@ -382,7 +387,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 200) -> DataFrame:
     size = length - window_of(length) + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     held = _positions(docs, length)
-    counts = held.groupBy("h").count().where("count > 1").select("h")
+    # written, so that the join reads two plain exchanges and Spark can split a frequent hash
+    counts = written(held.groupBy("h").count().where("count > 1").select("h"))
     again = held.join(counts, "h").groupBy("doc_id", "th").agg(F.collect_set("x").alias("xs"))
     listed = again.withColumnsRenamed({"doc_id": "__doc", "th": "__th"})
     repeated = docs.join(listed, docs["doc_id"].eqNullSafe(listed["__doc"]) & (docs["th"] == listed["__th"])).select("doc_id", "th", "text", "xs")
@@ -401,7 +407,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200) -> DataFrame:
     docs = docs.drop(*(x.name for x in added), "__spans")
     own = docs.columns
     spans = written(repeated_spans(docs, length=length)).withColumnsRenamed({"doc_id": "__doc", "th": "__th", "spans": "__spans"})
-    spans = F.broadcast(spans) if small_enough(spans, MAX_BROADCAST) else spans
+    spans = F.broadcast(spans) if written_bytes(spans) <= MAX_BROADCAST else spans
     df = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__doc"]) & (F.xxhash64(docs["text"]) == spans["__th"]), "left").select(*(docs[c] for c in docs.columns), "__spans")
 
     def run(batches):
