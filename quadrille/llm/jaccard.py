@@ -37,7 +37,7 @@ from .shingles import mix, shingle_sets
 
 #: Each task counts the tokens of so many at a time and passes on those that occur twice or more (lossy counting: a total
 #: is short by one for each such block at most); so many of the most frequent, in at least so many sets, go last.
-BLOCK, MAX_FREQUENT, FREQUENT = 4_000_000, 1_000_000, 24
+BLOCK, MAX_FREQUENT, FREQUENT = 2_000_000, 1_000_000, 24
 #: Ids that may be broadcast.
 MAX_BROADCAST_IDS = 500_000
 #: A prefix row holds a set's size and a token's place in one number: the place in so many low bits.

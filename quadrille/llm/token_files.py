@@ -7,8 +7,8 @@ sequence without a copy. Beside it a small Arrow file lists the documents in ord
 Documents run on across sequences, so only the last sequence of a file is padded.
 
 Texts are encoded by the tokenizers library. A space between two visible characters always begins a new pre-token of
-a byte-level BPE, so texts are cut there and the library encodes each distinct piece of a batch once; a bounded
-cache keeps pieces between batches. The ids equal those of encoding whole texts.
+a byte-level BPE, and so do marks behind a letter, so texts are cut there by Arrow's functions and the library encodes each
+distinct piece of a batch once; a bounded cache keeps pieces between batches. The ids equal those of encoding whole texts.
 
 Defined results: a null or empty text has the end id only; repeated doc_ids are all written, ordered by text; null
 doc_ids come first; an empty table makes no file and no rows. Columns other than doc_id and text are not written.
@@ -23,25 +23,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingles
 from .common import file_system, shared_dir, small_enough, written
 
 INDEX = ".docs"
 #: Pieces kept between batches, about 200 bytes each.
-MAX_CACHE = 500_000
+MAX_CACHE = 1_000_000
+#: Bytes of text encoded at once, unless one text is longer; pieces that go to the library as one text.
+BLOCK, TOGETHER = 1 << 22, 500
 #: Files whose offsets may be broadcast.
 MAX_BROADCAST_FILES = 100_000
 #: Neither letters, digits nor white space, nor the apostrophe of contractions: a run of them is one pre-token.
 MARKS = ".,;:!?|#$%&*\"()"
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|^ | $|\s$")
+#: Marks a piece that no space stands before.
+BARE = "\x01"
+#: Texts in which a space may not begin a pre-token, or that hold BARE or white space beyond ASCII (as RE2 writes it).
+_ODD = r"[ \t\n\r\f]{2}|^[ \t\n\r\f]|[ \t\n\r\f]$|[\x01\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_MARKED = r"(\pL)([" + re.escape(MARKS) + r"]+)( |\n|$)"
 
 
 class Encoder:
-    """Texts to ids by a tokenizers file, with a bounded cache of pieces."""
+    """Texts to ids by a tokenizers file, with a bounded cache of pieces: index has a piece's place in start and size,
+    which say where its ids are."""
 
     def __init__(self, file: str):
         import os
@@ -51,55 +60,85 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: list[str], before: str) -> None:
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([before + x for x in new], add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, self.kind).tobytes()
-
-    def _learn_letters(self, new: list[str]) -> None:
-        """Words of letters: a space and letters are one pre-token, so many go to the library as one text."""
-        parts = [new[a : a + 500] for a in range(0, len(new), 500)]
-        for words, e in zip(parts, self.tokenizer.encode_batch(["".join(" " + x for x in p) for p in parts], add_special_tokens=False), strict=True):
-            raw = np.array(e.ids, self.kind).tobytes()
-            cuts = ((np.flatnonzero(np.diff(np.array(e.word_ids, np.int64))) + 1) * self.kind.itemsize).tolist()
-            for x, a, b in zip(words, [0, *cuts], [*cuts, len(raw)], strict=True):
-                self.tail[x] = raw[a:b]
-
-    def _learn_tails(self, new: set[str]) -> None:
-        """Pieces behind a space. Letters and the marks behind them are pre-tokens of their own, learnt apart."""
-        split, letters, marks, other = [], set(), set(), []
+        found = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = found[0] if len(found) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces into the cache. A line feed before a piece and behind it is a pre-token, so many pieces go to the
+        library as one text, and are cut apart at its id."""
+        plain = lambda x: x[1:] if x[:1] == BARE else " " + x
+        together, alone = [], []
         for x in new:
-            if x.isalpha():
-                letters.add(x)
-                continue
-            stem = x.rstrip(MARKS)
-            if stem.isalpha():
-                split.append((x, stem, x[len(stem) :]))
-                letters.add(stem)
-                marks.add(x[len(stem) :])
-            else:
-                other.append(x)
-        self._learn_letters(list(letters - self.tail.keys()))
-        self._learn(self.head, list(marks - self.head.keys()), "")
-        for x, stem, mark in split:
-            self.tail[x] = self.tail[stem] + self.head[mark]
-        self._learn(self.tail, other, " ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of self.kind."""
-        if len(self.tail) > MAX_CACHE:
-            self.tail.clear()
-        self.head.clear()
-        cut = []
-        for text in texts:
+            y = x.removeprefix(BARE)
+            (together if self.line is not None and y and not any(map(str.isspace, y)) and "<|" not in y else alone).append(x)
+        blocks = [together[a : a + TOGETHER] for a in range(0, len(together), TOGETHER)]
+        found, sizes = [], []
+        for block, ids in zip(blocks, self._encoded(["\n".join(map(plain, b)) for b in blocks]), strict=True):
+            at = np.flatnonzero(ids == self.line)
+            ends = np.append(at, len(ids))
+            n = np.diff(np.concatenate([[-1], ends])) - 1
+            if len(n) != len(block):
+                raise ValueError("the tokenizer joins line feeds with what stands beside them")
+            found.append(np.delete(ids, at))
+            sizes.append(n)
+        for ids in self._encoded(list(map(plain, alone))):
+            found.append(ids)
+            sizes.append([len(ids)])
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int32)
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *found])
+        self.index.update(zip([*together, *alone], range(len(self.index), len(self.index) + len(new)), strict=True))
+
+    def _pieces(self, texts: pa.Array) -> pa.ListArray:
+        """Each text as its pieces: cut at spaces, line feeds and before marks behind letters; an odd text is one piece."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        cut = pc.replace_substring_regex(texts, _MARKED, rf"\1 {BARE}\2\3")
+        cut = pc.replace_substring(cut, "\n", f" {BARE}\n {BARE}")
+        cut = pc.binary_join_element_wise(pa.scalar(BARE, texts.type), cut, pa.scalar("", texts.type))
+        if not pc.any(odd).as_py():
+            return pc.split_pattern(cut, " ")
+        pieces = pc.split_pattern(pc.if_else(odd, "", cut), " ").to_pylist()
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            text = texts[i].as_py()
             # where white space stands alone between visible characters, each space begins a piece
-            cut.append([x.removeprefix(" ") if i else x for i, x in enumerate(_CUT.split(text))] if _ODD.search(text) else text.split(" "))
-        self._learn(self.head, list({x[0] for x in cut} - self.head.keys()), "")
-        self._learn_tails({x for c in cut for x in c[1:]} - self.tail.keys())
-        get = self.tail.__getitem__
-        return [self.head[x[0]] + b"".join(map(get, x[1:])) for x in cut]
+            pieces[i] = [x.removeprefix(" ") if k else BARE + x for k, x in enumerate(_CUT.split(text))] if BARE not in text else [BARE + text]
+        return pa.array(pieces, pa.list_(texts.type))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, none of them null."""
+        out: list[np.ndarray] = []
+        _, ends = shingles.texts(texts)
+        i = 0
+        while i < len(texts):
+            j = min(len(texts), max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1))
+            out += self._block(texts[i:j])
+            i = j
+        return out
+
+    def _block(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.index) > MAX_CACHE:
+            self._forget()
+        pieces = self._pieces(texts)
+        coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([x for x in distinct if x not in self.index])
+        at, coded = np.fromiter(map(self.index.__getitem__, distinct), np.int32, len(distinct)), coded.indices.to_numpy()
+        size = self.size[at][coded]
+        ends = np.cumsum(size)
+        kind = np.int32 if len(ends) == 0 or ends[-1] < 1 << 30 else np.int64
+        where = np.repeat(self.start[at][coded] - (ends - size).astype(kind), size) + np.arange(ends[-1] if len(ends) else 0, dtype=kind)
+        ids = self.ids[where]
+        of_text = np.concatenate([[0], ends])[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(of_text[:-1], of_text[1:], strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -159,10 +198,10 @@ def write(docs: DataFrame, where: str, tokenizer: str, *, length: int = 2048, ro
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             texts = batch.column("text")
-            for a in range(0, len(texts), 256):
-                for doc_id, ids in zip(batch.column("doc_id")[a : a + 256].to_pylist(), encoder.encode(texts[a : a + 256].fill_null("").to_pylist()), strict=True):
+            for a in range(0, len(texts), 2048):
+                for doc_id, ids in zip(batch.column("doc_id")[a : a + 2048].to_pylist(), encoder.encode(texts[a : a + 2048].fill_null("")), strict=True):
                     out = out or _Writer(where, encoder.kind, length, rows)
-                    out.add(doc_id, ids + end)
+                    out.add(doc_id, ids.tobytes() + end)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [out.path], "n": [out.n]})
