@@ -140,7 +140,7 @@ def whole(t: Column) -> Column:
     return F.when(t["kind"] == INT, t["i"]).when((t["kind"] == STRING) & t["s"].rlike(r"^[+-]?\d+$"), t["s"].try_cast("bigint"))
 
 
-def order(t: Column, descending: bool = False) -> list[Column]:
+def order_columns(t: Column) -> list[Column]:
     """Sort columns for the natural order: bool, number, string, keyword, instant, triple; within a kind by value.
 
     Ints compare exactly with ints; with floats as doubles. Triples compare by key.
@@ -149,7 +149,11 @@ def order(t: Column, descending: bool = False) -> list[Column]:
     double = F.when(t["kind"] == INT, t["i"].cast("double")).otherwise(t["f"])
     exact = F.when(t["kind"] == FLOAT, t["f"].try_cast("bigint")).otherwise(t["i"])
     text = F.when(t["kind"] == TRIPLE, t["key"]).otherwise(t["s"])
-    return [c.desc() if descending else c.asc() for c in (rank, double, exact, t["n"], text)]
+    return [rank, double, exact, t["n"], text]
+
+
+def order(t: Column, descending: bool = False) -> list[Column]:
+    return [c.desc() if descending else c.asc() for c in order_columns(t)]
 
 
 def row_key(*terms: Column) -> Column:

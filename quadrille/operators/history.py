@@ -130,12 +130,80 @@ def newest(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("seq", "ord")).alias("x")).select(*by, "x.*")
 
 
+def in_order(ops: DataFrame, *, newest_first: bool = False) -> DataFrame:
+    """All operations by (seq, ord)."""
+    return ops.orderBy(F.desc("seq"), F.desc("ord")) if newest_first else ops.orderBy("seq", "ord")
+
+
+def at(ops: DataFrame, places: DataFrame) -> DataFrame:
+    """The operations at places (space, seq, ord), with live, whether they are live assertions."""
+    return folded(ops).join(places.select("space", "seq", "ord").distinct(), ["space", "seq", "ord"], "left_semi").drop("target_seq", "target_ord")
+
+
+def subjects(live: DataFrame) -> DataFrame:
+    return live.select("t1").distinct()
+
+
+def withdrawals_between(ops: DataFrame, lower: int, upper: int) -> DataFrame:
+    """Retracts in (lower, upper] and what they withdrew, which may lie before."""
+    return withdrawals(ops.where(F.col("seq") <= upper)).where(F.col("seq") > lower)
+
+
+def from_frames(frames: DataFrame) -> DataFrame:
+    """The operations of frames (space, seq, operations)."""
+    return frames.select("space", "seq", F.inline("operations"))
+
+
+def withdrawable(ops: DataFrame, targets: DataFrame) -> DataFrame:
+    """space, seq, ord, decision of targets (space, seq, ord): ok, or why that very occurrence can't be withdrawn. A retract
+    takes the newest live equal proposition, so only that one can be."""
+    place = ["space", "seq", "ord"]
+    state = folded(ops)
+    newest_live = state.where("live").withColumn("__p", proposition()["key"]).groupBy("space", "__p").agg(F.max(F.struct("seq", "ord")).alias("top"))
+    known = state.select(*place, "action", "live", proposition()["key"].alias("__p"))
+    df = targets.select(*place).distinct().join(known, place, "left").join(newest_live, ["space", "__p"], "left")
+    why = (
+        F.when(F.col("action").isNull(), "unknown-occurrence")
+        .when(F.col("action") != "assert", "not-assertion-occurrence")
+        .when(~F.col("live"), "occurrence-not-live")
+        .when(F.struct("seq", "ord") != F.col("top"), "withdrawal-target-not-current")
+        .otherwise("ok")
+    )
+    return df.select(*place, why.alias("decision"))
+
+
+def with_metadata(live: DataFrame) -> DataFrame:
+    """Live occurrences with recorded_at and asserted_by (terms): the latest live statement about the occurrence's
+    coordinate, else that about its transaction's."""
+    names = {"recorded_at": RECORDED_AT, "asserted_by": ASSERTED_BY}
+    out = live.withColumn("__c", coordinate(F.col("space"), F.col("seq"), F.col("ord"))["key"])
+    out = out.withColumn("__x", terms.triple(terms.string(F.col("space")), terms.literal(TX), terms.integer(F.col("seq")))["key"])
+    for name, predicate in names.items():
+        said = live.where(F.col("t2.key") == terms.literal(predicate)["key"]).groupBy(F.col("t1.key").alias("__of")).agg(F.max_by("t3", F.struct("seq", "ord")).alias("__v"))
+        by = lambda c, to: said.select(F.col("__of").alias(c), F.col("__v").alias(to))  # noqa: E731, B023
+        out = out.join(by("__c", "__own"), "__c", "left").join(by("__x", "__all"), "__x", "left")
+        out = out.withColumn(name, F.coalesce("__own", "__all")).drop("__own", "__all")
+    return out.select(*live.columns, *names)
+
+
+def selections(live: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The propositions (t1, t2, t3) that make views select occurrences: of wanted (view, a term, space, seq, ord) those that
+    are live and not selected yet."""
+    place = ["space", "seq", "ord"]
+    there = wanted.select("view", *place).distinct().join(live.select(*place), place, "left_semi")
+    new = there.select(F.col("view").alias("t1"), terms.literal(SELECTS).alias("t2"), coordinate(F.col("space"), F.col("seq"), F.col("ord")).alias("t3"))
+    old = live.where(F.col("t2.key") == terms.literal(SELECTS)["key"]).select(F.col("t1.key").alias("__v"), F.col("t3.key").alias("__c"))
+    return new.join(old, (new["t1"]["key"] == old["__v"]) & (new["t3"]["key"] == old["__c"]), "left_anti")
+
+
 def staged(ops: DataFrame, more: DataFrame) -> DataFrame:
     """A log with operations that aren't committed yet."""
     return ops.unionByName(more)
 
 
-SUPERSEDES, SELECTS = terms.Keyword(":kernel/supersedes"), terms.Keyword(":view/selects")
+# fixed values: statements about coordinates
+SUPERSEDES, SELECTS = terms.Keyword(":kernel/supersedes"), terms.Keyword(":kernel/selects")
+RECORDED_AT, ASSERTED_BY, SOURCE_FRAME = terms.Keyword(":kernel/recorded-at"), terms.Keyword(":kernel/asserted-by"), terms.Keyword(":kernel/source-frame")
 
 
 def _coordinates(live: DataFrame) -> DataFrame:

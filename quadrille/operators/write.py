@@ -133,6 +133,25 @@ class Log:
         return old
 
 
+def decisions(intents: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """intents with decision: what a commit of each plan's intents does, in the order of index.
+
+    intents has index, predicate, single, base_version, expected_version, live_values (array), expected_value, cycle, and the
+    columns by that tell plans apart. conflict: a single value changed since the expected version; cycle; idempotent: one
+    of several values is there already; else write. If one intent conflicts or closes a cycle, the plan is refused: the first
+    such keeps its decision and the others get refused.
+    """
+    conflict = F.col("single") & (F.col("base_version") > F.col("expected_version"))
+    there = ~F.col("single") & F.array_contains("live_values", F.col("expected_value"))
+    own = F.when(F.coalesce(conflict, F.lit(False)), "conflict").when(F.col("cycle"), "cycle").when(F.coalesce(there, F.lit(False)), "idempotent").otherwise("write")
+    df = intents.withColumn("decision", own)
+    bad = F.when(F.col("decision").isin("conflict", "cycle"), F.col("index"))
+    first = df.groupBy(*by).agg(F.min(bad).alias("__first"))
+    df = df.join(first, [*by]) if by else df.crossJoin(F.broadcast(first))  # a row
+    refused = F.col("__first").isNotNull() & (F.col("index") != F.col("__first"))
+    return df.withColumn("decision", F.when(refused, "refused").otherwise(F.col("decision"))).drop("__first")
+
+
 class Builder:
     """A transaction under construction: mints ids, collects actions, commits once."""
 

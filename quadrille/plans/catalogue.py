@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings, terms
 from ..functions.terms import Keyword
-from ..operators import claims, graph, history, profile, schema
-from ..sources.tables import event_log, operations, propositions, read, tagged
-from .evaluate import Source, run
+from ..operators import claims, graph, history, profile, schema, write
+from ..sources.tables import Table, event_log, operations, read, tagged
+from .evaluate import Source, page, run
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -47,12 +47,11 @@ def facts(spark: SparkSession, sf_dir: str, *wanted: str) -> Source:
     by_table: dict[str, list[str]] = {}
     for x in wanted:
         by_table.setdefault(x.split(".")[0], []).append(x.split(".")[1])
-    parts = None
+    out = []
     for t, columns in by_table.items():
         row_id = F.concat_ws("-", F.lit("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") if t == "lineitem" else tagged(t)(F.col(_IDS[t]))
-        p = propositions(read(spark, sf_dir, t), row_id, columns, {c: tagged(_REFERENCES[c]) for c in columns if c in _REFERENCES})
-        parts = p if parts is None else parts.unionAll(p)
-    return Source(parts, distinct=True)
+        out.append(Table(read(spark, sf_dir, t), row_id, tuple(columns), {c: tagged(_REFERENCES[c]) for c in columns if c in _REFERENCES}))
+    return Source.from_tables(*out)
 
 
 def v(name: str) -> dict:
@@ -226,12 +225,12 @@ def agg_topk(spark, sf_dir):
 @query("agg_join_lines", "select o_orderpriority as priority, count(*) as n, sum(l_quantity) as quantity from orders join (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem) on l_orderkey = o_orderkey group by 1")
 def agg_join_lines(spark, sf_dir):
     """The line's order as a reference, so that lines join their orders; quantities are whole, so sums are exact."""
-    lines = read(spark, sf_dir, "lineitem")
     row_id = F.concat_ws("-", F.lit("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    props = propositions(lines, row_id, ["l_orderkey", "l_quantity"], {"l_orderkey": tagged("orders")}).unionAll(facts(spark, sf_dir, "orders.o_orderpriority").of)
+    lines = Table(read(spark, sf_dir, "lineitem"), row_id, ("l_orderkey", "l_quantity"), {"l_orderkey": tagged("orders")})
+    source = Source.from_tables(lines, *facts(spark, sf_dir, "orders.o_orderpriority").tables)
     body = [has(v("l"), "l_orderkey", v("o")), has(v("l"), "l_quantity", v("q")), has(v("o"), "o_orderpriority", v("p"))]
     plan = {"find": {"rel": "out", "group": [0], "agg": [{"op": "count"}, {"op": "sum", "arg": 2}]}, "rules": [rule("out", [v("p"), v("l"), v("q")], *body)]}
-    return scalars(run(plan, Source(props, distinct=True), spark), priority="c0.s", n="c1.i", quantity="c2.f")
+    return scalars(run(plan, source, spark), priority="c0.s", n="c1.i", quantity="c2.f")
 
 
 @query("order_topk", "select 'orders:' || o_orderkey as order_id, o_totalprice as total from orders order by o_totalprice desc, o_orderkey limit 10")
@@ -424,10 +423,10 @@ def lint_profile(spark, sf_dir):
     return found.select(F.coalesce("t1.s", F.concat(F.lit("part:"), F.col("t1.i").cast("string"))).alias("part"), "rule")
 
 
-@query("pull_nested", "select 'customer:' || c_custkey as root, 0 as depth, 'c_nationkey' as predicate from customer where c_custkey <= 20 union all select 'customer:' || c_custkey, 1, 'n_regionkey' from customer where c_custkey <= 20")
+@query("pull_nested", "select 'customer:' || c_custkey as root, 0 as depth, 'c_nationkey' as predicate from customer union all select 'customer:' || c_custkey, 1, 'n_regionkey' from customer")
 def pull_nested(spark, sf_dir):
     source = facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey").of
-    roots = read(spark, sf_dir, "customer").where("c_custkey <= 20").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
+    roots = read(spark, sf_dir, "customer").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
     out = graph.pull(source, roots, [":c_nationkey", ":n_regionkey"], 3)
     return out.select(F.regexp_extract("root", r"^s\d+:(.*)$", 1).alias("root"), "depth", F.substring("predicate", 2, 100).alias("predicate"))
 
@@ -443,22 +442,24 @@ def call_resolution(spark, sf_dir):
     return graph.resolved_calls(c.select(file.alias("file"), tagged("customer")(F.col("c_custkey")).alias("caller"), F.col("n_name").alias("name")), definitions)
 
 
-@query("superseded_view", _OPS.format(where="") + "select seq, u, k from f where live and not (seq % 2 = 1 and seq <= 200)")
+def _marks(spark, sf_dir, predicate: Keyword, t1: Column, where: str = "true") -> DataFrame:
+    """Statements, in a space of their own, about the coordinates of the events (seq) for which where holds."""
+    e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq")).where(where)
+    return operations(e, "marks", F.col("seq"), F.lit(0), F.lit("assert"), t1, terms.literal(predicate), history.coordinate(F.lit("events"), F.col("seq"), F.lit(0)))
+
+
+@query("superseded_view", _OPS.format(where="") + "select seq, u, k from f where live and seq % 2 = 0")
 def superseded_view(spark, sf_dir):
-    """Odd occurrences up to 200 are superseded by later statements about their coordinates."""
-    log = event_log(spark, sf_dir)
-    old = history.coordinate(F.lit("events"), F.col("id"), F.lit(0))
-    marks = operations(spark.range(1, 201, 2), "events", F.col("id") + 10_000_000, F.lit(0), F.lit("assert"), terms.literal("new"), terms.literal(history.SUPERSEDES), old)
-    return _plain(history.not_superseded(history.live_occurrences(log.unionByName(marks))).where("seq < 10000000"))
+    """All odd occurrences are superseded."""
+    log = event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SUPERSEDES, terms.literal("new"), "seq % 2 = 1"))
+    return _plain(history.not_superseded(history.live_occurrences(log)).where("space = 'events'"))
 
 
-@query("view_occurrences", _OPS.format(where="") + "select 'v' || (seq % 2) as view, seq from f where live and seq <= 50")
+@query("view_occurrences", _OPS.format(where="") + "select 'v' || (seq % 2) as view, seq from f where live")
 def view_occurrences(spark, sf_dir):
-    log = event_log(spark, sf_dir)
-    picks = spark.range(1, 51)
-    picked = history.coordinate(F.lit("events"), F.col("id"), F.lit(0))
-    marks = operations(picks, "events", F.col("id") + 10_000_000, F.lit(0), F.lit("assert"), terms.string(F.concat(F.lit("v"), (F.col("id") % 2).cast("string"))), terms.literal(history.SELECTS), picked)
-    out = history.view_occurrences(history.live_occurrences(log.unionByName(marks)))
+    """All occurrences are selected, by two views."""
+    view = terms.string(F.concat(F.lit("v"), (F.col("seq") % 2).cast("string")))
+    out = history.view_occurrences(history.live_occurrences(event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SELECTS, view))))
     return out.select(F.regexp_extract("view", "^s[0-9]+:(.*)$", 1).alias("view"), "seq")
 
 
@@ -483,49 +484,6 @@ def jurisdictions(spark, sf_dir):
     return graph.jurisdictions(c.union(s).join(regime, "k").select("id", "regime"), edges)
 
 
-@query("resolved_slots", "select 'v' || a.event_id as version, 's' || b.user_id as slot, arg_max(b.event_id, b.event_id) as value from events a join events b on b.event_id <= a.event_id where a.event_id < 40 group by 1, 2 having max(b.event_id) % 5 <> 0")
-def resolved_slots(spark, sf_dir):
-    """A chain of versions, each an event that sets its user's slot; every fifth deletes it."""
-    e = read(spark, sf_dir, "events").where("event_id < 40").select("event_id", "user_id")
-    name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"))
-    chain = e.select(F.col("event_id").alias("a")).join(e.select(F.col("event_id").alias("b")), F.col("b") <= F.col("a"))
-    chain = chain.select(name("a").alias("version"), name("b").alias("ancestor"), (F.col("a") - F.col("b")).alias("distance"))
-    overlays = e.select(name("event_id").alias("version"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("slot"), F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("value"))
-    return claims.resolved_slots(chain, overlays)
-
-
-# the same over whole tables
-
-
-@query("pull_nested_all", "select 'customer:' || c_custkey as root, 0 as depth, 'c_nationkey' as predicate from customer union all select 'customer:' || c_custkey, 1, 'n_regionkey' from customer")
-def pull_nested_all(spark, sf_dir):
-    source = facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey").of
-    roots = read(spark, sf_dir, "customer").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
-    out = graph.pull(source, roots, [":c_nationkey", ":n_regionkey"], 3)
-    return out.select(F.regexp_extract("root", r"^s\d+:(.*)$", 1).alias("root"), "depth", F.substring("predicate", 2, 100).alias("predicate"))
-
-
-def _marks(spark, sf_dir, predicate: Keyword, t1: Column, where: str = "true") -> DataFrame:
-    """Statements, in a space of their own, about the coordinates of the events (seq) for which where holds."""
-    e = read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("seq")).where(where)
-    return operations(e, "marks", F.col("seq"), F.lit(0), F.lit("assert"), t1, terms.literal(predicate), history.coordinate(F.lit("events"), F.col("seq"), F.lit(0)))
-
-
-@query("superseded_view_all", _OPS.format(where="") + "select seq, u, k from f where live and seq % 2 = 0")
-def superseded_view_all(spark, sf_dir):
-    """All odd occurrences are superseded."""
-    log = event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SUPERSEDES, terms.literal("new"), "seq % 2 = 1"))
-    return _plain(history.not_superseded(history.live_occurrences(log)).where("space = 'events'"))
-
-
-@query("view_occurrences_all", _OPS.format(where="") + "select 'v' || (seq % 2) as view, seq from f where live")
-def view_occurrences_all(spark, sf_dir):
-    """All occurrences are selected, by two views."""
-    view = terms.string(F.concat(F.lit("v"), (F.col("seq") % 2).cast("string")))
-    out = history.view_occurrences(history.live_occurrences(event_log(spark, sf_dir).unionByName(_marks(spark, sf_dir, history.SELECTS, view))))
-    return out.select(F.regexp_extract("view", "^s[0-9]+:(.*)$", 1).alias("view"), "seq")
-
-
 _DAILY = """with e as (select event_id, user_id, cast(ts as date) as day, 's' || (cast(regexp_extract(props, '"k": *([0-9]+)', 1) as bigint) % 8) as slot from events),
 s as (select distinct user_id, day, slot from e),
 g as (select a.event_id, s.slot, last_value(b.event_id ignore nulls) over (partition by a.user_id, a.day, s.slot order by a.event_id rows unbounded preceding) as value
@@ -533,14 +491,33 @@ g as (select a.event_id, s.slot, last_value(b.event_id ignore nulls) over (parti
 select 'v' || event_id as version, slot, value from g where value % 5 <> 0"""
 
 
-@query("resolved_slots_daily", _DAILY)
-def resolved_slots_daily(spark, sf_dir):
+@query("resolved_slots", _DAILY)
+def resolved_slots(spark, sf_dir):
     """Each user's events of a day as a chain of versions, each of which sets a slot; every fifth deletes it."""
+    return claims.chain_slots(_versions(spark, sf_dir))
+
+
+def _versions(spark, sf_dir) -> DataFrame:
     e = read(spark, sf_dir, "events")
     slot = F.concat(F.lit("s"), (F.get_json_object("props", "$.k").cast("bigint") % 8).cast("string"))
     version, value = F.concat(F.lit("v"), F.col("event_id").cast("string")), F.when(F.col("event_id") % 5 != 0, F.col("event_id"))
     chain = F.to_json(F.struct("user_id", F.to_date("ts").alias("day")))
-    return claims.chain_slots(e.select(chain.alias("chain"), F.col("event_id").alias("place"), version.alias("version"), slot.alias("slot"), value.alias("value")))
+    return e.select(chain.alias("chain"), F.col("event_id").alias("place"), version.alias("version"), slot.alias("slot"), value.alias("value"))
+
+
+@query(
+    "changed_slots",
+    _DAILY[: _DAILY.index("select 'v'")].rstrip()
+    + """,
+r as (select event_id, slot, value from g where value % 5 <> 0), n as (select event_id, lead(event_id) over (partition by user_id, day order by event_id) as next from e)
+select 'v' || n.event_id as "from", 'v' || n.next as "to", a.slot from n join r a on a.event_id = n.event_id left join r b on b.event_id = n.next and b.slot = a.slot
+where n.next is not null and a.value is distinct from b.value""",
+)
+def changed_slots(spark, sf_dir):
+    """What each version's successor in its chain has changed or deleted."""
+    v = _versions(spark, sf_dir)
+    steps = v.select(F.col("version").alias("from"), F.lead("version").over(Window.partitionBy("chain").orderBy("place")).alias("to")).where("`to` is not null")
+    return claims.changed_slots(claims.chain_slots(v), steps)
 
 
 # text
@@ -579,6 +556,401 @@ def text_needle_variable(spark, sf_dir):
     return scalars(run(plan, Source(_documents(spark, sf_dir).of.unionAll(more), distinct=True), spark), needle="c0.s", n="c1.i")
 
 
-@query("string_helpers", r"select p_partkey as part, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits, 'p' || lpad(p_partkey::varchar, 8, '0') as padded from part")
+@query(
+    "string_helpers",
+    r"""select p_partkey as part, coalesce(nullif(rtrim(substr(trim(regexp_replace(lower(p_name || p_type), '[^a-z0-9]+', '_', 'g'), '_'), 1, 60), '_'), ''), 'untitled') as slug, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits,
+  substr(d, 1, 4) || '-' || substr(d, 5, 2) || '-' || substr(d, 7, 2) || '-' || substr(d, 9, 6) as dashed, repeat(p_type, p_size % 3) as thrice, nullif(instr(p_name, 'e'), 0) - 1 as first_e
+from (select *, lpad(p_partkey::varchar, 14, '7') as d from part)""",
+)
 def string_helpers(spark, sf_dir):
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), strings.slugify(F.col("p_name")).alias("slug"), strings.digits(F.col("p_brand")).alias("digits"), strings.padded_id(F.col("p_partkey"), "p", 8).alias("padded"))
+    d = F.lpad(F.col("p_partkey").cast("string"), 14, "7")
+    return read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part"),
+        strings.slugify(F.concat("p_name", "p_type")).alias("slug"),
+        strings.digits(F.col("p_brand")).alias("digits"),
+        strings.dashed_id(d).alias("dashed"),
+        strings.repeated(F.col("p_type"), F.col("p_size") % 3).alias("thrice"),
+        strings.index_of(F.col("p_name"), F.lit("e")).alias("first_e"),
+    )
+
+
+@query(
+    "classify_helpers",
+    """select c_custkey as customer, x as reference, substr(x, 2) as bare, x not like '% %' as is_reference, case when c_name like '% %' then c_name else '@' || c_name end as made, c_name as holder, c_custkey as expires, (c_nationkey % 4 = 0 or c_nationkey % 4 = 3) as single
+from (select *, '@' || c_name || case when c_custkey % 7 = 0 then ' x' else '' end as x from customer)""",
+)
+def classify_helpers(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").withColumn("x", F.concat(F.lit("@"), "c_name", F.when(F.col("c_custkey") % 7 == 0, " x").otherwise("")))
+    lease = strings.decoded_lease(strings.encoded_lease(F.col("c_name"), F.col("c_custkey"), F.col("c_nationkey")))
+    k = F.col("c_nationkey") % 4
+    single = strings.is_single(F.when(k == 0, "title").when(k == 3, "emoji_x").otherwise("tag"), F.when(k == 1, "multi"), F.lit(False))
+    return c.select(F.col("c_custkey").alias("customer"), F.col("x").alias("reference"), strings.strip_at(F.col("x")).alias("bare"), strings.is_reference(F.col("x")).alias("is_reference"), strings.as_reference(F.col("c_name"), F.lit("ref")).alias("made"), lease["holder"].alias("holder"), lease["expires"].alias("expires"), single.alias("single"))
+
+
+# the log, more closely
+
+
+@query("occurrences_ordered", "select event_id + 1 as seq, case when event_type = 'error' then 'retract' else 'assert' end as action from events order by event_id desc limit 500")
+def occurrences_ordered(spark, sf_dir):
+    """The newest 500 operations, newest first."""
+    return history.in_order(event_log(spark, sf_dir), newest_first=True).limit(500).select("seq", "action")
+
+
+@query("occurrence_at", _OPS.format(where="") + "select seq, action, live from f where seq % 3 = 0")
+def occurrence_at(spark, sf_dir):
+    """Every third place looked up: what happened there and whether it lives."""
+    log = event_log(spark, sf_dir)
+    return history.at(log, log.where("seq % 3 = 0")).select("seq", "action", "live")
+
+
+@query("withdrawals_between", _OPS.format(where="where event_id + 1 <= 900") + "select seq, target as target_seq from f where target is not null and seq > 400")
+def withdrawals_between(spark, sf_dir):
+    return history.withdrawals_between(event_log(spark, sf_dir), 400, 900).select("seq", "target_seq")
+
+
+@query("live_subjects", _OPS.format(where="") + "select distinct u from f where live")
+def live_subjects(spark, sf_dir):
+    return history.subjects(history.live_occurrences(event_log(spark, sf_dir))).select(F.col("t1.i").alias("u"))
+
+
+@query("frames_folded", _OPS.format(where="") + "select seq, u, k from f where live")
+def frames_folded(spark, sf_dir):
+    """The log cut into frames, put together from them and folded."""
+    log = event_log(spark, sf_dir)
+    return _plain(history.live_occurrences(history.from_frames(history.frames(log, 0, history.head(log)))))
+
+
+@query("staged_overlay", _OPS.format(where="").replace("from events ),", "from events union all select 100000000 + user_id, 'retract', user_id, 0 from (select distinct user_id from events) ),") + "select seq, u, k from f where live")
+def staged_overlay(spark, sf_dir):
+    """One more retract of (user, did, 0) for each user, not committed yet."""
+    log = event_log(spark, sf_dir)
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    more = operations(users, "events", F.col("user_id") + 100_000_000, F.lit(0), F.lit("retract"), terms.integer(F.col("user_id")), terms.literal(Keyword(":did")), terms.integer(F.lit(0)))
+    return _plain(history.live_occurrences(history.staged(log, more)))
+
+
+@query(
+    "withdraw_decisions",
+    _OPS.format(where="") + """, t as (select u, k, max(seq) as top from f where live group by 1, 2)
+select seq, case when action = 'retract' then 'not-assertion-occurrence' when not live then 'occurrence-not-live' when seq <> top then 'withdrawal-target-not-current' else 'ok' end as decision
+from f left join t using (u, k) union all select 0 - event_id, 'unknown-occurrence' from events where event_id > 0""",
+)
+def withdraw_decisions(spark, sf_dir):
+    """Every operation as a target, and as many places where nothing is."""
+    log = event_log(spark, sf_dir)
+    targets = log.select("space", "seq", "ord")
+    nowhere = targets.where("seq > 1").withColumn("seq", 1 - F.col("seq"))
+    return history.withdrawable(log, targets.union(nowhere)).select("seq", "decision")
+
+
+@query("occurrence_metadata", _OPS.format(where="") + "select seq, 'agent' || (seq % 3) as agent, case when seq % 2 = 0 then seq * 10 end as at from f where live")
+def occurrence_metadata(spark, sf_dir):
+    """Who asserted each occurrence, said of its transaction, and when, said of even ones."""
+    log = event_log(spark, sf_dir)
+    seq = F.col("seq")
+    tx = terms.triple(terms.string(F.lit("events")), terms.literal(history.TX), terms.integer(seq))
+    who = operations(log.select("seq"), "marks", seq, F.lit(0), F.lit("assert"), tx, terms.literal(history.ASSERTED_BY), terms.string(F.concat(F.lit("agent"), (seq % 3).cast("string"))))
+    when = operations(log.select("seq").where("seq % 2 = 0"), "marks", seq, F.lit(1), F.lit("assert"), history.coordinate(F.lit("events"), seq, F.lit(0)), terms.literal(history.RECORDED_AT), terms.integer(seq * 10))
+    out = history.with_metadata(history.live_occurrences(log.unionByName(who).unionByName(when)))
+    return out.where("space = 'events'").select("seq", F.col("asserted_by.s").alias("agent"), F.col("recorded_at.i").alias("at"))
+
+
+@query("view_selections", _OPS.format(where="") + "select seq from f where live and seq % 2 = 1")
+def view_selections(spark, sf_dir):
+    """A view that has all even occurrences selects all: what is new."""
+    log = event_log(spark, sf_dir)
+    live = history.live_occurrences(log.unionByName(_marks(spark, sf_dir, history.SELECTS, terms.literal("v"), "seq % 2 = 0")))
+    new = history.selections(live, log.select(terms.literal("v").alias("view"), "space", "seq", "ord"))
+    place = log.select("seq", history.coordinate(F.col("space"), F.col("seq"), F.col("ord"))["key"].alias("__c"))
+    return new.join(place, new["t3"]["key"] == place["__c"]).select("seq")
+
+
+@query(
+    "commit_decisions",
+    """with i as (select event_id // 4 as plan, event_id % 4 as idx, event_type = 'click' as single, user_id as base, 7 as expected, event_type = 'signup' and user_id % 5 = 0 as cyc, [user_id % 3, 4] as vals from events),
+d as (select *, case when single and base > expected then 'conflict' when cyc then 'cycle' when not single and list_contains(vals, 1) then 'idempotent' else 'write' end as own from i),
+m as (select plan, min(idx) filter (own in ('conflict', 'cycle')) as bad from d group by 1)
+select plan, idx, case when bad is not null and bad <> idx then 'refused' else own end as decision from d join m using (plan)""",
+)
+def commit_decisions(spark, sf_dir):
+    """Events as intents, four to a plan."""
+    e = read(spark, sf_dir, "events")
+    x = e.select(
+        F.floor(F.col("event_id") / 4).alias("plan"), (F.col("event_id") % 4).alias("index"), F.lit("p").alias("predicate"), (F.col("event_type") == "click").alias("single"), F.col("user_id").alias("base_version"),
+        F.lit(7).cast("bigint").alias("expected_version"), F.array(F.col("user_id") % 3, F.lit(4).cast("bigint")).alias("live_values"), F.lit(1).cast("bigint").alias("expected_value"),
+        ((F.col("event_type") == "signup") & (F.col("user_id") % 5 == 0)).alias("cycle"),
+    )
+    return write.decisions(x, by=("plan",)).select("plan", F.col("index").alias("idx"), "decision")
+
+
+# the registry
+
+
+def _registry(spark, sf_dir) -> DataFrame:
+    """Part types as registered predicates, ids p:<type>, with :<type> as an alias."""
+    t = read(spark, sf_dir, "part").select("p_type").distinct()
+    pid = terms.string(F.concat(F.lit("p:"), "p_type"))
+    one = lambda o, p, x: operations(t, "s", F.lit(1), F.lit(o), F.lit("assert"), pid, terms.literal(p), terms.string(x))
+    return history.live_occurrences(one(0, schema.NAME, F.col("p_type")).unionByName(one(1, schema.ALIAS, F.concat(F.lit(":"), "p_type"))))
+
+
+@query("registry_resolve", "select p_type as spelling, 'p:' || p_type as id, 1::bigint as n from part group by p_type union all select p_brand, null, 0 from part group by p_brand")
+def registry_resolve(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    wanted = p.select(F.col("p_type").alias("spelling")).union(p.select("p_brand"))
+    return schema.resolve_all(_registry(spark, sf_dir), wanted).select("spelling", F.col("id.s").alias("id"), "n")
+
+
+@query("registry_register", "select p_brand as spelling, null::varchar as refused, 2 as n from part group by 1 union all select p_type, null, 0 from part group by 1")
+def registry_register(spark, sf_dir):
+    """Brands aren't registered yet, types are."""
+    p = read(spark, sf_dir, "part")
+    wanted = p.select(F.col("p_type").alias("spelling")).union(p.select("p_brand"))
+    return schema.registrations(_registry(spark, sf_dir), wanted).select("spelling", "refused", F.size("propositions").alias("n"))
+
+
+@query(
+    "registry_rename",
+    """with t as (select distinct p_type as x from part)
+select x as spelling, x || ' new' as new_name, null::varchar as refused, s as step, a as action, v as value from (
+  select x, 0 as s, 'assert' as a, x as v from t union all select x, 1, 'retract', x from t union all select x, 2, 'assert', x || ' new' from t union all select x, 3, 'assert', ':' || x || ' new' from t)
+union all select min(x), max(x), 'predicate spelling collision', null, null, null from t""",
+)
+def registry_rename(spark, sf_dir):
+    """All types renamed; and one to the name that another has."""
+    t = read(spark, sf_dir, "part").select(F.col("p_type").alias("spelling")).distinct()
+    wanted = t.select("spelling", F.concat("spelling", F.lit(" new")).alias("new_name")).unionByName(t.agg(F.min("spelling").alias("spelling"), F.max("spelling").alias("new_name")))
+    return schema.renames(_registry(spark, sf_dir), wanted).select("spelling", "new_name", "refused", "step", "action", F.col("t3.s").alias("value"))
+
+
+@query("names_resolved", "select n_name as name, 'nation:' || n_nationkey as subject from nation")
+def names_resolved(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    named = operations(n, "s", F.col("n_nationkey") + 1, F.lit(0), F.lit("assert"), terms.string(tagged("nation")(F.col("n_nationkey"))), terms.literal(schema.LABEL), terms.string(F.col("n_name")))
+    return schema.subjects_named(history.live_occurrences(named), n.select(F.col("n_name").alias("name"))).select("name", F.col("subject.s").alias("subject"))
+
+
+@query("replacements", _OPS.format(where="") + "select 'retract' as action, u, k from f where live union all select 'assert', user_id, 99 from events group by user_id")
+def replacements(spark, sf_dir):
+    """99 as the only value of every user."""
+    live = history.live_occurrences(event_log(spark, sf_dir))
+    wanted = read(spark, sf_dir, "events").select("user_id").distinct().select(terms.integer(F.col("user_id")).alias("t1"), terms.literal(Keyword(":did")).alias("t2"), terms.literal(99).alias("t3"))
+    return schema.replacements(live, wanted).select("action", F.col("t1.i").alias("u"), F.col("t3.i").alias("k"))
+
+
+@query("validate_spaces", "select p_brand as space, p_partkey as part, 'R3' as rule from part where p_size <= 5 and p_brand <> (select min(p_brand) from part) union all select p_brand, p_partkey, 'R5' from part where p_size > 45 and p_brand = (select max(p_brand) from part)")
+def validate_spaces(spark, sf_dir):
+    """A space a brand; the first doesn't declare the profile, the last includes the vocabulary rule. Small parts get an
+    empty predicate, large ones a namespaced predicate that is no member."""
+    p = read(spark, sf_dir, "part").select(F.col("p_brand").alias("space"), "p_partkey", "p_size")
+    row_id, size = terms.string(tagged("part")(F.col("p_partkey"))), terms.integer(F.col("p_partkey"))
+    t2 = F.when(F.col("p_size") <= 5, terms.literal("")).when(F.col("p_size") > 45, terms.literal(Keyword(":a/b"))).otherwise(terms.literal("size"))
+    own = p.select("space", row_id.alias("t1"), t2.alias("t2"), size.alias("t3"))
+    spaces = p.select("space").distinct()
+    ends = spaces.agg(F.min("space").alias("__low"), F.max("space").alias("__high"))
+    spaces = spaces.join(F.broadcast(ends), F.col("space") > F.col("__low"))
+    profile_id = terms.string(F.concat(F.lit("profile "), "space"))
+    header = terms.triple(profile_id, terms.literal(profile.KIND), terms.literal(profile.MODE))
+    anchors = spaces.select("space", terms.string(F.col("space")).alias("t1"), terms.literal(profile.ANCHOR).alias("t2"), header.alias("t3"))
+    rules = spaces.select("space", "__high", F.explode(F.array(*map(F.lit, (*profile.RULES, profile.VOCABULARY)))).alias("r")).where((F.col("r") != profile.VOCABULARY) | (F.col("space") == F.col("__high")))
+    rules = rules.select("space", profile_id.alias("t1"), terms.literal(profile.INCLUDES).alias("t2"), terms.string(F.col("r")).alias("t3"))
+    found = profile.validate(own.unionByName(anchors).unionByName(rules))
+    return found.select("space", F.col("t3.i").alias("part"), "rule")
+
+
+# claims
+
+
+def _selections(spark, sf_dir) -> DataFrame:
+    agent = F.concat(F.lit(":a"), (F.col("doc_id") % 3).cast("string"))
+    view = F.concat(F.when(F.col("quality") == 1, "verified").otherwise("rejected"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(agent))
+    odd = F.when(F.col("doc_id") % 11 == 0, "verifiedly").otherwise(view)
+    return read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("claim"), odd.alias("view"), F.col("doc_id").alias("seq"), F.lit(0).alias("ord"), F.concat(F.lit("w"), (F.col("doc_id") % 7).cast("string")).alias("writer"))
+
+
+_PICKS = """with p as (select doc_id % 50 as claim, quality, doc_id, 'w' || (doc_id % 7) as w from labels where doc_id % 11 <> 0),
+l as (select claim, arg_max(quality, doc_id) as q, arg_max(w, doc_id) as w, max(doc_id) as seq from p group by 1) """
+
+
+@query("claims_verifiers", _PICKS + """select claim, w as "by" from l where q = 1""")
+def claims_verifiers(spark, sf_dir):
+    """Views verified, verified:a1 and so on; verifiedly is of no family."""
+    return claims.verifiers(_selections(spark, sf_dir))
+
+
+@query("claims_rejections", _PICKS + """select claim, case when claim % 2 = 0 then 'because ' || claim end as reason, w as "by", seq from l where q = 0""")
+def claims_rejections(spark, sf_dir):
+    picks = _selections(spark, sf_dir)
+    reasons = picks.select("claim").distinct().where("claim % 2 = 0").select("claim", F.concat(F.lit("because "), F.col("claim").cast("string")).alias("reason"), F.lit(1).alias("seq"))
+    return claims.rejections(picks, reasons)
+
+
+@query(
+    "claims_statuses",
+    _PICKS + ", c as (select distinct doc_id % 60 as claim from labels) select claim, case when claim % 9 = 0 then 'superseded' when q = 1 then 'verified' when q = 0 then 'rejected' when claim % 4 = 1 then 'pending' end as status from c left join l using (claim)",
+)
+def claims_statuses(spark, sf_dir):
+    c = read(spark, sf_dir, "labels").select((F.col("doc_id") % 60).alias("claim")).distinct().withColumn("live", F.col("claim") % 9 != 0)
+    return claims.statuses(c, _selections(spark, sf_dir), c.where("claim % 4 = 1"))
+
+
+_EVIDENCE = "select doc_id % 50 as claim, doc_id as node, 's' || (doc_id % 10) as source, 'v' || (doc_id % 2) as world from labels"
+
+
+def _evidence(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    x = read(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("claim"), F.col("doc_id").alias("node"), F.concat(F.lit("s"), (F.col("doc_id") % 10).cast("string")).alias("source"), F.concat(F.lit("v"), (F.col("doc_id") % 2).cast("string")).alias("world"))
+    own = x.select("node", F.explode(F.create_map(F.lit("source"), "source", F.lit("world"), "world")).alias("attribute", "value")).withColumn("seq", F.lit(1))
+    return x, own.unionByName(own.withColumn("value", F.lit("later")).withColumn("seq", F.lit(2)))
+
+
+@query("claims_provenance", f"select claim, node, source, null::varchar as region, null::varchar as fingerprint, world from ({_EVIDENCE})")
+def claims_provenance(spark, sf_dir):
+    return claims.provenance(*_evidence(spark, sf_dir))
+
+
+@query(
+    "claims_reverify",
+    f"""with e as ({_EVIDENCE}), v as (select distinct doc_id % 50 as claim from labels where quality = 1 and doc_id % 11 <> 0)
+select distinct 'v0' as "from", 'v1' as "to", claim from e join v using (claim) where world = 'v0' and source in ('s2', 's4') and claim % 9 <> 0""",
+)
+def claims_reverify(spark, sf_dir):
+    """Between v0 and v1 the slots s2 and s4 changed."""
+    changed = spark.createDataFrame([("v0", "v1", "s2"), ("v0", "v1", "s4")], "`from` string, `to` string, slot string")
+    picks = _selections(spark, sf_dir)
+    evidence, attributes = _evidence(spark, sf_dir)
+    return claims.to_verify_again(changed, evidence, attributes, picks, picks.where("claim % 9 <> 0"))
+
+
+# programs: customers' nations as files, orders as calls of the customer's definition by suppliers of the lines
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    e = _edges(spark, sf_dir)
+    return e.select(F.col("src").alias("caller"), F.col("dst").alias("callee"), F.concat(F.lit("f"), (F.col("src") % 4).cast("string")).alias("file"))
+
+
+_CALLS = f"with e as ({_EDGE_SQL}), c as (select src as caller, dst as callee, 'f' || (src % 4) as file from e), d as (select distinct caller as id, 'f' || (caller % 4) as file, 'n' || (caller % 6) as name from c) "
+
+
+def _definitions(spark, sf_dir) -> DataFrame:
+    return _calls(spark, sf_dir).select(F.col("caller").alias("id"), "file", F.concat(F.lit("n"), (F.col("caller") % 6).cast("string")).alias("name")).distinct()
+
+
+@query("find_references", _CALLS + "select callee as of, caller as other, c.file, 'inbound' as direction from c where callee in (select id from d) union all select caller, callee, file, 'outbound' from c")
+def find_references(spark, sf_dir):
+    return graph.references(_calls(spark, sf_dir), _definitions(spark, sf_dir), "both")
+
+
+@query("occurrence_history", _CALLS + "select id, 'definition' as kind, id as owner, file from d union all select callee, 'reference', caller, c.file from c where callee in (select id from d)")
+def occurrence_history(spark, sf_dir):
+    return graph.occurrences(_calls(spark, sf_dir), _definitions(spark, sf_dir))
+
+
+_RISING = f"with recursive e as (select * from ({_EDGE_SQL}) where dst > src and dst <= src + 4), r as (select src as root, dst as node, 1 as depth from e union select r.root, e.dst, r.depth + 1 from r join e on e.src = r.node), m as (select root, node, min(depth) as depth from r group by 1, 2) "
+
+
+@query("trace_impact", _RISING + "select * from m")
+def trace_impact(spark, sf_dir):
+    """What each node reaches over edges that rise by four at most."""
+    e = _edges(spark, sf_dir).where("dst > src and dst <= src + 4")
+    return graph.reach_each(e, e.select(F.col("src").alias("node")))
+
+
+@query("blast_closure", _RISING + "select node as callee, root as caller from m")
+def blast_closure(spark, sf_dir):
+    return graph.blast(_edges(spark, sf_dir).where("dst > src and dst <= src + 4"))
+
+
+@query("program_context", _RISING + ", w as (select *, node % 5 + 3 as tokens from m) select root, node, depth, tokens from (select *, sum(tokens) over (partition by root order by depth, node) as s from w) where s <= 20")
+def program_context(spark, sf_dir):
+    """The nearest of what each node reaches, within 20 tokens."""
+    e = _edges(spark, sf_dir).where("dst > src and dst <= src + 4")
+    sizes = e.select(F.col("dst").alias("node")).distinct().withColumn("tokens", F.col("node") % 5 + 3)
+    return graph.context(graph.reach_each(e, e.select(F.col("src").alias("node"))), sizes, 20)
+
+
+@query(
+    "collision_precision",
+    _CALLS + ", n as (select name from d group by 1 having count(distinct file) > 1), x as (select d.name, d.id, c.caller from d join n using (name) join c on c.callee = d.id), t as (select name, count(distinct caller) as n_by_name from x group by 1) select name, id, count(distinct caller) as n_callers, any_value(n_by_name) as n_by_name, count(distinct caller)::double / any_value(n_by_name) as precision from x join t using (name) group by 1, 2",
+)
+def collision_precision(spark, sf_dir):
+    return graph.collision_precision(_definitions(spark, sf_dir), _calls(spark, sf_dir))
+
+
+@query(
+    "pull_pattern",
+    """with c as (select 'customer:' || c_custkey as root, 'nation:' || c_nationkey as n, c_nationkey as k from customer)
+select root, root as node, ':c_nationkey' as attribute, n as value, null::varchar as mark from c
+union all select root, n, ':n_regionkey', 'region:' || n_regionkey, 'truncated' from c join nation on n_nationkey = k
+union all select root, root, '_:o_custkey', 'orders:' || o_orderkey, null from c join orders on root = 'customer:' || o_custkey""",
+)
+def pull_pattern(spark, sf_dir):
+    """Each customer's nation, and its region beyond the depth; and the orders that refer to the customer."""
+    source = facts(spark, sf_dir, "customer.c_nationkey", "nation.n_regionkey", "orders.o_custkey").of
+    roots = read(spark, sf_dir, "customer").select(terms.string(tagged("customer")(F.col("c_custkey")))["key"].alias("node"))
+    out = graph.pull_pattern(source, roots, [{":c_nationkey": [{":n_regionkey": []}]}, "_:o_custkey"], max_depth=2)
+    plain = lambda c: F.regexp_extract(c, r"^s\d+:(.*)$", 1).alias(c)
+    return out.select(plain("root"), plain("node"), "attribute", plain("value"), "mark")
+
+
+# plans, more closely
+
+
+@query("even_odd", "with r as (select n_nationkey as k from nation) select 'nation:' || k as node, case when k % 2 = 0 then 'even' else 'odd' end as parity from r")
+def even_odd(spark, sf_dir):
+    """Mutual recursion over nations in the order of their keys, from a fact."""
+    n = read(spark, sf_dir, "nation")
+    edges = n.where("n_nationkey < 24").select(terms.string(tagged("nation")(F.col("n_nationkey"))).alias("t1"), terms.literal(Keyword(":next")).alias("t2"), terms.string(tagged("nation")(F.col("n_nationkey") + 1)).alias("t3"))
+    step = lambda to, of: rule(to, [v("b")], {"rel": of, "args": [v("a")]}, has(v("a"), "next", v("b")))
+    first = [rule("even", ["nation:0"]), step("odd", "even"), step("even", "odd")]
+    out = [rule("out", [v("x"), k], {"rel": k, "args": [v("x")]}) for k in ("even", "odd")]
+    return scalars(run({"find": "out", "strata": [first, out]}, Source(edges, distinct=True), spark), node="c0.s", parity="c1.s")
+
+
+@query("closure_rising", f"with recursive e as ({_EDGE_SQL}), r as (select src, dst from e where src < dst union select r.src, e.dst from r join e on e.src = r.dst where r.src < e.dst) select src, dst from r")
+def closure_rising(spark, sf_dir):
+    """A comparison inside the recursion."""
+    less = {"pred": "lt", "args": [v("a"), v("c")]}
+    rules = [rule("r", [v("a"), v("c")], has(v("a"), "edge", v("c")), less), rule("r", [v("a"), v("c")], {"rel": "r", "args": [v("a"), v("b")]}, has(v("b"), "edge", v("c")), less)]
+    return scalars(run({"find": "r", "rules": rules}, _edge_facts(spark, sf_dir), spark), src="c0.i", dst="c1.i")
+
+
+@query("agg_closure", f"with recursive e as ({_EDGE_SQL}), r as (select src, dst from e union select r.src, e.dst from r join e on e.src = r.dst) select src, count(*) as n from r where dst not in (select src from e where src < 5) group by 1 having count(*) >= 2 order by n desc, src limit 10")
+def agg_closure(spark, sf_dir):
+    """An aggregate over recursive and negated relations, its limit behind having."""
+    reach = [rule("reach", [v("a"), v("b")], has(v("a"), "edge", v("b"))), rule("reach", [v("a"), v("c")], {"rel": "reach", "args": [v("a"), v("b")]}, has(v("b"), "edge", v("c")))]
+    low = [rule("low", [v("a")], has(v("a"), "edge", v("b")), {"pred": "lt", "args": [v("a"), 5]})]
+    out = [rule("out", [v("a"), v("b")], {"rel": "reach", "args": [v("a"), v("b")]}, {"rel": "low", "args": [v("b")], "neg": True})]
+    plan = {"find": {"rel": "out", "group": [0], "agg": [{"op": "count"}], "having": [{"op": "ge", "agg": 0, "val": 2}]}, "strata": [reach + low, out], "order-by": [{"column": 1, "direction": "desc"}, {"column": 0, "direction": "asc"}], "limit": 10}
+    return scalars(run(plan, _edge_facts(spark, sf_dir), spark), src="c0.i", n="c1.i")
+
+
+@query("arith_overflow", "select 'part:' || p_partkey as part, (9223372036854775000::hugeint + p_partkey)::bigint as x from part where p_partkey <= 807")
+def arith_overflow(spark, sf_dir):
+    """Rows whose sum has more than 64 bits have no result."""
+    plan = {"find": "out", "rules": [rule("out", [v("p"), v("x")], has(v("p"), "p_partkey", v("k")), {"fn": "+", "args": [v("k"), 9223372036854775000], "bind": "x"})]}
+    return scalars(run(plan, facts(spark, sf_dir, "part.p_partkey"), spark), part="c0.s", x="c1.i")
+
+
+@query("page_ordered", "select 'part:' || p_partkey as part, p_size::bigint as size from part order by p_size desc, length('part:' || p_partkey)::varchar || ':part:' || p_partkey limit 40 offset 40")
+def page_ordered(spark, sf_dir):
+    """The second page of an ordered plan, behind the first one's cursor."""
+    plan = {"find": "out", "rules": [rule("out", [v("p"), v("s")], has(v("p"), "p_size", v("s")))], "order-by": [{"column": 1, "direction": "desc"}]}
+    source = facts(spark, sf_dir, "part.p_size")
+    _, cursor = page(plan, source, spark, 40)
+    rows, _ = page(plan, source, spark, 40, cursor)
+    return spark.createDataFrame([(r["c0"]["s"], r["c1"]["i"]) for r in rows], "part string, size long")
+
+
+@query("page_canonical", "select 'part:' || p_partkey as part from part order by length('s' || length('part:' || p_partkey) || ':part:' || p_partkey)::varchar, length('part:' || p_partkey)::varchar, 'part:' || p_partkey limit 30")
+def page_canonical(spark, sf_dir):
+    """The first page in canonical order: by the length of the key as text, then the key."""
+    rows, _ = page({"find": "out", "rules": [rule("out", [v("p")], has(v("p"), "p_size", v("s")))]}, facts(spark, sf_dir, "part.p_size"), spark, 30)
+    return spark.createDataFrame([(r["c0"]["s"],) for r in rows], "part string")
+
+
+@query("instants", "select o_orderkey as k, epoch(o_orderdate)::bigint + 90 as later, epoch(o_orderdate)::bigint as seconds from orders")
+def instants(spark, sf_dir):
+    """Instants shifted by 90 seconds, and the seconds between 1970 and them."""
+    t = terms.timestamp(F.col("o_orderdate"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), terms.shift_seconds(t, F.lit(90))["i"].alias("later"), terms.seconds_between(terms.literal(terms.Instant(0)), t).alias("seconds"))

@@ -6,7 +6,11 @@ Relations have columns c0, c1, ... of terms; while a body is evaluated, a column
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +19,50 @@ from pyspark.sql import functions as F
 from ..errors import QueryError
 from ..functions import terms, text
 from ..operators.history import Snapshot
-from ..sources.shared import at_most, written
+from ..functions.terms import Keyword
+from ..sources.shared import Grown, at_most
+from ..sources.tables import Table
 from .plan import TEXT, Builtin, Comparison, Plan, Relation, Rule, Var, heads, parse, recursive_heads, variables
 
 #: A stratum that hasn't come to rest after so many rounds is given up.
 MAX_ROUNDS = 10_000
 MAX_ROWS = 100_000
+MAX_PAGE_BYTES = 1 << 20
+NONNUMERIC = ":query-nonnumeric-aggregate"
+
+
+@dataclass(frozen=True)
+class Limits:
+    """When a recursion is given up: after so many rounds, at a time (time.monotonic), or when cancelled says so; asked
+    between rounds, as a round is a few Spark jobs."""
+
+    rounds: int = MAX_ROUNDS
+    until: float | None = None
+    cancelled: Callable[[], bool] = lambda: False
+
+    def check(self) -> None:
+        if self.cancelled():
+            raise QueryError(":query-cancelled")
+        if self.until is not None and time.monotonic() > self.until:
+            raise QueryError(":query-time-limit")
 
 
 class Source:
     """The base relations of a query: a snapshot of a log, or plain propositions (t1, t2, t3)."""
 
-    def __init__(self, of: Snapshot | DataFrame, distinct: bool = False):
-        """distinct: the propositions hold no row twice, so the triple relation needs no distinct."""
-        self.of, self.distinct = of, distinct
+    def __init__(self, of: Snapshot | DataFrame, distinct: bool = False, tables: tuple[Table, ...] = ()):
+        """distinct: the propositions hold no row twice, so the triple relation needs no distinct. tables: what the
+        propositions come from, all of them; then literals about one row are read from it at once."""
+        self.of, self.distinct, self.tables = of, distinct, tables
+
+    @classmethod
+    def from_tables(cls, *tables: Table) -> Source:
+        return cls(reduce(DataFrame.unionAll, (t.propositions() for t in tables)), True, tables)
+
+    def home(self, predicate) -> Table | None:
+        """The one table that has the predicate as a column."""
+        found = [t for t in self.tables if isinstance(predicate, Keyword) and str(predicate)[1:] in t.columns]
+        return found[0] if len(found) == 1 else None
 
     def triple(self) -> DataFrame:
         if isinstance(self.of, Snapshot):
@@ -118,10 +152,12 @@ def _text_literal(df: DataFrame | None, literal: Relation, source: Source) -> Da
     test = {"text-match": text.match, "text-phrase": text.phrase, "text-substring": text.substring, "text-stem": text.stem}.get(literal.name)
     if not isinstance(needle, Var):
         rows = rows.withColumn("__n", F.lit(needle))
+        if literal.name in ("text-match", "text-phrase"):  # cheap to see; the test decides
+            rows = rows.withColumn("__low", F.lower("c2.s")).where(F.forall(text.tokens(F.lit(needle)), lambda w: F.contains(F.col("__low"), w)))
     else:
         wanted = df.select(_v(needle.name).alias("__t")).where("__t.s is not null").distinct().withColumn("__n", F.col("__t.s"))
-        if literal.name in ("text-match", "text-stem"):  # by an index of words: one needle word finds the rows, the test decides
-            split = text.tokens if literal.name == "text-match" else text.stems
+        if literal.name in ("text-match", "text-phrase", "text-stem"):  # by an index of words: one needle word finds the rows, the test decides
+            split = text.stems if literal.name == "text-stem" else text.tokens
             wanted = wanted.withColumn("__w", F.get(split(F.col("__n")), F.lit(0))).where("__w is not null")
             rows = rows.withColumn("__w", F.explode(F.array_distinct(split(F.col("c2.s"))))).join(wanted, "__w").drop("__w")
         else:
@@ -134,11 +170,64 @@ def _text_literal(df: DataFrame | None, literal: Relation, source: Source) -> Da
     return _joined(df, _selected(found.distinct(), literal.args))
 
 
+@dataclass(frozen=True)
+class Star:
+    """Literals about one subject, joined before the rest."""
+
+    literals: tuple[tuple[int, Relation], ...]
+    table: Table | None = None
+
+
+def _ordered(rule: Rule, source: Source) -> list:
+    """The body's clauses with their places, stars made of literals: all about one row of a table; and those about a subject that
+    share more than one variable with what stands before them, as one alone may join almost everything."""
+    rest, out, bound = list(enumerate(rule.body)), [], set()
+    base = lambda c: isinstance(c, Relation) and c.name == "triple" and not c.negated and isinstance(c.args[0], Var)
+    while rest:
+        i, c = rest.pop(0)
+        if base(c):
+            same = [(j, x) for j, x in rest if base(x) and x.args[0] == c.args[0]]
+            if (home := source.home(c.args[1])) is not None:
+                taken = [(j, x) for j, x in same if source.home(x.args[1]) is home]
+                c = Star(((i, c), *taken), home)
+            else:
+                shared = variables(v for _, x in [(i, c), *same] for v in x.args) & bound
+                taken = same if c.args[0].name not in bound and len(shared) > 1 else []
+                c = Star(((i, c), *taken)) if taken else c
+            rest = [x for x in rest if x not in taken]
+        out.append((i, c))
+        for x in [x for _, x in c.literals] if isinstance(c, Star) else [c]:
+            bound |= {x.bind} if isinstance(x, Builtin) else variables(x.args) if isinstance(x, Relation) else set()
+    return out
+
+
+def _rows_of(star: Star) -> DataFrame:
+    """The variables of literals about one row, by one scan of its table."""
+    table = star.table
+    df, first = table.df, {}
+    values = {star.literals[0][1].args[0].name: terms.string(table.row_id)}
+    for _, c in star.literals:
+        column, arg = str(c.args[1])[1:], c.args[2]
+        df = df.where(F.col(column).isNotNull())
+        if not isinstance(arg, Var):
+            df = df.where(table.equals(column, arg))
+        elif arg.name in values:
+            df = df.where(values[arg.name]["key"] == table.value(column)["key"]) if first.get(arg.name) != column else df
+        else:
+            values[arg.name], first[arg.name] = table.value(column), column
+    return df.select(*(x.alias(f"v_{n}") for n, x in values.items()))
+
+
 def body(rule: Rule, relations: Callable[[int, str], DataFrame], source: Source, spark: SparkSession) -> DataFrame:
     """The rule's variables, one row a match; relations gives the DataFrame of a literal by its place and name."""
     df: DataFrame | None = None
-    for i, c in enumerate(rule.body):
-        if isinstance(c, Relation) and c.name in TEXT:
+    for i, c in _ordered(rule, source):
+        if isinstance(c, Star):
+            rows = None
+            for j, x in c.literals if c.table is None else ():
+                rows = _joined(rows, _selected(relations(j, x.name), x.args))
+            df = _joined(df, _rows_of(c) if rows is None else rows)
+        elif isinstance(c, Relation) and c.name in TEXT:
             df = _text_literal(df, c, source)
         elif isinstance(c, Relation):
             rows = _selected(relations(i, c.name), c.args)
@@ -169,37 +258,39 @@ def _without(df: DataFrame, known: DataFrame) -> DataFrame:
     return df.join(other, on, "left_anti")
 
 
-def _fixpoint(rules: tuple, known: dict[str, DataFrame], source: Source, spark: SparkSession, looping: set[str], max_rounds: int) -> dict[str, DataFrame]:
+def _fixpoint(rules: tuple, known: dict[str, DataFrame], source: Source, spark: SparkSession, looping: set[str], limits: Limits) -> dict[str, DataFrame]:
     """Semi-naive evaluation: each round pins one recursive literal to the rows that the last round found."""
     base = lambda name: known[name] if name in known else source.relation(name)
     own = sorted(looping)
     mine = [r for r in rules if r.head in looping]
     inner = lambda r: [i for i, c in enumerate(r.body) if isinstance(c, Relation) and c.name in looping]
-    delta = {}
+    delta, total = {}, {}
     for h in own:
         seeds = [derived(r, lambda i, n: base(n), source, spark) for r in mine if r.head == h and not inner(r)]
         width = len(next(r for r in mine if r.head == h).args)
         none = spark.createDataFrame([], ", ".join(f"c{i} {terms.TERM}" for i in range(width)))
-        delta[h] = written(_union(seeds) if seeds else none)
-    total = dict(delta)
-    for _ in range(max_rounds):
+        total[h] = Grown(spark, none.schema)
+        delta[h] = total[h].add(_union(seeds) if seeds else none)
+    for _ in range(limits.rounds):
+        limits.check()
         if all(d.isEmpty() for d in delta.values()):
-            return total
+            return {h: total[h].all() for h in own}
+        known_now = {h: total[h].all() for h in own}
         new = {}
         for h in own:
             parts = []
             for r in (r for r in mine if r.head == h):
                 for pin in inner(r):
-                    parts.append(derived(r, lambda i, n, pin=pin: delta[n] if i == pin else total[n] if n in total else base(n), source, spark))
-            new[h] = written(_without(_union(parts), total[h])) if parts else delta[h].limit(0)
-        delta = new
-        total = {h: written(total[h].unionAll(new[h])) for h in own}
-    raise QueryError(":query-work-limit", f"{max_rounds} rounds")
+                    parts.append(derived(r, lambda i, n, pin=pin: delta[n] if i == pin else known_now[n] if n in known_now else base(n), source, spark))
+            new[h] = _without(_union(parts), known_now[h]) if parts else delta[h].limit(0)
+        delta = {h: total[h].add(new[h]) for h in own}
+    raise QueryError(":query-work-limit", f"{limits.rounds} rounds")
 
 
-def relations(plan: Plan, source: Source, spark: SparkSession, max_rounds: int = MAX_ROUNDS) -> dict[str, DataFrame]:
+def relations(plan: Plan, source: Source, spark: SparkSession, limits: Limits | None = None) -> dict[str, DataFrame]:
     """Every derived relation; a stratum's rules that don't recurse take one pass, in order of their reads."""
     known: dict[str, DataFrame] = {}
+    limits = limits or Limits()
     for rules in plan.strata:
         looping = recursive_heads(rules)
         waiting = set(heads(rules))
@@ -211,7 +302,7 @@ def relations(plan: Plan, source: Source, spark: SparkSession, max_rounds: int =
                     known[h] = _union([derived(r, lambda i, n: known[n] if n in known else source.relation(n), source, spark) for r in rules if r.head == h])
             else:
                 ready = {h for h in waiting & looping if reads[h] <= looping}
-                known |= _fixpoint(rules, known, source, spark, ready, max_rounds)
+                known |= _fixpoint(rules, known, source, spark, ready, limits)
             waiting -= ready
     return known
 
@@ -219,10 +310,10 @@ def relations(plan: Plan, source: Source, spark: SparkSession, max_rounds: int =
 def _aggregated(df: DataFrame, plan: Plan) -> DataFrame:
     f = plan.find
     x = lambda a: F.col(f"c{a['arg']}")
-    numeric = [a["arg"] for a in f.agg if a["op"] in ("sum", "avg", "min", "max")]
-    for p in dict.fromkeys(numeric):
-        if not df.where(terms.number(F.col(f"c{p}")).isNull()).isEmpty():
-            raise QueryError(":query-nonnumeric-aggregate", f"column {p}")
+
+    def checked(value: Column, n: Column, place: int) -> Column:
+        """value, if every row has a number; the refusal comes with the rows, so nothing is read twice."""
+        return F.when(F.bool_or(n.isNull()), F.raise_error(F.lit(f"{NONNUMERIC}: column {place}"))).otherwise(value)
 
     def one(a: dict) -> Column:
         if a["op"] == "count":
@@ -231,11 +322,14 @@ def _aggregated(df: DataFrame, plan: Plan) -> DataFrame:
             return terms.integer(F.count_distinct(x(a)["key"]))
         n, i = terms.number(x(a)), terms.whole(x(a))
         if a["op"] == "sum":
-            return F.when(F.bool_and(i.isNotNull()), terms.integer(F.sum(i))).otherwise(terms.floating(F.sum(n)))
-        if a["op"] == "avg":
-            return terms.floating(F.sum(n) / F.count("*"))
-        least = F.min(F.struct(n.alias("n"), i.alias("i"), x(a)["kind"].alias("k"))) if a["op"] == "min" else F.max(F.struct(n.alias("n"), i.alias("i"), x(a)["kind"].alias("k")))
-        return F.when(least["i"].isNotNull(), terms.integer(least["i"])).otherwise(terms.floating(least["n"]))
+            value = F.when(F.bool_and(i.isNotNull()), terms.integer(F.sum(i))).otherwise(terms.floating(F.sum(n)))
+        elif a["op"] == "avg":
+            value = terms.floating(F.sum(n) / F.count("*"))
+        else:
+            each = F.struct(n.alias("n"), i.alias("i"))
+            least = F.min(each) if a["op"] == "min" else F.max(each)
+            value = F.when(least["i"].isNotNull(), terms.integer(least["i"])).otherwise(terms.floating(least["n"]))
+        return checked(value, n, a["arg"])
 
     groups = [F.col(f"c{p}").alias(f"c{k}") for k, p in enumerate(f.group)]
     out = df.groupBy(*groups).agg(F.count("*").alias("__n"), *(one(a).alias(f"c{len(groups) + k}") for k, a in enumerate(f.agg))).where("__n > 0").drop("__n")
@@ -255,11 +349,21 @@ def result(plan: Plan, found: DataFrame) -> DataFrame:
     return df if plan.limit is None else df.limit(plan.limit)
 
 
-def run(form: dict | Plan, source: Source | Snapshot | DataFrame, spark: SparkSession) -> DataFrame:
+def run(form: dict | Plan, source: Source | Snapshot | DataFrame, spark: SparkSession, limits: Limits | None = None) -> DataFrame:
     """The rows of a plan, terms in c0, c1, ...; as many as there are, in no order unless the plan has one."""
     plan = form if isinstance(form, Plan) else parse(form)
     source = source if isinstance(source, Source) else Source(source)
-    return result(plan, relations(plan, source, spark)[plan.find.rel])
+    return result(plan, relations(plan, source, spark, limits)[plan.find.rel])
+
+
+def _rows(df: DataFrame) -> list:
+    """Collected; a refusal that came with the rows is a QueryError as others."""
+    try:
+        return df.collect()
+    except Exception as e:
+        if NONNUMERIC in str(e):
+            raise QueryError(NONNUMERIC, "a group holds a value that is no number") from e
+        raise
 
 
 def collected(form: dict | Plan, source: Source | Snapshot | DataFrame, spark: SparkSession, most: int = MAX_ROWS) -> list:
@@ -267,27 +371,67 @@ def collected(form: dict | Plan, source: Source | Snapshot | DataFrame, spark: S
     plan = form if isinstance(form, Plan) else parse(form)
     df = run(plan, source, spark)
     if plan.limit is None:
-        if not at_most(df, most):
+        df = df if plan.order else df.orderBy(terms.row_key(*(F.col(c) for c in df.columns)))
+        rows = _rows(df.limit(most + 1))
+        if len(rows) > most:
             raise QueryError(":query-result-limit", f"more than {most} rows")
-        if not plan.order:
-            df = df.orderBy(terms.row_key(*(F.col(c) for c in df.columns)))
-    return df.collect()
+        return rows
+    return _rows(df)
+
+
+def _behind(columns: list[tuple[Column, bool]], last: list) -> Column:
+    """Whether a row stands behind the last one, column by column (column, descending); nulls are the least, as Spark sorts them."""
+    out, same = F.lit(False), F.lit(True)
+    for (c, down), x in zip(columns, last, strict=True):
+        x = F.lit(x)
+        if down:
+            beyond = (c < x) | (c.isNull() & x.isNotNull())
+        else:
+            beyond = (c > x) | (c.isNotNull() & x.isNull())
+        out = out | (same & F.coalesce(beyond, F.lit(False)))
+        same = same & c.eqNullSafe(x)
+    return out
 
 
 def page(form: dict, source: Source | Snapshot | DataFrame, spark: SparkSession, limit: int, after: str | None = None) -> tuple[list, str | None]:
-    """(rows, cursor) of a page in canonical order; the cursor is the last row's key, None at the end."""
+    """(rows, cursor) of a page in the plan's order, ties in canonical order; the cursor is None at the end.
+
+    A cursor holds the last row's sort values, the plan's digest and the snapshot's bounds, and is good for these only. A page
+    holds at most limit rows and MAX_PAGE_BYTES of keys; a keyset, so no page counts the ones before it.
+    """
     plan = parse(form)
     if plan.find.group is not None:
         raise QueryError(":query-aggregate-not-pageable")
-    if not 1 <= limit <= 4096:
+    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= 4096:
         raise QueryError(":query-page-limit", str(limit))
-    if plan.order:
-        raise QueryError(":query-page-cursor", "pages follow the canonical order")
+    if plan.limit is not None:
+        raise QueryError(":query-page-limit", "a plan with a limit of its own")
+    of = source.of if isinstance(source, Source) else source
+    bound = [of.upper, of.lower] if isinstance(of, Snapshot) else None
+    digest = hashlib.sha256(json.dumps(form, sort_keys=True, default=repr).encode()).hexdigest()
     df = run(plan, source, spark)
-    df = df.withColumn("__k", terms.row_key(*(F.col(c) for c in df.columns)))
-    df = df if after is None else df.where(F.col("__k") > after)
-    rows = df.orderBy("__k").limit(limit + 1).collect()
-    return rows[:limit], rows[limit - 1]["__k"] if len(rows) > limit else None
-
-
-__all__ = ["Source", "Plan", "Builtin", "variables", "run", "collected", "page", "parse", "relations"]
+    by = [(c, d == "desc") for column, d in plan.order for c in terms.order_columns(F.col(f"c{column}"))]
+    by.append((terms.row_key(*(F.col(c) for c in df.columns)), False))
+    df = df.select("*", *(c.alias(f"__k{i}") for i, (c, _) in enumerate(by)))
+    keys = [(F.col(f"__k{i}"), down) for i, (_, down) in enumerate(by)]
+    if after is not None:
+        try:
+            cursor = json.loads(after)
+            last = cursor["last"]
+        except (ValueError, KeyError, TypeError) as e:
+            raise QueryError(":query-page-cursor", "no cursor") from e
+        if cursor.get("plan") != digest or cursor.get("snapshot") != bound or len(last) != len(keys):
+            raise QueryError(":query-page-cursor", "of another plan or snapshot")
+        df = df.where(_behind(keys, last))
+    rows = _rows(df.orderBy(*(c.desc() if down else c.asc() for c, down in keys)).limit(limit + 1))
+    size, n = 0, 0
+    for r in rows[:limit]:
+        size += len(r[f"__k{len(keys) - 1}"].encode())
+        if size > MAX_PAGE_BYTES:
+            break
+        n += 1
+    if rows and not n:
+        raise QueryError(":query-page-row-too-large", str(size))
+    if n == len(rows):
+        return rows, None
+    return rows[:n], json.dumps({"plan": digest, "snapshot": bound, "last": [rows[n - 1][f"__k{i}"] for i in range(len(keys))]})

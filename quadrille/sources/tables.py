@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,30 @@ def propositions(df: DataFrame, row_id: Column, columns: list[str], references:
     return reduce(DataFrame.unionAll, parts)
 
 
+@dataclass(frozen=True)
+class Table:
+    """A table whose rows are stars of propositions about one row id each, unique among rows."""
+
+    df: DataFrame
+    row_id: Column
+    columns: tuple[str, ...]
+    references: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+
+    def propositions(self) -> DataFrame:
+        return propositions(self.df, self.row_id, list(self.columns), self.references)
+
+    def value(self, column: str) -> Column:
+        """The column's value as a term."""
+        c = F.col(column)
+        return terms.string(self.references[column](c)) if column in self.references else terms.of_type(c, dict(self.df.dtypes)[column])
+
+    def equals(self, column: str, value) -> Column:
+        """Whether the column's value is the given one; on the plain column where that says the same, so that scans can use it."""
+        kind = dict(self.df.dtypes)[column]
+        plain = column not in self.references and (type(value) is str and kind == "string" or type(value) is int and kind in ("int", "bigint"))
+        return F.col(column) == F.lit(value) if plain else self.value(column)["key"] == terms.literal(value)["key"]
+
+
 def tagged(table: str) -> Callable[[Column], Column]:
     """The row id of a key: table:key."""
     return lambda key: F.concat(F.lit(f"{table}:"), key.cast("string"))
@@ -52,29 +77,93 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations(e, "events", F.col("event_id") + 1, F.lit(0), action, terms.integer(F.col("user_id")), terms.literal(terms.Keyword(":did")), terms.integer(k % 8))
 
 
+# fixed values: the order of predicates in a file, and those that refer to subjects where nothing is declared
+ORDER = ("title owner lead driver source proposed_by created_by created_at updated_at committed do_on valid_until estimate_hours repo part_of depends_on relates_to clarifies amends outcome abandoned").split()
+REFERRING = ("depends_on", "part_of", "relates_to", "clarifies", "amends")
+
+_ESCAPES = (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ("\\\\", "\\"))
+
+
+def unquoted(c: Column) -> Column:
+    """The text of a quoted string, its escapes resolved."""
+    body = F.regexp_extract(c, r'^"((?:[^"\\]|\\.)*)"', 1)
+    parts = F.regexp_extract_all(body, F.lit(r"(?s)\\.|[^\\]+"), F.lit(0))
+    one = lambda x: reduce(lambda done, e: done.when(x == e[0], F.lit(e[1])), _ESCAPES[1:], F.when(x == _ESCAPES[0][0], F.lit(_ESCAPES[0][1]))).otherwise(x)
+    return F.array_join(F.transform(parts, one), "")
+
+
+def quoted(c: Column) -> Column:
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for code, plain in _ESCAPES[:4]:
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def _spellings(df: DataFrame) -> DataFrame:
+    """spelling, name: names and aliases that the propositions (t, k, v) themselves declare for predicates, and the name."""
+    declared = df.where(F.col("k").isin("predicate_name", "predicate_alias"))
+    name = declared.where("k = 'predicate_name'").groupBy("t").agg(F.max("v").alias("name"))
+    return declared.join(name, "t").groupBy(F.col("v").alias("spelling")).agg(F.max("name").alias("name"))
+
+
+def _kinds(df: DataFrame) -> DataFrame:
+    """name, kind: the value kind that the propositions (t, k, v) declare for predicates."""
+    return df.where("k = 'value_kind'").select(strings.strip_at(F.col("t")).alias("spelling"), F.col("v").alias("kind")).groupBy("spelling").agg(F.max("kind").alias("kind"))
+
+
+def _normalised(df: DataFrame) -> DataFrame:
+    """(t, k, v) with predicates by their declared names and values of the kind ref with their at sign."""
+    names, kinds = _spellings(df), _kinds(df)
+    df = df.join(names.withColumnRenamed("spelling", "k"), "k", "left").withColumn("k", F.coalesce("name", strings.strip_at(F.col("k")))).drop("name")
+    df = df.join(kinds.withColumnRenamed("spelling", "k"), "k", "left")
+    kind = F.coalesce("kind", F.when(F.col("k").isin(*REFERRING), "ref").otherwise("literal"))
+    refers = (kind == "ref") & ~F.startswith("v", F.lit("@"))
+    return df.select("t", "k", F.when(refers, F.concat(F.lit("@"), F.col("v"))).otherwise(F.col("v")).alias("v"), kind.alias("kind"))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Propositions out of Markdown files: a line "# @subject", lines "predicate value" up to a line "---", then the body.
+    """Propositions out of files: the first line that starts with @ is the subject, each line behind it "predicate value", up
+    to a line ---; what follows is the proposition (subject, "body", text). A value in quotes is unquoted.
 
-    A comma-separated value gives one proposition an element; the body is the proposition (subject, "body", text).
+    Files without a subject give nothing; lines end at a line feed, a carriage return before it is no part of them.
     """
-    files = spark.read.text(path, wholetext=True)
-    head = F.regexp_extract("value", r"^#\s*(@\S+)", 1)
-    parts = F.split(F.regexp_replace("value", r"^#[^\n]*\n?", ""), r"(?m)^---[ \t]*$\n?", 2)
-    df = files.select(head.alias("subject"), F.get(parts, F.lit(0)).alias("meta"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), F.lit("\n")).alias("body")).where("subject <> ''")
-    lines = df.select("subject", F.explode(F.split("meta", "\n")).alias("line")).where(F.trim("line") != "")
-    kv = lines.select("subject", strings.split_kv(F.col("line")).alias("x")).select("subject", "x.k", F.explode(strings.split_comma(F.col("x.v"))).alias("v"))
-    whole = kv.union(df.where("body <> ''").select("subject", F.lit("body"), "body"))
-    return whole.select(terms.string(F.col("subject")).alias("t1"), terms.string(F.col("k")).alias("t2"), terms.string(F.col("v")).alias("t3"))
+    files = spark.read.text(path, wholetext=True).select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+    parts = F.split("value", r"(?m)^[ \t]*---[ \t]*$\n?", 2)
+    lines = F.transform(F.split(F.get(parts, F.lit(0)), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
+    first = F.array_position(F.transform("lines", lambda x: F.startswith(x, F.lit("@"))), F.lit(True)).cast("int")
+    df = files.select(lines.alias("lines"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("body")).withColumn("at", first).where("at > 0")
+    df = df.select(F.get("lines", F.col("at") - 1).alias("t"), F.slice("lines", F.col("at") + 1, F.greatest(F.size("lines") - F.col("at"), F.lit(0))).alias("lines"), "body")
+    each = df.select("t", F.explode("lines").alias("line")).where("line <> ''").select("t", strings.split_kv(F.col("line")).alias("x"))
+    value = F.when(F.startswith("x.v", F.lit('"')), unquoted(F.col("x.v"))).otherwise(F.col("x.v"))
+    whole = each.select("t", F.col("x.k").alias("k"), value.alias("v")).unionAll(df.where(F.col("body").rlike(r"\S")).select("t", F.lit("body"), "body"))
+    return _normalised(whole).select(terms.string(F.col("t")).alias("t1"), terms.string(F.col("k")).alias("t2"), terms.string(F.col("v")).alias("t3"))
 
 
 def to_markdown(props: DataFrame) -> DataFrame:
-    """(subject, text): each subject's string propositions as such a file's text, predicates and values in order."""
-    df = props.where(F.col("t1.s").isNotNull() & F.col("t3.s").isNotNull()).select(F.col("t1.s").alias("subject"), F.col("t2.s").alias("k"), F.col("t3.s").alias("v"))
-    each = df.where("k <> 'body'").groupBy("subject", "k").agg(F.array_join(F.sort_array(F.collect_list("v")), ", ").alias("v"))
-    meta = each.groupBy("subject").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(" ", "k", "v"))), "\n").alias("meta"))
-    body = df.where("k = 'body'").groupBy("subject").agg(F.max("v").alias("body"))
-    text = F.concat(F.lit("# "), F.col("subject"), F.lit("\n"), F.coalesce("meta", F.lit("")), F.when(F.col("body").isNotNull(), F.concat(F.lit("\n---\n"), F.col("body"))).otherwise(""))
-    return meta.join(body, "subject", "full").select("subject", text.alias("text"))
+    """(subject, text): each subject's string propositions as such a file's text: predicates in a fixed order, others by name,
+    a value's line each, the body last. Of several values of a predicate the order is that of the texts."""
+    df = props.where((F.col("t1.kind") == terms.STRING) & (F.col("t2.kind") == terms.STRING) & (F.col("t3.kind") == terms.STRING))
+    df = _normalised(df.select(F.col("t1.s").alias("t"), F.col("t2.s").alias("k"), F.col("t3.s").alias("v")))
+    plain = ~((F.trim("v") == "") | F.col("v").rlike(r"[ \t\n\r]") | F.startswith("v", F.lit("@")) | F.startswith("v", F.lit('"')))
+    df = df.withColumn("shown", F.when((F.col("kind") == "ref") | plain, F.col("v")).otherwise(quoted(F.col("v"))))
+    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("k"))
+    line = F.struct(F.when(place > 0, place).otherwise(len(ORDER) + 1).alias("place"), "k", "shown")
+    body = F.min(F.when(F.col("k") == "body", F.col("v")))
+    each = df.groupBy("t").agg(F.sort_array(F.collect_list(F.when(F.col("k") != "body", line))).alias("lines"), body.alias("body"))
+    text = F.concat("t", F.lit("\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["k"], F.lit("  "), x["shown"])), "\n"), F.lit("\n---\n"), F.coalesce("body", F.lit("")))
+    return each.select(F.col("t").alias("subject"), text.alias("text"))
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """file, t1, t2, t3, texts: the facts of streams in which a line "@file name" begins a block and a line
+    [a b c] states a fact of numbers, names or quoted strings; other lines are skipped."""
+    atom = r'("(?:[^"\\]|\\.)*"|[^\s\[\]"]+)'
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.replace("value", F.lit("\r\n"), F.lit("\n")), r"(?m)^@file ")).alias("block"))
+    lines = blocks.select(F.split("block", "\n").alias("lines")).select(F.get("lines", F.lit(0)).alias("file"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    fact = rf"^\[\s*{atom}\s+{atom}\s+{atom}\s*\]\s*$"
+    part = lambda k: F.regexp_extract("line", fact, k)
+    value = lambda x: F.when(F.startswith(x, F.lit('"')), unquoted(x)).otherwise(x)
+    return lines.where(F.col("line").rlike(fact)).select("file", *(value(part(k)).alias(f"t{k}") for k in (1, 2, 3)))
 
 
 def append_log(ops: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Logs fed by a stream: operations append to a log's table, and live state is kept by what each batch touched."""
+"""Logs fed by a stream: operations append to a log's table, and consumers read the increments."""
 
 from __future__ import annotations
 
