@@ -19,7 +19,9 @@ associatively in the max-plus sense, level by level in groups of FAN; from the t
 come back down the levels; then each chunk, knowing its two states, backtraces its own pieces. No task sees more than
 one chunk or FAN matrices of a text.
 
-Where several unigram segmentations have the same greatest score any of them is right; within a chunk the longer last piece wins.
+Scores are whole numbers of 2**-24, so sums don't depend on their order. Where several segmentations have the same greatest
+score, that with the greatest sum of TIES decides, one for each boundary by its place in its word; it adds up like the
+score, so chunks of any size give the ids of the whole text.
 
 Decoding concatenates the pieces' bytes and restores spaces. As SentencePiece does, it reads the character U+2581 as a
 space; all other texts come back as they were. Defined results: a null text has no ids (null), an empty one no pieces;
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
+from .shingles import mix
 
 SPACE = "▁"
 #: Matrices that one task combines.
@@ -49,6 +52,20 @@ MAX_CACHE = 200_000
 MAX_WORD = 200
 #: Kinds of models, as in the file.
 UNIGRAM, BPE = 1, 2
+#: Scores are rounded to whole numbers of this; below a score stands, in 64 bits of its own, the sum of its boundaries' ties.
+UNIT, TIE_BITS = 1 << 24, 64
+#: Less than any score: of one path, as a Python number and in a matrix.
+NONE, LOW = -(1 << 130), -(1 << 61)
+_ties: list[int] = []
+
+
+def tie(place: int) -> int:
+    """A fixed 40-bit number for each place in a word."""
+    while place >= len(_ties):
+        _ties.extend((mix(np.arange(len(_ties), 2 * len(_ties) + 64, dtype=np.uint64) + np.uint64(1)) >> np.uint64(24)).tolist())
+    return _ties[place]
+
+
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _MARKS = ".,;:!?|#$%&*\"'()"
 
@@ -61,7 +78,7 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model) if proto is None else sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = sp.get_piece_size()
-        self.score: dict[str, tuple[float, int]] = {}
+        self.score: dict[str, tuple[int, int]] = {}
         self.byte, self.raw = [0] * 256, []
         for i in range(n):
             piece = sp.id_to_piece(i)
@@ -71,32 +88,36 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.raw.append(b"")
             else:
-                self.score[piece] = (sp.get_score(i), i)
+                self.score[piece] = (round(sp.get_score(i) * UNIT) << TIE_BITS, i)
                 self.raw.append(piece.encode())
         self.longest = max(map(len, self.score))
-        self.unknown = min(s for s, _ in self.score.values()) - 10.0
+        self.unknown = min(s for s, _ in self.score.values()) - (10 * UNIT << TIE_BITS)
         self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         self.pairs = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.words: dict[str, bytes] = {}
-        self.scores: dict[str, float] = {}
+        self.scores: dict[str, int] = {}
+
+    def paths(self, s: str, n: int, start: int = 0, lead: int = 0) -> tuple[list[int], list[int]]:
+        """best[e] and back[e], where the last piece of the best path to e begins, over pieces that begin in [start, n).
 
-    def paths(self, s: str, n: int, start: int = 0) -> tuple[list[float], list[int]]:
-        """best[e] and back[e], where the last piece of the best path to e begins, over pieces that begin in [start, n)."""
-        best, back = [float("-inf")] * (len(s) + 1), [-1] * (len(s) + 1)
-        best[start] = 0.0
+        s begins lead characters into a word.
+        """
+        best, back = [NONE] * (len(s) + 1), [-1] * (len(s) + 1)
+        best[start] = 0
         score, begins, end = self.score, self.begins, len(s)
+        tie(lead + end)
         for i in range(start, n):
-            if (here := best[i]) == float("-inf"):
+            if (here := best[i]) == NONE:
                 continue
             e, single = i + 1, False
             while e <= end and (part := s[i:e]) in begins:
                 if (hit := score.get(part)) is not None:
                     single |= e == i + 1
-                    if here + hit[0] > best[e]:
-                        best[e], back[e] = here + hit[0], i
+                    if (new := here + hit[0] + _ties[lead + e]) > best[e]:
+                        best[e], back[e] = new, i
                 e += 1
-            if not single and here + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = here + self.unknown, i
+            if not single and (new := here + self.unknown + _ties[lead + i + 1]) > best[i + 1]:
+                best[i + 1], back[i + 1] = new, i
         return best, back
 
     def trace(self, s: str, back: list[int], end: int, start: int = 0) -> list[int]:
@@ -114,21 +135,12 @@ class Pieces:
         self.words[s] = np.array(self.trace(s, back, len(s)), "<i4").tobytes()
 
     def learn(self, new: set[str]) -> None:
-        """Words into the cache; marks behind a word are apart from it where no piece has both."""
+        """Words into the cache."""
         for word in new:
-            if word in self.words:
-                continue
-            stem = word.rstrip(_MARKS)
-            marks = word[len(stem) :]
-            if marks and stem and stem[-1] + marks[0] not in self.pairs:
-                for x in (stem, marks):
-                    if x not in self.words:
-                        self._atom(x)
-                self.words[word] = self.words[stem] + self.words[marks]
-            else:
+            if word not in self.words:
                 self._atom(word)
 
-    def best(self, word: str) -> float:
+    def best(self, word: str) -> int:
         """The score of a word's best path; only chunks need it."""
         if (found := self.scores.get(word)) is None:
             found = self.scores[word] = self.paths(word, len(word))[0][-1]
@@ -159,39 +171,44 @@ class Pieces:
         found = [m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", s[:n])]
         return (found[0], found[-1]) if found else None
 
-    def matrix(self, s: str, n: int) -> np.ndarray:
-        """Best scores from each state at the chunk's start to each at its end."""
+    def matrix(self, s: str, n: int, lead: int) -> np.ndarray:
+        """Best scores, and their ties, from each state at the chunk's start to each at its end."""
         m = self.longest
-        out = np.full((m, m), -np.inf)
+        out = np.stack([np.full((m, m), LOW), np.zeros((m, m), np.int64)])
+
+        def put(d: int, values: list[int]) -> None:
+            for e, x in enumerate(values):
+                if x > NONE // 2:
+                    out[:, d, e] = x >> TIE_BITS, x & ((1 << TIE_BITS) - 1)
+
         cuts = self._cuts(s, n)
         if cuts is None:
             for d in range(m):
                 if d >= n:
                     if d - n < m:
-                        out[d, d - n] = 0.0
+                        out[:, d, d - n] = 0
                 else:
-                    best, _ = self.paths(s, n, d)
-                    out[d, : len(s) + 1 - n] = best[n:]
+                    put(d, self.paths(s, n, d, lead)[0][n:])
             return out
         f, g = cuts
         tail, _ = self.paths(s[g:], n - g)
         between = _WORD.findall(s[f:g])
         middle = sum(map(self.best, between))
         for d in range(min(m, f + 1)):
-            head, _ = self.paths(s[:f], f, d)
-            out[d, : len(s) + 1 - n] = head[f] + middle + np.array(tail[n - g :])
+            head, _ = self.paths(s[:f], f, d, lead)
+            put(d, [head[f] + middle + x for x in tail[n - g :]])
         return out
 
-    def pieces(self, s: str, n: int, enter: int, leave: int) -> bytes:
+    def pieces(self, s: str, n: int, lead: int, enter: int, leave: int) -> bytes:
         """The ids of the pieces that begin in the chunk, given its states."""
         if enter >= n:
             return b""
         cuts = self._cuts(s, n)
         if cuts is None:
-            _, back = self.paths(s, n, enter)
+            _, back = self.paths(s, n, enter, lead)
             return np.array(self.trace(s, back, n + leave, enter), "<i4").tobytes()
         f, g = cuts
-        _, head = self.paths(s[:f], f, enter)
+        _, head = self.paths(s[:f], f, enter, lead)
         _, tail = self.paths(s[g:], n - g)
         between = _WORD.findall(s[f:g])
         self.learn(set(between))
@@ -303,9 +320,15 @@ def raw_pieces(model: str) -> pa.Array:
     return pa.array(Pieces(model).raw, pa.large_binary())
 
 
+def _greatest(scores: np.ndarray, ties: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest score along an axis and the greatest tie that goes with it."""
+    best = scores.max(axis=axis)
+    return np.maximum(best, LOW), np.where(scores == np.expand_dims(best, axis), ties, -1).max(axis=axis)
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The max-plus product of two matrices."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+    """The max-plus product of two matrices, by score, then tie."""
+    return np.stack(_greatest(a[0][:, :, None] + b[0][None], a[1][:, :, None] + b[1][None], 1))
 
 
 def _lists(ids: list[bytes | None]) -> pa.Array:
@@ -329,18 +352,22 @@ def _encode_whole(docs: DataFrame, model: str) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-_CHUNK = "doc_id long, th long, c long, n long, s string"
+_CHUNK = "doc_id long, th long, c long, n long, lead long, s string"
 
 
 def _chunks(giants: DataFrame, longest: int, size: int) -> DataFrame:
-    """The chunks of each text: s is its first n characters and the next longest - 1."""
+    """The chunks of each text: s is its first n characters, which begin lead characters into a word, and the next longest - 1."""
 
     def run(batches):
         for batch in batches:
             for doc_id, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
                 s = SPACE + text.replace(" ", SPACE)
+                word, starts = 0, (m.start() + 1 for m in re.finditer(f"[^{SPACE}]{SPACE}", s))
+                after = next(starts, len(s))
                 for c, a in enumerate(range(0, len(s), size)):
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "th": [th], "c": [c], "n": [min(size, len(s) - a)], "s": [s[a : a + size + longest - 1]]})
+                    while after <= a < len(s):
+                        word, after = after, next(starts, len(s))
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "th": [th], "c": [c], "n": [min(size, len(s) - a)], "lead": [a - word], "s": [s[a : a + size + longest - 1]]})
 
     return giants.mapInArrow(run, _CHUNK)
 
@@ -377,15 +404,15 @@ def _matrices(chunks: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 pieces.trim()
-                m = pieces.matrix(batch.column("s")[i].as_py(), batch.column("n")[i].as_py())
+                m = pieces.matrix(*(batch.column(c)[i].as_py() for c in ("s", "n", "lead")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("doc_id", "th", "c")), pa.array([m.tobytes()])], ["doc_id", "th", "c", "m"])
 
-    return chunks.select("doc_id", "th", "c", "n", "s").mapInArrow(run, "doc_id long, th long, c long, m binary")
+    return chunks.select("doc_id", "th", "c", "n", "lead", "s").mapInArrow(run, "doc_id long, th long, c long, m binary")
 
 
 def _unpacked(m: bytes) -> np.ndarray:
-    m = np.frombuffer(m)
-    return m.reshape(int(len(m) ** 0.5), -1)
+    m = np.frombuffer(m, np.int64)
+    return m.reshape(2, int((len(m) // 2) ** 0.5), -1)
 
 
 def _states(matrices: DataFrame) -> DataFrame:
@@ -406,12 +433,14 @@ def _states(matrices: DataFrame) -> DataFrame:
     def inside(pdf):
         pdf = pdf.sort_values("c")
         ms, enter, leave = [_unpacked(m) for m in pdf["m"]], int(pdf["enter"].iloc[0]), int(pdf["leave"].iloc[0])
-        reach = [np.where(np.arange(len(ms[0])) == enter, 0.0, -np.inf)]
+        size = ms[0].shape[1]
+        reach = [(np.where(np.arange(size) == enter, 0, LOW), np.zeros(size, np.int64))]
         for m in ms:
-            reach.append((reach[-1][:, None] + m).max(axis=0))
+            reach.append(_greatest(reach[-1][0][:, None] + m[0], reach[-1][1][:, None] + m[1], 0))
         states = [leave]
-        for m, r in zip(reversed(ms), reversed(reach[:-1]), strict=True):
-            states.append(int(np.argmax(r + m[:, states[-1]])))
+        for m, (score, ties) in zip(reversed(ms), reversed(reach[:-1]), strict=True):
+            to = states[-1]
+            states.append(int(np.lexsort((ties + m[1][:, to], score + m[0][:, to]))[-1]))
         states.reverse()
         return pdf[["doc_id", "th", "c"]].assign(enter=states[:-1], leave=states[1:])
 
@@ -428,10 +457,10 @@ def _encode_chunks(chunks: DataFrame, states: DataFrame, model: str) -> DataFram
         for batch in batches:
             for i in range(len(batch)):
                 pieces.trim()
-                ids = pieces.pieces(*(batch.column(c)[i].as_py() for c in ("s", "n", "enter", "leave")))
+                ids = pieces.pieces(*(batch.column(c)[i].as_py() for c in ("s", "n", "lead", "enter", "leave")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("doc_id", "th", "c")), _lists([ids])], ["doc_id", "th", "c", "ids"])
 
-    return chunks.join(states, ["doc_id", "th", "c"]).select("doc_id", "th", "c", "s", "n", "enter", "leave").mapInArrow(run, "doc_id long, th long, c long, ids array<int>")
+    return chunks.join(states, ["doc_id", "th", "c"]).select("doc_id", "th", "c", "s", "n", "lead", "enter", "leave").mapInArrow(run, "doc_id long, th long, c long, ids array<int>")
 
 
 def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
