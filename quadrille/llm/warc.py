@@ -8,7 +8,9 @@ attempt, and the list of those that count is a written table, so a repeated task
 Defined results: a null html is an empty payload, a null url an empty target; line ends in a url are percent-encoded.
 Of records with equal payloads of min_revisit bytes or more, those with the smallest page_id are responses, others
 revisit it (a null page_id counts as the largest); the payload's length and digest are in the header of either kind.
-Every row has a record, repeated rows too; an empty table makes no archive. Other columns are not archived.
+Every row has a record with an id of its own, repeated rows too; an empty table makes no archive. Other columns are not archived.
+An archive that breaks off or is damaged is normalised up to the last whole record and marked as damaged; zero bytes behind a
+gzip member are padding. archived() refuses damage, as it would lose rows.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ PIECE = 1 << 20
 INDEX = ".idx"
 
 
+class Damaged(ValueError):
+    """An archive that breaks off or holds no records."""
+
+
 def marked(pages: DataFrame, *, min_revisit: int = 100) -> DataFrame:
     """page_id, url, html and digest, with refers_to: the page that holds the same payload, null for responses."""
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     df = df.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     long = df.where(F.octet_length("html") >= min_revisit)
-    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written, so that the join reads a plain table: broadcast if it is small, else Spark can split a frequent payload
+    first = written(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     df = df.join(first, "digest", "left")
     return df.select("page_id", "url", "html", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
 
@@ -45,7 +52,7 @@ def record(page_id, url, html: bytes, digest: str, refers_to, date: str) -> byte
     block = b"" if kind == "revisit" else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n%b" % (len(html), html)
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": date,
         "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Payload-Digest": f"sha256:{digest}",
@@ -62,7 +69,7 @@ def record(page_id, url, html: bytes, digest: str, refers_to, date: str) -> byte
 def header(raw: bytes) -> dict[str, str]:
     version, *lines = raw.decode().split("\r\n")
     if not version.startswith("WARC/"):
-        raise ValueError(f"no WARC record: {version[:40]!r}")
+        raise Damaged(f"no WARC record: {version[:40]!r}")
     return dict(x.split(": ", 1) for x in lines if x)
 
 
@@ -83,27 +90,33 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         while (end := rest.find(b"\r\n\r\n", seen)) < 0:
             seen = max(0, len(rest) - 3)
             if not fill(len(rest) + 1):
-                raise ValueError("a record's header doesn't end")
+                raise Damaged("a record's header doesn't end")
         head = header(bytes(rest[:end]))
         size = end + 4 + int(head["Content-Length"]) + 4
         if not fill(size):
-            raise ValueError("a record's block doesn't end")
+            raise Damaged("a record's block doesn't end")
         yield head, bytes(rest[:size])
         del rest[:size]
 
 
 def inflated(stream) -> Iterator[bytes]:
     """The bytes behind a gzip file of one or more members, in bounded pieces."""
-    unzip, raw = zlib.decompressobj(GZIP), b""
+    unzip, raw, fresh = zlib.decompressobj(GZIP), b"", True
     while raw or (raw := stream.read(PIECE)):
-        out = unzip.decompress(raw, PIECE)
-        raw = unzip.unconsumed_tail or unzip.unused_data
+        if fresh and not (raw := raw.lstrip(b"\0")):  # padding
+            continue
+        try:
+            out = unzip.decompress(raw, PIECE)
+        except zlib.error as e:
+            raise Damaged(str(e)) from e
+        raw, fresh = unzip.unconsumed_tail or unzip.unused_data, False
         if out:
             yield out
         if unzip.eof:
-            unzip = zlib.decompressobj(GZIP)
-    if out := unzip.flush():
-        yield out
+            unzip, fresh = zlib.decompressobj(GZIP), True
+    if not fresh:
+        yield unzip.flush()
+        raise Damaged("a gzip member doesn't end")
 
 
 def write_archives(marked_pages: DataFrame, where: str, *, file_bytes: int = 256 << 20, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
@@ -136,7 +149,8 @@ def write_archives(marked_pages: DataFrame, where: str, *, file_bytes: int = 256
 
 
 def normalise(archives: DataFrame, where: str) -> DataFrame:
-    """Rewrites each archive of the table (path) with a member a record and a sidecar index; returns the new table."""
+    """Rewrites each archive of the table (path) with a member a record and a sidecar index; returns the new table (path, n,
+    damaged)."""
 
     def rewrite(batches):
         fs, top = file_system(where)
@@ -144,17 +158,20 @@ def normalise(archives: DataFrame, where: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 source_fs, source = file_system(path)
-                name, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
+                name, at, n, damaged = f"{uuid.uuid4().hex}.warc.gz", 0, 0, False
                 with source_fs.open_input_stream(source, compression=None) as f, fs.open_output_stream(f"{top}/{name}", compression=None) as out, fs.open_output_stream(f"{top}/{name}{INDEX}", compression=None) as index:
-                    for head, raw in records(inflated(f)):
-                        gz = zlib.compressobj(4, zlib.DEFLATED, GZIP)
-                        member = gz.compress(raw) + gz.flush()
-                        out.write(member)
-                        index.write(f"{at} {len(member)} {head['Page-ID']}\n".encode())
-                        at, n = at + len(member), n + 1
-                yield pa.RecordBatch.from_pydict({"path": [f"{where}/{name}"], "n": [n]})
+                    try:
+                        for head, raw in records(inflated(f)):
+                            gz = zlib.compressobj(4, zlib.DEFLATED, GZIP)
+                            member = gz.compress(raw) + gz.flush()
+                            out.write(member)
+                            index.write(f"{at} {len(member)} {head.get('Page-ID', '')}\n".encode())
+                            at, n = at + len(member), n + 1
+                    except Damaged:
+                        damaged = True
+                yield pa.RecordBatch.from_pydict({"path": [f"{where}/{name}"], "n": [n], "damaged": [damaged]})
 
-    return written(_spread(archives).mapInArrow(rewrite, "path string, n long"))
+    return written(_spread(archives).mapInArrow(rewrite, "path string, n long, damaged boolean"))
 
 
 def _spread(files: DataFrame) -> DataFrame:
@@ -209,4 +226,7 @@ def archived(pages: DataFrame, *, min_revisit: int = 100) -> DataFrame:
     """Writes pages as archives, normalises them and reads them back."""
     where = shared_dir(pages.sparkSession)
     whole = write_archives(marked(pages, min_revisit=min_revisit), f"{where}/whole")
-    return read_archives(normalise(whole, f"{where}/members"))
+    members = normalise(whole, f"{where}/members")
+    if not members.where("damaged").isEmpty():
+        raise Damaged("an archive just written is damaged")
+    return read_archives(members)
