@@ -7,7 +7,7 @@ decoded by Viterbi over many lines at once: all lines of a piece of text advance
 Spans of the CRF are added where no pattern's span lies; the patterns' spans stay.
 
 Defined results: a null text is empty and has no spans; positions are code points, ends exclusive. A line is one
-sequence, however long. Rows are handled one by one, so repeated rows get equal results; columns besides text
+sequence, however long; of a long text a few lines at a time are in numpy. Rows are handled one by one, so repeated rows get equal results; columns besides text
 pass through.
 """
 
@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .shingles import PIECE, mix, texts
+from .shingles import mix, texts
 
+#: Bytes of text that are in numpy at once, unless a line is longer.
+PIECE = 1 << 20
 BASE = ("email", "ip", "card", "phone")
 FOUND = ("name", "secret", "identity")
 KINDS = BASE + FOUND
@@ -380,6 +382,29 @@ def crf_spans(model: Crf, data: np.ndarray, bounds: np.ndarray) -> dict[int, lis
     return out
 
 
+def _segments(raw: np.ndarray, most: int) -> np.ndarray:
+    """Where a long text is cut: behind the last line feed within most bytes, or else the next one."""
+    feeds, cuts = np.flatnonzero(raw == 10) + 1, [0]
+    while len(raw) - cuts[-1] > most:
+        k = int(np.searchsorted(feeds, cuts[-1] + most, "right"))
+        at = feeds[k - 1] if k and feeds[k - 1] > cuts[-1] else feeds[k] if k < len(feeds) else len(raw)
+        if at == len(raw):
+            break
+        cuts.append(int(at))
+    return np.array([*cuts, len(raw)])
+
+
+def _of_long(model: Crf, raw: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """The CRF's spans of one long text, segment by segment."""
+    out, points = [], 0
+    cuts = _segments(raw, most)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        part = raw[a:b]
+        out += [(points + s, k, points + e) for s, k, e in crf_spans(model, part, np.array([0, len(part)])).get(0, [])]
+        points += int(((part & 0xC0) != 0x80).sum())
+    return out
+
+
 def _merged(base: list, more: list) -> list:
     """base, and of more what overlaps none of base."""
     return sorted(base + [x for x in more if all(x[2] <= b[0] or x[0] >= b[2] for b in base)]) if more else base
@@ -390,8 +415,8 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, model: Crf) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
-    added = [*(T.StructField(f"n_{k}", T.LongType()) for k in BASE), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    """docs with n_email, n_ip, n_card, n_phone, n_spans (those of the CRF too), base_sha256 and spans."""
+    added = [*(T.StructField(f"n_{k}", T.LongType()) for k in (*BASE, "spans")), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
     docs = docs.drop(*(x.name for x in added))
     held = docs.sparkSession.sparkContext.broadcast((model.emit.astype(np.float32), model.step.astype(np.float32)))
 
@@ -402,14 +427,16 @@ def find_personal_data(docs: DataFrame, model: Crf) -> DataFrame:
             strings = batch.column("text").to_pylist()
             rows, i = [], 0
             while i < len(strings):
-                j = min(len(strings), max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE // 2, "right")) - 1))
-                found = crf_spans(crf, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                j = min(len(strings), max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1))
+                part = data[offsets[i] : offsets[j]]
+                found = crf_spans(crf, part, offsets[i : j + 1] - offsets[i]) if len(part) <= PIECE else {0: _of_long(crf, part, PIECE)}
                 for k in range(i, j):
                     base = base_spans(strings[k] or "")
                     counts = [sum(x[1] == c for x in base) for c in range(len(BASE))]
-                    rows.append((*counts, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(_merged(base, found.get(k - i, [])))))
+                    every = _merged(base, found.get(k - i, []))
+                    rows.append((*counts, len(every), hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every)))
                 i = j
-            columns = [pa.array(x, pa.int64() if n < len(BASE) else pa.string()) for n, x in enumerate(zip(*rows, strict=True))]
+            columns = [pa.array(x, pa.int64() if n <= len(BASE) else pa.string()) for n, x in enumerate(zip(*rows, strict=True))]
             if rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(x.name for x in added)])
 
