@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, unless one text is longer.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _INK = np.ones(256, bool)
 _INK[[9, 10, 11, 12, 13, 32]] = False
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
