@@ -308,20 +308,47 @@ def test_best_paths_equal_the_library(model, texts):
         assert score(ids) == score(best), text
 
 
-def test_chunks_find_paths_as_good(model, texts):
+def test_chunks_give_the_ids_of_the_whole(model, texts):
+    """Also where many segmentations are equally good: aaaa as aa a a, a aa a and so on."""
     pieces, rng = maxplus.Pieces(model), random.Random(1)
-    score = {i: s for s, i in pieces.score.values()}
-    total = lambda raw: sum(score.get(i, 0.0) for i in np.frombuffer(raw, "<i4").tolist())
-    for k in range(80):
+    equal = maxplus.Pieces(model)
+    equal.score = {p: (-(1 << 24) * len(p) << maxplus.TIE_BITS, i) for p, (_, i) in equal.score.items()}
+    for k in range(120):
+        pieces, equal = equal, pieces
         text = (rng.choice(texts[20:]) or "x")[:400]
-        text = text.replace(" ", "") if k % 4 == 0 else text.replace("er", " \n  ") if k % 5 == 0 else text
+        text = "".join(rng.choice("aae ") for _ in range(90)) if k % 3 == 0 else text.replace(" ", "") if k % 4 == 0 else text.replace("er", " \n  ") if k % 5 == 0 else text
         size, s = rng.choice([2, 7, 20, 90]), maxplus.SPACE + text.replace(" ", maxplus.SPACE)
-        parts = [(s[a : a + size + pieces.longest - 1], min(size, len(s) - a)) for a in range(0, len(s), size)]
-        product = pieces.matrix(*parts[0])
-        for part in parts[1:]:
-            product = maxplus.combine(product, pieces.matrix(*part))
-        whole = pieces.encode([text])[0]
-        assert product[0, 0] == pieces.paths(s, len(s))[0][-1] and total(whole) == pytest.approx(total(whole))
+        starts = [i for i in range(len(s)) if i == 0 or s[i] == maxplus.SPACE != s[i - 1]]
+        parts = [(s[a : a + size + pieces.longest - 1], min(size, len(s) - a), a - max(x for x in starts if x <= a)) for a in range(0, len(s), size)]
+        matrices = [pieces.matrix(*p) for p in parts]
+        product = matrices[0]
+        for m in matrices[1:]:
+            product = maxplus.combine(product, m)
+        best = sum(map(pieces.best, pieces.cut(text)))
+        assert (int(product[0, 0, 0]), int(product[1, 0, 0])) == (best >> maxplus.TIE_BITS, best & ((1 << maxplus.TIE_BITS) - 1))
+        # states as the levels find them
+        reach = [(np.where(np.arange(pieces.longest) == 0, 0, maxplus.LOW), np.zeros(pieces.longest, np.int64))]
+        for m in matrices:
+            reach.append(maxplus._greatest(reach[-1][0][:, None] + m[0], reach[-1][1][:, None] + m[1], 0))
+        states = [0]
+        for m, (score, ties) in zip(reversed(matrices), reversed(reach[:-1]), strict=True):
+            states.append(int(np.lexsort((ties + m[1][:, states[-1]], score + m[0][:, states[-1]]))[-1]))
+        states.reverse()
+        ids = b"".join(pieces.pieces(*p, a, b) for p, a, b in zip(parts, states[:-1], states[1:], strict=True))
+        assert ids == pieces.encode([text])[0], (text, size)
+
+
+@pytest.mark.parametrize("chunk", [7, 60])
+def test_scanned_texts_get_the_ids_of_whole_ones(spark, model, texts, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(maxplus, "FAN", 3)
+    raw = open(model, "rb").read()
+    at = raw.rindex(b"\x12\x06tok_v0\x18\x02")
+    (tmp_path / "m").write_bytes(raw[: at + 9] + b"\x01" + raw[at + 10 :])
+    rng = random.Random(chunk)
+    rows = [(i, "".join(rng.choice("aae ") for _ in range(rng.randrange(9, 200)))) for i in range(12)] + [(100 + i, t) for i, t in enumerate(texts[:25])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole, parts = ({r.doc_id: r.ids for r in maxplus.encode(frame, str(tmp_path / "m"), chunk=c).collect()} for c in (1 << 15, chunk))
+    assert whole == parts and len(whole) == len(rows)
 
 
 def test_encoding_round_trip(spark, docs, none, texts, model, monkeypatch):
@@ -331,12 +358,8 @@ def test_encoding_round_trip(spark, docs, none, texts, model, monkeypatch):
     whole = {(r.doc_id, r.text): r.ids for r in maxplus.encode(more, model).collect()}
     out = maxplus.decode(maxplus.encode(more, model, chunk=60), model)
     assert out.columns == [*docs.columns, "ids", "decoded"] and out.count() == more.count()
-    pieces = maxplus.Pieces(model)
-    score = {i: s for s, i in pieces.score.values()}
     for r in out.collect():
-        assert r.decoded == r.text, r.text
-        if r.text:
-            assert sum(score.get(i, 0.0) for i in r.ids) == sum(score.get(i, 0.0) for i in whole[r.doc_id, r.text])
+        assert r.decoded == r.text and r.ids == whole[r.doc_id, r.text], r.text
     assert maxplus.encode(none, model).count() == 0
 
 
