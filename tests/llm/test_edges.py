@@ -342,3 +342,28 @@ def test_null_and_repeated_pages(spark):
     assert got == [((False, 3), "response", None, 200), ((False, 4), "revisit", 3, 200), ((False, 4), "revisit", 3, 200), ((False, 9), "response", None, 0), ((True, 0), "response", None, 80_000), ((True, 0), "revisit", 3, 200)]
     ids = {warc.header(warc.record(1, "u", b"", "0", None, "d")[:-4].split(b"\r\n\r\n")[0])["WARC-Record-ID"] for _ in range(3)}
     assert len(ids) == 3
+
+
+# the pipeline
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    texts = [sentence(rng, 60) for _ in range(5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines string, n_words string, th string, n string, item_id string, label string"
+    more = ("a", "b", "c", "d", "e", "f", "g")
+    rows = [(i, t, "en", "s", len(t), *more) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None, *more), (7, None, None, None, None, *more), (7, "", "en", "s", 0, *more), (2, texts[2], "en", "s", len(texts[2]), *more)]
+    spark.createDataFrame([(1, " ".join(texts[4].split()[5:30])), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    want = {"quality rules": 7, "line dedup": 8, "n-gram Jaccard join": 7, "benchmark decontamination": 8, "SentencePiece encoding and decoding": 9}
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and out.schema[0].dataType == docs.schema[0].dataType
+        found = out.collect()
+        left[name] = len(found)
+        assert {tuple(r[5:12]) for r in found} == {more}, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert left == want
