@@ -2,7 +2,8 @@
 
 Each stage takes all rows that the one before it kept. Null texts count as empty and fail the quality rules, so later
 stages see none; a null doc_id is one like others, and documents with equal doc_id are told apart by their texts; rows
-with equal doc_id and text are one document, of which the third stage leaves one row; an empty table gives an empty table; columns besides doc_id, text, lang and n_chars pass through.
+with equal doc_id and text are one document, of which the third stage leaves one row; an empty table gives an empty table; columns besides doc_id, text, lang and n_chars pass through, whatever their names (but those that begin with two underscores
+are the operators' own).
 """
 
 from __future__ import annotations
@@ -18,22 +19,38 @@ from quadrille.llm.queries import tokenizer_file
 LONG_LINE = 50
 
 
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator reads, and each row as it came, so that no name clashes with what the operator adds."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("__row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rule and lie near their language; columns as they came."""
-    return divergence.judge(docs).where("kept").select(*docs.columns)
+    """Keeps the documents that pass the base rule and lie near their language, as they came.
+
+    Null and empty texts go, as they have no words; a null lang is a language of its own; repeated rows fare alike; texts of any length
+    are read whole; an empty table stays one; other columns, whatever their names, and null doc_ids pass through.
+    """
+    return divergence.judge(_whole(docs, "lang", "text")).where("kept").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later copies of repeated line runs, and of single lines of LONG_LINE words, out of texts; a document of which
-    nothing is left goes."""
-    cut = line_runs.line_dedup(docs, min_words=LONG_LINE).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
-    changed = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return cut.withColumns(changed).select(*docs.columns)
+    nothing is left goes; n_chars follows the text.
+
+    The first place by (doc_id, line) keeps its lines, null doc_ids come first; rows with equal doc_id and text are one document
+    and fare alike; null and empty texts have no lines and stay; other columns, whatever their names, pass through.
+    """
+    cut = line_runs.line_dedup(_whole(docs, "doc_id", "text"), min_words=LONG_LINE).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return cut.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of near duplicates (5-word shingles, 0.8) one row: that with the smallest doc_id, nulls
-    last, of those the smallest text hash, of equal ones the smallest as JSON. Texts without words stay."""
+    last, of those the smallest text hash, of equal rows the smallest as JSON.
+
+    Texts without words, null ones too, are near nothing and stay; texts of any length are compared whole; an empty table stays one; other
+    columns, whatever their names, pass through."""
     rows = jaccard.classes(docs).where("label is not null").groupBy("doc_id", "th", "label").agg(F.count("*").alias("n"))
     rows = written(rows)
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
@@ -50,12 +67,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item (0.8 of its 5-word shingles)."""
+    """Drops the documents that contain a benchmark item (0.8 of its 5-word shingles).
+
+    Null and wordless items and texts contain and match nothing; a document goes by its text whatever its doc_id, null too; an
+    empty benchmark drops nothing; other columns, whatever their names, pass through.
+    """
     return containment.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, the document's pieces."""
+    """Adds ids, the document's pieces; a column of that name is replaced.
+
+    A null text has null ids, an empty one none; equal texts have equal ids; texts of any length are encoded whole.
+    """
     return maxplus.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
