@@ -542,8 +542,24 @@ query("text_match", _HIT + f"list_has_all({_TOKENS}, ['reou', 'the'])")(_text("t
 query("text_phrase", _HIT + f"contains('|' || array_to_string({_TOKENS}, '|') || '|', '|of|the|')")(_text("text-phrase", "of the"))
 query("text_substring", _HIT + "contains(lower(text), 'tion. th')")(_text("text-substring", "tion. Th"))
 query("text_missing", _HIT + "false")(_text("text-match", "zzyzx quux"))
-query("text_stem")(_text("text-stem", "thes reou"))
-query("text_search")(_text("text-search", "the reou of", "score"))
+_STEMS = f"""with t as (select doc_id, text, {_TOKENS} as ws from documents), w as (select doc_id, unnest(ws) as w from t),
+d as (select distinct w from w union select unnest([{{needle}}])),
+a as (select w, case when length(w) > 4 and w like '%ies' then left(w, -3) || 'y' when w like '%sses' then left(w, -2) when length(w) > 3 and regexp_matches(w, '[^sui]s$') then left(w, -1) else w end as s from d),
+b as (select *, case when length(s) > 5 and s like '%ing' then left(s, -3) when length(s) > 4 and s like '%ed' then left(s, -2) when length(s) > 4 and s like '%ly' then null when length(s) > 4 and s like '%er' then left(s, -2)
+  when length(s) > 5 and s like '%est' then left(s, -3) end as base from a),
+st as (select w, case when length(s) > 4 and s like '%ied' then left(s, -3) || 'y' when base is null and length(s) > 4 and s like '%ly' then left(s, -2) when base is null or not regexp_matches(base, '[aeiou]') then s
+  when length(base) > 1 and right(base, 1) = left(right(base, 2), 1) and right(base, 1) not in ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') then left(base, -1)
+  when regexp_matches(base, '[^aeiou][aeiou][^aeiouwxy]$') then base || 'e' else base end as stem from b),
+n as (select unnest([{{needle}}]) as nw), ns as (select nw, stem as nstem from n join st on st.w = nw),
+k as (select w.doc_id, nw, count(*) filter (w.w = nw) as times, bool_or(st.stem = nstem) as rooted from w join st using (w), ns group by 1, 2),
+f as (select doc_id, bool_and(rooted) as every, sum(case when times > 0 then 100 when rooted then 60 else 0 end + 5 * least(3, times)) as points from k group by 1) """
+query("text_stem", _STEMS.replace("{needle}", "'thes', 'reou'") + "select 'documents:' || doc_id as doc from f where every")(_text("text-stem", "thes reou"))
+query(
+    "text_search",
+    _STEMS.replace("{needle}", "'the', 'reou', 'of'")
+    + """, x as (select doc_id, every, points, contains(lower(text), 'the reou of') as hit, lower(text) = 'the reou of' as same, contains('|' || array_to_string(ws, '|') || '|', '|the|reou|of|') as phrase, len(ws) as n from f join t using (doc_id))
+select 'documents:' || doc_id as doc, greatest(1, points + case when phrase then 250 else 0 end + case when hit then 80 else 0 end + case when same then 400 else 0 end - least(40, greatest(0, n - 3)))::bigint as score from x where hit or every""",
+)(_text("text-search", "the reou of", "score"))
 
 
 @query("text_needle_variable", f"select w as needle, count(*) as n from (select unnest(['la', 'und', 'with']) as w) n join documents d on list_contains({_TOKENS}, n.w) group by 1")
