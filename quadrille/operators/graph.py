@@ -83,11 +83,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str) -> DataFrame:
-    """df with rank_<column>: equal values share the mean of their places. Values are counted first, so ties don't gather."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    ranks = counts.select(column, (below + (F.col("__n") + 1) / 2).alias(f"rank_{column}"))
-    return df.join(ranks, column)
+    """df with rank_<column>: equal values share the mean of their places. Values are counted first, so ties don't gather; the
+    counts are sorted in ranges, and only a sum a range meets in one task."""
+    counts = df.groupBy(column).agg(F.count("*").alias("__n")).repartitionByRange(column)
+    counts = written(counts.withColumn("__range", F.spark_partition_id()))
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.groupBy("__range").agg(F.sum("__n").alias("__all")).withColumn("__before", F.sum("__all").over(upto) - F.col("__all"))
+    inside = Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.join(F.broadcast(sums), "__range").withColumn("__below", F.col("__before") + F.sum("__n").over(inside) - F.col("__n"))
+    return df.join(ranks.select(column, (F.col("__below") + (F.col("__n") + 1) / 2).alias(f"rank_{column}")), column)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -28,6 +28,8 @@ from .plan import TEXT, Builtin, Comparison, Plan, Relation, Rule, Var, heads, p
 MAX_ROUNDS = 10_000
 MAX_ROWS = 100_000
 MAX_PAGE_BYTES = 1 << 20
+#: So many needles are tried on every text.
+FEW_NEEDLES = 100
 NONNUMERIC = ":query-nonnumeric-aggregate"
 
 
@@ -145,6 +147,33 @@ def with_builtin(df: DataFrame, op: str, a: Column, b: Column, name: str) -> Dat
     return df.withColumn(name, F.when(r.isNotNull(), terms.integer(r)).otherwise(terms.floating(q))).drop("__i", "__j", "__x", "__y", "__r", "__q")
 
 
+def _grams(c: Column) -> Column:
+    """The three-character pieces of a lower-cased text, in order."""
+    low = F.lower(c)
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
+
+
+def _candidates(rows: DataFrame, wanted: DataFrame, relation: str) -> DataFrame:
+    """rows with each needle __n that they may match; the relation's test decides. One piece of a needle finds the rows that
+    have it: a word, a stem, or three characters; a few needles are rather tried on every row."""
+
+    def by(split: Callable[[Column], Column]) -> DataFrame:
+        pieces = wanted.withColumn("__w", F.get(split(F.col("__n")), F.lit(0))).where("__w <> ''")
+        return rows.withColumn("__w", F.explode(F.array_distinct(split(F.col("c2.s"))))).join(pieces, "__w").drop("__w")
+
+    if relation in ("text-match", "text-phrase"):
+        return by(text.tokens)
+    if relation == "text-stem":
+        return by(text.stems)
+    if at_most(wanted, FEW_NEEDLES):
+        return rows.crossJoin(F.broadcast(wanted))
+    short = F.length(F.lower("__n")) < 3  # of these there can't be many
+    found = rows.crossJoin(wanted.where(short))
+    wanted = wanted.where(~short)
+    found = found.unionAll(by(_grams))
+    return found if relation == "text-substring" else found.unionAll(by(text.stems)).distinct()
+
+
 def _text_literal(df: DataFrame | None, literal: Relation, source: Source) -> DataFrame:
     """A text relation: live propositions with a text, tested against a constant or bound needle."""
     t1, t2, needle, *rest = literal.args
@@ -156,12 +185,7 @@ def _text_literal(df: DataFrame | None, literal: Relation, source: Source) -> Da
             rows = rows.withColumn("__low", F.lower("c2.s")).where(F.forall(text.tokens(F.lit(needle)), lambda w: F.contains(F.col("__low"), w)))
     else:
         wanted = df.select(_v(needle.name).alias("__t")).where("__t.s is not null").distinct().withColumn("__n", F.col("__t.s"))
-        if literal.name in ("text-match", "text-phrase", "text-stem"):  # by an index of words: one needle word finds the rows, the test decides
-            split = text.stems if literal.name == "text-stem" else text.tokens
-            wanted = wanted.withColumn("__w", F.get(split(F.col("__n")), F.lit(0))).where("__w is not null")
-            rows = rows.withColumn("__w", F.explode(F.array_distinct(split(F.col("c2.s"))))).join(wanted, "__w").drop("__w")
-        else:
-            rows = rows.crossJoin(F.broadcast(wanted) if at_most(wanted, 10_000) else wanted)
+        rows = _candidates(rows, wanted, literal.name)
     if literal.name == "text-search":
         rows = rows.withColumn("__score", text.score(F.col("c2.s"), F.col("__n"))).where("__score > 0")
     else:

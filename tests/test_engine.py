@@ -106,6 +106,24 @@ def test_aggregates(spark):
         collected({"find": "o", "rules": base}, facts, spark, most=2)
 
 
+def test_many_needles_find_what_a_few_do(spark, monkeypatch):
+    from quadrille.plans import evaluate
+
+    texts = ["The quick brown fox", "foxes run and ran", "a", "ab Quick", "running late, quickly", "ÉCOLE du nord", ""]
+    needles = ["fox", "quick", "b", "ab", "run", "École", "brown fox", "n", "the quick", "zzz"]
+    facts = props(spark, [(f"d{i}", Keyword(":text"), t) for i, t in enumerate(texts)] + [(f"n{i}", Keyword(":needle"), n) for i, n in enumerate(needles)])
+    got = {}
+    for few in (100, 0):
+        monkeypatch.setattr(evaluate, "FEW_NEEDLES", few)
+        for relation, width in (("text-substring", 3), ("text-search", 4), ("text-phrase", 3)):
+            score = [v("s")] if width == 4 else []
+            body = [{"rel": "triple", "args": [v("q"), Keyword(":needle"), v("n")]}, {"rel": relation, "args": [v("d"), Keyword(":text"), v("n"), *score]}]
+            rows = sorted(map(repr, values(collected({"find": "o", "rules": [rule("o", [v("n"), v("d"), *score], *body)]}, facts, spark))))
+            assert got.setdefault(relation, rows) == rows and rows
+    plain = [repr((n, f"d{i}")) for n in needles for i, t in enumerate(texts) if n.lower() in t.lower()]
+    assert got["text-substring"] == sorted(plain)
+
+
 GOOD = rule("o", [v("x")], t(v("x"), 1, v("y")))
 BAD = {
     ":query-invalid-syntax": {"find": "o"},
