@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import strings, terms
 from ..functions.terms import Keyword
 from ..operators import claims, graph, history, profile, schema, write
-from ..sources.tables import Table, event_log, operations, read, tagged
+from ..sources.tables import Table, event_log, faults, operations, parse_markdown, read, tagged, to_markdown
 from .evaluate import Source, page, run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -774,6 +774,63 @@ def validate_spaces(spark, sf_dir):
     return found.select("space", F.col("t3.i").alias("part"), "rule")
 
 
+@query(
+    "admission",
+    """with p as (select *, 'part:' || p_partkey as part from part)
+select part, 'R1' as rule from p where p_size % 5 = 0 union all select part, 'R2' from p where p_size % 3 = 0 union all select part, 'R3' from p where p_size % 7 = 0 union all select part, 'R4' from p where p_size % 5 = 0""",
+)
+def admission(spark, sf_dir):
+    """What a commit of each proposition would violate: some have a number for a subject, no predicate, a triple for a value."""
+    p = read(spark, sf_dir, "part").select(tagged("part")(F.col("p_partkey")).alias("part"), "p_size")
+    size = terms.integer(F.col("p_size"))
+    t1 = F.when(F.col("p_size") % 3 == 0, size).otherwise(terms.string(F.col("part")))
+    t2 = F.when(F.col("p_size") % 7 == 0, terms.literal("")).otherwise(terms.literal(Keyword(":size")))
+    t3 = F.when(F.col("p_size") % 5 == 0, terms.triple(size, size, size)).otherwise(size)
+    return p.select("part", F.explode(profile.relational_errors(t1, t2, t3)).alias("rule"))
+
+
+@query(
+    "log_faults",
+    """select event_id + 1 as seq, 0 as ord, 'action' as fault from events where event_id % 50 = 0 union all select event_id + 1, 0, 'term' from events where event_id % 70 = 0
+union all select event_id + 1, 0, 'repeated' from events where event_id % 90 = 0 union all select event_id + 1, 2, 'gap' from events where event_id % 110 = 0 union all select 0 - event_id, 0, 'place' from events where event_id % 130 = 0""",
+)
+def log_faults(spark, sf_dir):
+    """The log of the events with broken actions, missing terms, repeated places, gaps and places before the first."""
+    log = event_log(spark, sf_dir).withColumn("e", F.col("seq") - 1)
+    log = log.withColumn("action", F.when(F.col("e") % 50 == 0, "other").otherwise(F.col("action"))).withColumn("t3", F.when(F.col("e") % 70 != 0, F.col("t3")))
+    good = F.lit("assert").alias("action"), "t1", "t2", F.col("t1").alias("t3")
+    more = log.where("e % 90 = 0").select("space", "seq", "ord", *good)
+    more = more.unionAll(log.where("e % 110 = 0").select("space", "seq", F.lit(2).alias("ord"), *good))
+    more = more.unionAll(log.where("e % 130 = 0").select("space", (-F.col("e")).alias("seq"), "ord", *good))
+    return faults(log.drop("e").unionByName(more)).select("seq", "ord", "fault")
+
+
+def _threads(spark, sf_dir) -> DataFrame:
+    """Nations as subjects of strings: a title in words, the region, and a body of two lines."""
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("@n"), F.col("n_nationkey").cast("string")).alias("t"), "n_name", F.concat(F.lit("@r"), F.col("n_regionkey").cast("string")).alias("r"))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), x.alias("v")) for k, x in (("title", F.concat(F.lit("the "), "n_name")), ("part_of", F.col("r")), ("code", F.col("n_name")), ("body", F.concat("n_name", F.lit("\n---\n"), "r")))))
+    return n.select(terms.string(F.col("t")).alias("t1"), F.explode(each).alias("x")).select("t1", terms.string(F.col("x.k")).alias("t2"), terms.string(F.col("x.v")).alias("t3"))
+
+
+@query(
+    "markdown_export",
+    """select '@n' || n_nationkey as subject, '@n' || n_nationkey || chr(10) || 'title  "the ' || n_name || '"' || chr(10) || 'part_of  @r' || n_regionkey || chr(10) || 'code  ' || case when n_name like '% %' then '"' || n_name || '"' else n_name end
+  || chr(10) || '---' || chr(10) || n_name || chr(10) || '---' || chr(10) || '@r' || n_regionkey as text from nation""",
+)
+def markdown_export(spark, sf_dir):
+    return to_markdown(_threads(spark, sf_dir))
+
+
+@query(
+    "markdown_import",
+    """select '@n' || n_nationkey as subject, unnest(['title', 'part_of', 'code', 'body']) as predicate, unnest(['the ' || n_name, '@r' || n_regionkey, n_name, n_name || chr(10) || '---' || chr(10) || '@r' || n_regionkey]) as value from nation""",
+)
+def markdown_import(spark, sf_dir):
+    """What the exported texts give when they are read again."""
+    back = parse_markdown(to_markdown(_threads(spark, sf_dir)).select(F.col("text").alias("value")))
+    return scalars(back, subject="t1.s", predicate="t2.s", value="t3.s")
+
+
 # claims
 
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import QueryError
 from ..functions import strings, terms
 
 LOG = f"space string, seq bigint, ord int, action string, t1 {terms.TERM}, t2 {terms.TERM}, t3 {terms.TERM}"
@@ -122,12 +123,17 @@ def _normalised(df: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """Propositions out of files: the first line that starts with @ is the subject, each line behind it "predicate value", up
+    """Propositions out of files, a subject each (parse_markdown)."""
+    return parse_markdown(spark.read.text(path, wholetext=True))
+
+
+def parse_markdown(texts: DataFrame) -> DataFrame:
+    """Propositions out of texts (value): the first line that starts with @ is the subject, each line behind it "predicate value", up
     to a line ---; what follows is the proposition (subject, "body", text). A value in quotes is unquoted.
 
-    Files without a subject give nothing; lines end at a line feed, a carriage return before it is no part of them.
+    Texts without a subject give nothing; lines end at a line feed, a carriage return before it is no part of them.
     """
-    files = spark.read.text(path, wholetext=True).select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
+    files = texts.select(F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("value"))
     parts = F.split("value", r"(?m)^[ \t]*---[ \t]*$\n?", 2)
     lines = F.transform(F.split(F.get(parts, F.lit(0)), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
     first = F.array_position(F.transform("lines", lambda x: F.startswith(x, F.lit("@"))), F.lit(True)).cast("int")
@@ -166,6 +172,32 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("line").rlike(fact)).select("file", *(value(part(k)).alias(f"t{k}") for k in (1, 2, 3)))
 
 
+def faults(ops: DataFrame) -> DataFrame:
+    """space, seq, ord, fault: what a log must not hold: action (neither assert nor retract), term (a part missing), place (no
+    place, or below seq 1 and ord 0), repeated (a place taken twice), gap (an ord whose predecessor in its frame is missing)."""
+    part = lambda t: F.col(t).isNull() | F.col(f"{t}.key").isNull() | F.col(f"{t}.kind").isNull()
+    own = F.array(
+        F.when(F.coalesce(~F.col("action").isin("assert", "retract"), F.lit(True)), F.lit("action")),
+        F.when(part("t1") | part("t2") | part("t3"), F.lit("term")),
+        F.when(F.col("space").isNull() | F.coalesce((F.col("seq") < 1) | (F.col("ord") < 0), F.lit(True)), F.lit("place")),
+    )
+    each = ops.select("space", "seq", "ord", F.explode(F.filter(own, lambda x: x.isNotNull())).alias("fault"))
+    frames = Window.partitionBy("space", "seq").orderBy("ord")
+    placed = ops.where("space is not null and seq is not null and ord is not null").groupBy("space", "seq", "ord").agg(F.count("*").alias("n"))
+    placed = placed.withColumn("before", F.lag("ord").over(frames))
+    wrong = F.array(F.when(F.col("n") > 1, F.lit("repeated")), F.when(F.col("ord") != F.coalesce(F.col("before") + 1, F.lit(0)), F.lit("gap")))
+    return each.unionByName(placed.select("space", "seq", "ord", F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("fault")))
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log's operations, if it has no faults."""
+    ops = read_log(spark, path)
+    found = faults(ops).limit(1).collect()
+    if found:
+        raise QueryError(":log-invalid", repr(found[0]))
+    return ops
+
+
 def append_log(ops: DataFrame, path: str) -> None:
     """Appends operations to a log's table, one partition folder a space."""
     ops.write.mode("append").partitionBy("space").parquet(path)
