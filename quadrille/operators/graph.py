@@ -177,6 +177,33 @@ def pull_pattern(live: DataFrame, roots: DataFrame, pattern: list, *, max_depth:
     return reduce(DataFrame.unionAll, out)
 
 
+# fixed values: how facts describe a program's nodes
+KIND, VALUE, SYMBOL, BINDING_HEADS = "kind", "v", "symbol", ("defn", "definline", "def-", "defonce", "defn-", "def")
+
+
+def symbols(facts: DataFrame) -> DataFrame:
+    """file, node, name: the nodes that are symbols, of facts (file, t1, t2, t3, texts) as tables.read_facts gives them."""
+    kinds = facts.where((F.col("t2") == KIND) & (F.col("t3") == SYMBOL)).select("file", F.col("t1").alias("node")).distinct()
+    values = facts.where(F.col("t2") == VALUE).select("file", F.col("t1").alias("node"), F.col("t3").alias("name"))
+    return values.join(kinds, ["file", "node"], "left_semi")
+
+
+def module_bindings(facts: DataFrame) -> DataFrame:
+    """file, node, name: what each file binds: nodes whose first child is a symbol that binds, by their second child's name."""
+    child = lambda field, to: facts.where(F.col("t2") == field).select("file", F.col("t1").alias("node"), F.col("t3").alias(to))
+    named = lambda to, name: symbols(facts).select("file", F.col("node").alias(to), F.col("name").alias(name))
+    heads = child("f0", "__h").join(named("__h", "__head").where(F.col("__head").isin(*BINDING_HEADS)), ["file", "__h"])
+    return heads.join(child("f1", "__c"), ["file", "node"]).join(named("__c", "name"), ["file", "__c"]).select("file", "node", "name").distinct()
+
+
+def rename_operations(facts: DataFrame, targets: DataFrame) -> DataFrame:
+    """file, action, t1, t2, t3: what gives the nodes of targets (file, node, new_name) their new names: each symbol's value
+    retracted and the new one asserted; nodes that are no symbols stay, and so do those that have the name."""
+    found = symbols(facts).join(targets.select("file", "node", "new_name").distinct(), ["file", "node"]).where("name <> new_name")
+    steps = F.array(*(F.struct(F.lit(action).alias("action"), F.col(c).alias("t3")) for action, c in (("retract", "name"), ("assert", "new_name"))))
+    return found.select("file", F.col("node").alias("t1"), F.explode(steps).alias("x")).select("file", "x.action", "t1", F.lit(VALUE).alias("t2"), "x.t3")
+
+
 def name_collisions(definitions: DataFrame) -> DataFrame:
     """name, n_files: names that more than one file defines, of definitions (file, name)."""
     return definitions.groupBy("name").agg(F.count_distinct("file").alias("n_files")).where("n_files > 1")

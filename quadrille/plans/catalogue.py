@@ -950,6 +950,31 @@ def collision_precision(spark, sf_dir):
     return graph.collision_precision(_definitions(spark, sf_dir), _calls(spark, sf_dir))
 
 
+def _program(spark, sf_dir) -> DataFrame:
+    """Parts as forms: a node with two children, the first defn or let, the second the part's name, most of them symbols."""
+    p = read(spark, sf_dir, "part")
+    k = F.col("p_partkey") * 3
+    node = lambda d: (k + d).cast("string")
+    rows = [(node(0), "f0", node(1)), (node(0), "f1", node(2)), (node(1), "kind", F.lit("symbol")), (node(1), "v", F.when(F.col("p_size") % 2 == 0, "defn").otherwise("let"))]
+    rows += [(node(2), "kind", F.when(F.col("p_size") % 3 == 0, "string").otherwise("symbol")), (node(2), "v", F.col("p_name"))]
+    each = F.array(*(F.struct(a.alias("t1"), F.lit(b).alias("t2"), c.alias("t3")) for a, b, c in rows))
+    return p.select(F.col("p_type").alias("file"), F.explode(each).alias("x")).select("file", "x.*")
+
+
+@query("module_bindings", "select p_type as file, (p_partkey * 3)::varchar as node, p_name as name from part where p_size % 2 = 0 and p_size % 3 <> 0")
+def module_bindings(spark, sf_dir):
+    return graph.module_bindings(_program(spark, sf_dir))
+
+
+@query("rename_operations", "select p_type as file, a as action, (p_partkey * 3 + 2)::varchar as node, case a when 'assert' then p_name || ' new' else p_name end as value from part, (values ('retract'), ('assert')) x(a) where p_size % 3 <> 0")
+def rename_operations(spark, sf_dir):
+    """Every second child renamed; those that are no symbols stay."""
+    facts = _program(spark, sf_dir)
+    values = facts.where((F.col("t2") == graph.VALUE) & ~F.col("t3").isin("defn", "let"))
+    targets = values.select("file", F.col("t1").alias("node"), F.concat("t3", F.lit(" new")).alias("new_name"))
+    return graph.rename_operations(facts, targets).select("file", "action", F.col("t1").alias("node"), F.col("t3").alias("value"))
+
+
 @query(
     "pull_pattern",
     """with c as (select 'customer:' || c_custkey as root, 'nation:' || c_nationkey as n, c_nationkey as k from customer)

@@ -280,6 +280,17 @@ def test_fact_streams(spark, tmp_path):
     assert sorted(map(tuple, tables.read_facts(spark, str(tmp_path)).collect())) == [("f.clj", "1", ":calls", "2"), ("f.clj", "1", ":name", 'a b"c'), ("g.clj", "3", ":name", "x")]
 
 
+def test_logs_with_faults_are_refused(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = Log(spark, path, "s")
+    log.commit([("assert", Triple("a", "p", 1)), ("retract", Triple("a", "p", 1))])
+    assert tables.load_log(spark, path).count() == 2
+    tables.append_log(tables.read_log(spark, path).where("ord = 1"), path)
+    with pytest.raises(QueryError, match="log-invalid"):
+        tables.load_log(spark, path)
+    assert tables.faults(tables.read_log(spark, path).limit(0)).count() == 0
+
+
 def test_string_helpers(spark):
     from quadrille.functions import strings
 
