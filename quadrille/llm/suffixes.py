@@ -40,9 +40,9 @@ from .shingles import mix, texts
 
 GRAM = 16
 #: Bytes searched for anchors at once; positions fit the low bits of a hash.
-BLOCK, LOW = 1 << 20, 22
+BLOCK, LOW = 1 << 18, 22
 #: Contexts in a run, samples that it gives, and contexts aimed at in a range.
-RUN, SAMPLES, RANGE = 60_000, 16, 100_000
+RUN, SAMPLES, RANGE = 30_000, 16, 100_000
 #: Bytes of the files of spans that may be broadcast.
 MAX_BROADCAST = 16 << 20
 
