@@ -14,7 +14,10 @@ anchors whose contexts, the bytes around them that their strings span, agree. An
 4. Neighbours in the merged order that share the guaranteed bytes are an LCP interval. In it, a string that begins o
    bytes before its anchor repeats if another context has the same o bytes before and length - o bytes behind. The
    LCPs with both neighbours bound o from below, so strings beyond that are never looked at. This comparison is of bytes.
-5. The strings found of an anchor all hold it, so what they cover is one span; the spans go back to their documents.
+5. Guaranteed bytes that occur HOT times or more would make one long interval. Their contexts go no range: each distinct context
+   of a run gives the 128-bit hashes of its strings, equal hashes are counted by Spark, and those that occur twice go back to
+   the contexts.
+6. The strings found of an anchor all hold it, so what they cover is one span; the spans go back to their documents.
 
 Defined results: matches never cross documents; a null or empty text, or one shorter than length, loses nothing; rows equal
 in doc_id and text count as two copies, both of which lose what they share; a null doc_id is one like others. Other columns
@@ -28,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ GRAM = 16
 BLOCK, LOW = 1 << 18, 22
 #: Contexts in a run, samples that it gives, and contexts aimed at in a range.
 RUN, SAMPLES, RANGE = 30_000, 16, 100_000
+#: Anchors with the same guaranteed bytes, from which on these are counted by hashes instead of merged.
+HOT = 50_000
 #: Bytes of the files of spans that may be broadcast.
 MAX_BROADCAST = 16 << 20
 
@@ -274,17 +280,52 @@ def covered(group: list[tuple[int, bytes, bytes, bool]], length: int) -> Iterato
 
 # the job
 
+_HASHED = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
+
+
+@lru_cache(maxsize=2)
+def _powers(length: int) -> np.ndarray:
+    """Powers of the two bases, the greatest first: weights of a string's bytes."""
+    out = np.ones((2, length), np.uint64)
+    for k, base in enumerate(_HASHED):
+        out[k, 1:] = base
+    return np.multiply.accumulate(out, axis=1)[:, ::-1].copy()
+
+
+def string_hashes(context: bytes, length: int) -> np.ndarray:
+    """Two hashes, a row each, of every string of `length` bytes in a context."""
+    data = mix(np.frombuffer(context, np.uint8).astype(np.uint64) + np.uint64(1))
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
+    return np.stack([mix((strings * w).sum(axis=1, dtype=np.uint64)) for w in _powers(length)])
+
+
+_RUNS = {"blob": "binary", "samples": "array<binary>", "n": "long", "doc_id": "long", "th": "long", "at": "array<long>", "contexts": "array<binary>", "context": "binary", "reach": "long", "h1": "array<long>", "h2": "array<long>"}
+_ARROW = {"binary": pa.binary(), "long": pa.int64(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+
+
+def _rows(size: int, /, **given) -> pa.RecordBatch:
+    """A batch of _RUNS; columns that aren't given are null."""
+    return pa.RecordBatch.from_pydict({c: pa.array(given[c], _ARROW[kind]) if c in given else pa.nulls(size, _ARROW[kind]) for c, kind in _RUNS.items()})
+
 
 def _runs(repeated: DataFrame, length: int) -> DataFrame:
-    """Rows of two kinds: runs (blob, samples), and members (doc_id, th, at, contexts)."""
+    """Rows of three kinds: runs (blob, samples, n), members (doc_id, th, at, contexts), and contexts of hot guaranteed bytes
+    (context, how often as n, the bytes before its anchor as reach, its strings' hashes h1 and h2)."""
 
-    def flush(held: dict) -> pa.RecordBatch:
+    def flush(held: Counter) -> pa.RecordBatch:
         entries = sorted((right, left, n > 1) for (right, left), n in held.items())
         step = max(1, len(entries) // SAMPLES)
-        return pa.RecordBatch.from_pydict({"blob": pa.array([front_coded(entries)], pa.binary()), "samples": pa.array([[e[0] for e in entries[step // 2 :: step]]], pa.list_(pa.binary())), "n": pa.array([len(entries)], pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "th": pa.nulls(1, pa.int64()), "at": pa.nulls(1, pa.list_(pa.int64())), "contexts": pa.nulls(1, pa.list_(pa.binary()))})
+        return _rows(1, blob=[front_coded(entries)], samples=[[e[0] for e in entries[step // 2 :: step]]], n=[len(entries)])
+
+    def flush_hot(held: Counter) -> Iterator[pa.RecordBatch]:
+        entries = list(held.items())
+        for a in range(0, len(entries), 500):
+            part = entries[a : a + 500]
+            hashes = [string_hashes(left + right, length).view(np.int64) for (right, left), _ in part]
+            yield _rows(len(part), context=[_context_id(*x) for x, _ in part], n=[n for _, n in part], reach=[len(left) for (_, left), _ in part], h1=[x[0] for x in hashes], h2=[x[1] for x in hashes])
 
     def run(batches):
-        held: Counter = Counter()
+        held, hot = Counter(), Counter()
         for batch in batches:
             for a in range(0, len(batch), 64):
                 rows = batch.slice(a, 64)
@@ -292,24 +333,35 @@ def _runs(repeated: DataFrame, length: int) -> DataFrame:
                 for doc_id, th, text, xs in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "th", "text", "xs")), strict=True):
                     raw, at, context = text.encode(), [], []
                     for x in xs:
-                        p, before, less = _unpack(x)
+                        p, before, less = _unpack(x if x >= 0 else -1 - x)
                         right, left = raw[p : p + length - less], raw[p - before : p]
-                        held[right, left] += 1
+                        (held if x >= 0 else hot)[right, left] += 1
                         at.append(p)
                         context.append(_context_id(right, left))
                     ids.append(doc_id)
                     ths.append(th)
                     ats.append(at)
                     contexts.append(context)
-                n = len(ids)
-                yield pa.RecordBatch.from_pydict({"blob": pa.nulls(n, pa.binary()), "samples": pa.nulls(n, pa.list_(pa.binary())), "n": pa.nulls(n, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "th": pa.array(ths, pa.int64()), "at": pa.array(ats, pa.list_(pa.int64())), "contexts": pa.array(contexts, pa.list_(pa.binary()))})
+                yield _rows(len(ids), doc_id=ids, th=ths, at=ats, contexts=contexts)
                 if len(held) >= RUN:
                     yield flush(held)
                     held.clear()
+                if len(hot) >= RUN:
+                    yield from flush_hot(hot)
+                    hot.clear()
         if held:
             yield flush(held)
+        yield from flush_hot(hot)
+
+    return repeated.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in _RUNS.items()))
+
 
-    return repeated.mapInArrow(run, "blob binary, samples array<binary>, n long, doc_id long, th long, at array<long>, contexts array<binary>")
+def _counted(hot: DataFrame, length: int) -> DataFrame:
+    """context, before, behind, as _repeats gives them, of the contexts of hot guaranteed bytes."""
+    each = hot.select("context", "n", "reach", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "x")).select("context", "n", "reach", "i", "x.h1", "x.h2")
+    twice = written(each.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select("h1", "h2"))
+    found = each.join(twice, ["h1", "h2"]).groupBy("context", "reach").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    return found.select("context", (F.col("reach") - F.col("first")).alias("before"), (F.col("last") + length - F.col("reach")).alias("behind"))
 
 
 def _splitters(runs: DataFrame, size: int) -> list[bytes]:
@@ -388,14 +440,18 @@ def repeated_spans(docs: DataFrame, *, length: int = 200) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     held = _positions(docs, length)
     # written, so that the join reads two plain exchanges and Spark can split a frequent hash
-    counts = written(held.groupBy("h").count().where("count > 1").select("h"))
-    again = held.join(counts, "h").groupBy("doc_id", "th").agg(F.collect_set("x").alias("xs"))
+    counts = written(held.groupBy("h").count().where("count > 1"))
+    # a negative number marks an anchor with hot guaranteed bytes
+    marked = held.join(counts, "h").select("doc_id", "th", F.when(F.col("count") >= HOT, -1 - F.col("x")).otherwise(F.col("x")).alias("x"))
+    again = marked.groupBy("doc_id", "th").agg(F.collect_set("x").alias("xs"))
     listed = again.withColumnsRenamed({"doc_id": "__doc", "th": "__th"})
     repeated = docs.join(listed, docs["doc_id"].eqNullSafe(listed["__doc"]) & (docs["th"] == listed["__th"])).select("doc_id", "th", "text", "xs")
     rows = written(_runs(repeated, length))
     runs = rows.where("blob is not null").select("blob", "samples", "n")
     pieces = _pieces(runs.repartition(max(1, min(runs.count(), 5000))), _splitters(runs, size), size)
-    found = written(_repeats(pieces, length))
+    hot = rows.where("h1 is not null")
+    found = _repeats(pieces, length)
+    found = written(found if hot.isEmpty() else found.union(_counted(hot, length)))
     members = rows.where("at is not null").select("doc_id", "th", F.explode(F.arrays_zip("at", "contexts")).alias("m")).select("doc_id", "th", "m.at", F.col("m.contexts").alias("context"))
     spans = members.join(found, "context").select("doc_id", "th", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("behind")).alias("b")).alias("span"))
     return _joined(spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")))

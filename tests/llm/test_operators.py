@@ -191,8 +191,9 @@ def test_containment(spark, docs, none, texts):
 # suffixes
 
 
-@pytest.mark.parametrize("length", [40, 60, 200])
-def test_suffix_dedup(docs, none, texts, length, monkeypatch):
+@pytest.mark.parametrize(("length", "hot"), [(40, 50_000), (60, 50_000), (200, 50_000), (60, 4), (200, 2)])
+def test_suffix_dedup(docs, none, texts, length, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     monkeypatch.setattr(suffixes, "RUN", 200)
     monkeypatch.setattr(suffixes, "RANGE", 100)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
