@@ -19,9 +19,15 @@ from quadrille.llm.queries import tokenizer_file
 LONG_LINE = 50
 
 
-def _whole(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns that an operator reads, and each row as it came, so that no name clashes with what the operator adds."""
-    return docs.select(*columns, F.struct(*docs.columns).alias("__row"))
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator reads, and the others as one, so that no name clashes with what the operator adds."""
+    others = [c for c in docs.columns if c not in columns]
+    return docs.select(*columns, *([F.struct(*others).alias("__others")] if others else []))
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of docs out of what an operator made of _packed(docs, *columns)."""
+    return df.select(*(F.col(c) if c in columns else F.col("__others")[c].alias(c) for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts go, as they have no words; a null lang is a language of its own; repeated rows fare alike; texts of any length
     are read whole; an empty table stays one; other columns, whatever their names, and null doc_ids pass through.
     """
-    return divergence.judge(_whole(docs, "lang", "text")).where("kept").select("__row.*")
+    read = ("lang", "text")
+    return _unpacked(divergence.judge(_packed(docs, *read)).where("kept"), docs, *read)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +47,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The first place by (doc_id, line) keeps its lines, null doc_ids come first; rows with equal doc_id and text are one document
     and fare alike; null and empty texts have no lines and stay; other columns, whatever their names, pass through.
     """
-    cut = line_runs.line_dedup(_whole(docs, "doc_id", "text"), min_words=LONG_LINE).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
-    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cut.select(*(new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
+    read = ("doc_id", "text")
+    cut = line_runs.line_dedup(_packed(docs, *read), min_words=LONG_LINE).where((F.col("n_removed") == 0) | (F.col("n_lines") > F.col("n_removed")))
+    out = _unpacked(cut, docs, *read)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
