@@ -237,7 +237,8 @@ def classes(docs: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, fo
     for k in range(2):
         keyed = able.select("cid", "rare", "n", "bits", F.col(f"key{k}").alias("key"))
         leaders = keyed.groupBy("key").agg(F.min_by(F.struct("cid", "n", "bits"), F.struct("rare", "cid")).alias("b"), F.count("*").alias("k")).where("k > 1")
-        leaders = leaders.select("key", F.col("b.cid").alias("b"), F.col("b.n").alias("m"), F.col("b.bits").alias("others"))
+        # written, so that the join reads a plain table: broadcast if it is small, else Spark can split a frequent key
+        leaders = written(leaders.select("key", F.col("b.cid").alias("b"), F.col("b.n").alias("m"), F.col("b.bits").alias("others")))
         pairs = keyed.join(leaders, "key").where((F.col("cid") != F.col("b")) & _fits(F.col("n"), F.col("m"), F.col("m"), num, den) & bound())
         pairs = pairs.select(F.col("cid").alias("a"), "b")
         near = pairs if near is None else near.union(pairs)
