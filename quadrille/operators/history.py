@@ -154,6 +154,16 @@ def from_frames(frames: DataFrame) -> DataFrame:
     return frames.select("space", "seq", F.inline("operations"))
 
 
+def receipts(ops: DataFrame) -> DataFrame:
+    """space, seq, ord, changed: whether each operation changed what is live; a retract that finds nothing doesn't."""
+    return folded(ops).select("space", "seq", "ord", ((F.col("action") == "assert") | F.col("target_seq").isNotNull()).alias("changed"))
+
+
+def status(ops: DataFrame) -> DataFrame:
+    """space, version, live: the last sequence and the number of live occurrences of each space."""
+    return folded(ops).groupBy("space").agg(F.max("seq").alias("version"), F.count_if("live").alias("live"))
+
+
 def withdrawable(ops: DataFrame, targets: DataFrame) -> DataFrame:
     """space, seq, ord, decision of targets (space, seq, ord): ok, or why that very occurrence can't be withdrawn. A retract
     takes the newest live equal proposition, so only that one can be."""

@@ -645,6 +645,22 @@ def staged_overlay(spark, sf_dir):
     return _plain(history.live_occurrences(history.staged(log, more)))
 
 
+@query("commit_receipts", _OPS.format(where="") + "select seq, action = 'assert' or target is not null as changed from f")
+def commit_receipts(spark, sf_dir):
+    return history.receipts(event_log(spark, sf_dir)).select("seq", "changed")
+
+
+@query("log_status", _OPS.format(where="") + "select 'events' as space, max(seq) as version, count(*) filter (live) as live from f")
+def log_status(spark, sf_dir):
+    return history.status(event_log(spark, sf_dir))
+
+
+@query("occurrence_page", "select event_id + 1 as seq, user_id as u, case when event_type = 'error' then 'retract' else 'assert' end as action from events where event_id + 1 > 300 order by seq limit 50")
+def occurrence_page(spark, sf_dir):
+    """The next 50 operations behind a place, whatever became of them."""
+    return history.page(event_log(spark, sf_dir), 50, (300, 0)).select("seq", F.col("t1.i").alias("u"), "action")
+
+
 @query(
     "withdraw_decisions",
     _OPS.format(where="") + """, t as (select u, k, max(seq) as top from f where live group by 1, 2)
