@@ -450,8 +450,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 200) -> DataFrame:
     runs = rows.where("blob is not null").select("blob", "samples", "n")
     pieces = _pieces(runs.repartition(max(1, min(runs.count(), 5000))), _splitters(runs, size), size)
     hot = rows.where("h1 is not null")
-    found = _repeats(pieces, length)
-    found = written(found if hot.isEmpty() else found.union(_counted(hot, length)))
+    found = written(_repeats(pieces, length))
+    if not hot.isEmpty():
+        found = found.union(written(_counted(hot, length)))
     members = rows.where("at is not null").select("doc_id", "th", F.explode(F.arrays_zip("at", "contexts")).alias("m")).select("doc_id", "th", "m.at", F.col("m.contexts").alias("context"))
     spans = members.join(found, "context").select("doc_id", "th", F.struct((F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("behind")).alias("b")).alias("span"))
     return _joined(spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")))
