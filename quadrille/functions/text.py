@@ -9,13 +9,13 @@ WORD, GAP = r"[\p{L}\p{Nd}]+", r"[^\p{L}\p{Nd}]+"
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-cased words in order, with repeats."""
-    return F.transform(F.array_remove(F.split(text, GAP), ""), F.lower)
+    """Lower-cased words in order, with repeats. Cut before they are lowered, which may add marks; the bar ends a word for lower, too."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, GAP, "|")), r"\|"), "")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words, each once, sorted."""
-    return F.array_sort(F.array_distinct(word_tokens(text)))
+    return F.sort_array(F.array_distinct(word_tokens(text)))
 
 
 def _verb_root(base: Column, word: Column) -> Column:
@@ -54,12 +54,12 @@ def english_stem(word: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    return F.array_distinct(F.transform(word_tokens(text), english_stem))
+    return F.array_distinct(F.transform(F.array_distinct(word_tokens(text)), english_stem))
 
 
 def match(text: Column, needle: Column) -> Column:
     """All words of the needle occur."""
-    return F.size(F.array_except(tokens(needle), tokens(text))) == 0
+    return F.size(F.array_except(word_tokens(needle), word_tokens(text))) == 0
 
 
 def phrase(text: Column, needle: Column) -> Column:

@@ -124,6 +124,24 @@ def test_many_needles_find_what_a_few_do(spark, monkeypatch):
     assert got["text-substring"] == sorted(plain)
 
 
+def test_variable_needles_shuffle_no_texts(spark, monkeypatch):
+    """Few needles: nothing but what is found is shuffled; many: words as hashes, so no join by a word has the texts."""
+    from quadrille.plans import evaluate
+
+    facts = props(spark, [("d1", Keyword(":text"), "la casa und la"), ("d2", Keyword(":text"), "With İx ΑΣ.Β"), ("q", Keyword(":needle"), "la"), ("q", Keyword(":needle"), "ΑΣ")])
+    body = [{"rel": "triple", "args": [v("q"), Keyword(":needle"), v("n")]}, {"rel": "text-match", "args": [v("d"), Keyword(":text"), v("n")]}]
+    rows = facts.toDF("c0", "c1", "c2")
+    wanted = spark.createDataFrame([("la",), ("ΑΣ",)], "__n string")
+    for few in (100, 0):
+        monkeypatch.setattr(evaluate, "FEW_NEEDLES", few)
+        found = evaluate._candidates(rows, wanted, "text-match")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" in plan and all("c2" not in line for line in plan.splitlines() if "Join" in line and "__w" in line)
+        assert ("rightHint=(strategy=broadcast)" in plan or "leftHint=(strategy=broadcast)" in plan) == (few > 0)
+        out = collected({"find": "o", "rules": [rule("o", [v("n"), v("d")], *body)]}, facts, spark)
+        assert sorted(values(out)) == [("la", "d1"), ("ΑΣ", "d2")]
+
+
 GOOD = rule("o", [v("x")], t(v("x"), 1, v("y")))
 BAD = {
     ":query-invalid-syntax": {"find": "o"},
