@@ -142,6 +142,27 @@ def test_variable_needles_shuffle_no_texts(spark, monkeypatch):
         assert sorted(values(out)) == [("la", "d1"), ("ΑΣ", "d2")]
 
 
+def _as_sql(spark, folder, name, *views):
+    """A query's rows and those of its SQL over the folder's tables."""
+    import duckdb
+
+    db = duckdb.connect()
+    for x in views:
+        db.execute(f"create view {x} as select * from '{folder}/{x}.parquet/*.parquet'")
+    return [tuple(r) for r in catalogue.queries()[name](spark, str(folder)).collect()], db.execute(catalogue.oracle_sql()[name]).fetchall()
+
+
+def test_ids_of_a_table_need_no_distinct(spark, tmp_path):
+    """theta_join's pairs aren't shuffled once more; a rule that drops an id keeps its distinct."""
+    part = spark.range(60).selectExpr("id as p_partkey", "'t' || id % 2 as p_type", "cast(id % 3 as int) as p_size", "cast(id % 7 as double) as p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got, wanted = _as_sql(spark, tmp_path, "theta_join", "part")
+    assert sorted(got) == sorted(wanted) and got
+    assert "Aggregate" not in catalogue.theta_join(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    sizes = {"find": "o", "rules": [rule("o", [v("s")], t(v("p"), Keyword(":p_size"), v("s")))]}
+    assert run(sizes, catalogue.facts(spark, str(tmp_path), "part.p_size"), spark).count() == 3
+
+
 GOOD = rule("o", [v("x")], t(v("x"), 1, v("y")))
 BAD = {
     ":query-invalid-syntax": {"find": "o"},
