@@ -1048,9 +1048,13 @@ def arith_overflow(spark, sf_dir):
 
 @query("page_ordered", "select 'part:' || p_partkey as part, p_size::bigint as size from part order by p_size desc, length('part:' || p_partkey)::varchar || ':part:' || p_partkey limit 40 offset 40")
 def page_ordered(spark, sf_dir):
-    """The second page of an ordered plan, behind the first one's cursor."""
-    plan = {"find": "out", "rules": [rule("out", [v("p"), v("s")], has(v("p"), "p_size", v("s")))], "order-by": [{"column": 1, "direction": "desc"}]}
-    source = facts(spark, sf_dir, "part.p_size")
+    """The second page of an ordered plan, behind the first one's cursor. Equal sizes stand by length and id, which the plan says:
+    a page's own last order has the length of the key first."""
+    part, name = read(spark, sf_dir, "part"), tagged("part")(F.col("p_partkey"))
+    place = F.concat(F.length(name).cast("string"), F.lit(":"), name)
+    source = Source.from_tables(Table(part.withColumn("place", place), name, ("p_size", "place"), unique=True))
+    order = [{"column": 1, "direction": "desc"}, {"column": 2, "direction": "asc"}]
+    plan = {"find": "out", "rules": [rule("out", [v("p"), v("s"), v("x")], has(v("p"), "p_size", v("s")), has(v("p"), "place", v("x")))], "order-by": order}
     _, cursor = page(plan, source, spark, 40)
     rows, _ = page(plan, source, spark, 40, cursor)
     return spark.createDataFrame([(r["c0"]["s"], r["c1"]["i"]) for r in rows], "part string, size long")

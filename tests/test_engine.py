@@ -163,6 +163,13 @@ def test_ids_of_a_table_need_no_distinct(spark, tmp_path):
     assert run(sizes, catalogue.facts(spark, str(tmp_path), "part.p_size"), spark).count() == 3
 
 
+def test_page_ordered_breaks_ties_as_its_sql(spark, tmp_path):
+    """Ids of one to five digits, all of one size."""
+    spark.range(9990, 10045).union(spark.range(0, 110)).selectExpr("id as p_partkey", "7 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got, wanted = _as_sql(spark, tmp_path, "page_ordered", "part")
+    assert got == wanted and len({len(x) for x, _ in got}) > 1
+
+
 GOOD = rule("o", [v("x")], t(v("x"), 1, v("y")))
 BAD = {
     ":query-invalid-syntax": {"find": "o"},
