@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def english_stem(word: Column) -> Column:
 
 
 def stems(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.array_distinct(word_tokens(text)), english_stem))
+    return stems_of(word_tokens(text))
 
 
 def match(text: Column, needle: Column) -> Column:
@@ -77,19 +79,56 @@ def stem(text: Column, needle: Column) -> Column:
     return F.size(F.array_except(stems(needle), stems(text))) == 0
 
 
+def beginning(stem: str) -> str:
+    """What every lower-cased word with this stem begins with, as far as it is ASCII: endings are cut from words, and one letter
+    may stand for them."""
+    return re.match("[a-z0-9]*", stem[:-1]).group()
+
+
+# fixed values: the other letters whose lower case begins with an ASCII letter
+_ALSO = {"i": "\u0130", "k": "\u212a"}
+
+
+def marked(text: Column, beginnings: list[str]) -> Column:
+    """The words of a text in order, as they stand, those without one of the beginnings as empty strings; one pass of a regular expression."""
+    letter = lambda x: f"[{x}{x.upper()}{_ALSO.get(x, '')}]"
+    some = "|".join("".join(map(letter, b)) for b in sorted(set(beginnings)))
+    return F.regexp_extract_all(text, F.lit(rf"((?:{some})[\p{{L}}\p{{Nd}}]*+)|[\p{{L}}\p{{Nd}}]++" if all(beginnings) else f"({WORD})"), F.lit(1))
+
+
+def fenced(marks: Column) -> Column:
+    """Words of marked as one lower-cased text, a bar before and behind each."""
+    return F.concat(F.lit("|"), F.lower(F.array_join(marks, "|")), F.lit("|"))
+
+
+def unfenced(bars: Column) -> Column:
+    return F.array_remove(F.split(bars, r"\|"), "")
+
+
+def stems_of(words: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_distinct(words), english_stem))
+
+
 def score(text: Column, needle: Column) -> Column:
     """At least 1 for a text that has the needle as a substring or all its stems, else 0.
 
     For each word of the needle 100 if it occurs, 60 if only its stem does, and 5 for each of up to three
     occurrences; 250 for the phrase, 80 for the substring, 400 for equality; less one for each further word, 40 at most.
     """
+    have = word_tokens(text)
+    return scored(F.lower(text), F.size(have), F.concat(F.lit("|"), F.array_join(have, "|"), F.lit("|")), have, stems(text), needle)
+
+
+def scored(text: Column, size: Column, bars: Column, have: Column, roots: Column, needle: Column) -> Column:
+    """The score of a lower-cased text by its number of words, and its words (fenced, and as a list) and stems: at least those that the needle's may equal."""
     low = F.lower(needle)
-    wanted, have, roots = word_tokens(low), word_tokens(text), stems(text)
+    wanted = word_tokens(low)
     times = lambda w: F.size(have) - F.size(F.array_remove(have, w))
     one = lambda w: F.when(F.array_contains(have, w), 100).when(F.array_contains(roots, english_stem(w)), 60).otherwise(0) + 5 * F.least(F.lit(3), times(w))
     words = F.aggregate(wanted, F.lit(0), lambda a, w: a + one(w))
-    hit = F.contains(F.lower(text), low)
-    raw = words + F.when((F.size(wanted) > 0) & phrase(text, low), 250).otherwise(0) + F.when(hit, 80).otherwise(0) + F.when(F.lower(text) == low, 400).otherwise(0)
-    spare = F.least(F.lit(40), F.greatest(F.lit(0), F.size(have) - F.size(wanted)))
-    found = hit | ((F.size(wanted) > 0) & stem(text, low))
+    hit = F.contains(text, low)
+    phrase = F.contains(bars, F.concat(F.lit("|"), F.array_join(wanted, "|"), F.lit("|")))
+    raw = words + F.when((F.size(wanted) > 0) & phrase, 250).otherwise(0) + F.when(hit, 80).otherwise(0) + F.when(text == low, 400).otherwise(0)
+    spare = F.least(F.lit(40), F.greatest(F.lit(0), size - F.size(wanted)))
+    found = hit | ((F.size(wanted) > 0) & (F.size(F.array_except(stems(low), roots)) == 0))
     return F.when(found, F.greatest(F.lit(1), raw - spare)).otherwise(0).cast("bigint")

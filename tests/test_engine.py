@@ -142,6 +142,21 @@ def test_variable_needles_shuffle_no_texts(spark, monkeypatch):
         assert sorted(values(out)) == [("la", "d1"), ("ΑΣ", "d2")]
 
 
+@pytest.mark.parametrize("relation,needle", [*((r, n) for r in ("text-stem", "text-search") for n in ("thes reou", "king's kings", "İs io", "école ΑΣ", "flies 42")), ("text-search", "...")])
+def test_constant_needles_stem_few_words(spark, relation, needle):
+    """As the plain expressions say; the words of a text are found once, by one pass."""
+    texts = ["The reou, the", "reous bathes", "the quick fox", "THE-quick\nfox foxes", "the quick and fox", "\u212aing's \u212aINGS", "is io İs IO", "École, ΑΣ.Β ας", "ΑΣ École", "fly 42 x", "flying 42s", "X", "", "...", "² it", "𝒜the reou", "kinged is"]
+    facts = props(spark, [(f"d{i}", Keyword(":text"), t) for i, t in enumerate(texts)])
+    more = [v("s")] if relation == "text-search" else []
+    plan = {"find": "o", "rules": [rule("o", [v("d"), *more], {"rel": relation, "args": [v("d"), Keyword(":text"), needle, *more]})]}
+    df = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "d string, t string")
+    want = df.where(text.stem(F.col("t"), F.lit(needle))).select("d") if not more else df.select("d", text.score(F.col("t"), F.lit(needle)).alias("s")).where("s > 0")
+    got = run(plan, Source(facts), spark)
+    assert sorted(values(got.collect())) == sorted(map(tuple, want.collect()))
+    if needle == "thes reou":
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def _as_sql(spark, folder, name, *views):
     """A query's rows and those of its SQL over the folder's tables."""
     import duckdb
