@@ -157,6 +157,26 @@ def test_constant_needles_stem_few_words(spark, relation, needle):
         assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
 
 
+def test_recursion_through_a_few_keys_broadcasts_them(spark, monkeypatch):
+    """Most rows meet a few hubs: the hubs' rows go to them, and a distinct part is dealt by its first column."""
+    from quadrille.plans import evaluate
+
+    edges = {(i, i % 3) for i in range(40)} | {(0, 1), (1, 2), (2, 7), (7, 8)}
+    facts = props(spark, [(a, EDGE, b) for a, b in sorted(edges)])
+    reach = lambda a, b: {"rel": "r", "args": [v(a), v(b)]}
+    rules = [rule("r", [v("a"), v("b")], t(v("a"), EDGE, v("b"))), rule("r", [v("a"), v("c")], reach("a", "b"), reach("b", "c"))]
+    want = set(edges)
+    while more := {(a, d) for a, b in want for c, d in want if b == c} - want:
+        want |= more
+    for few in (evaluate.FEW_KEYS, 0):
+        monkeypatch.setattr(evaluate, "FEW_KEYS", few)
+        assert sorted(values(collected({"find": "r", "rules": rules}, facts, spark))) == sorted(want)
+        step = parse({"find": "r", "rules": rules}).strata[0][1]
+        known = facts.select(F.col("t1").alias("c0"), F.col("t3").alias("c1"))
+        plan = evaluate.derived(step, lambda i, n: known, Source(facts), spark, looping=True)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (few > 0)
+
+
 def _as_sql(spark, folder, name, *views):
     """A query's rows and those of its SQL over the folder's tables."""
     import duckdb
