@@ -9,12 +9,14 @@ history meets in one task; it is as long as that proposition was toggled, not as
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import QueryError
 from ..functions import terms
+from ..sources.shared import written
 
 TX, ORDINAL = terms.Keyword(":kernel/tx-sequence"), terms.Keyword(":kernel/op-ordinal")
 
@@ -28,9 +30,19 @@ def coordinate(space: Column, seq: Column, ordinal: Column) -> Column:
     return terms.triple(terms.triple(terms.string(space), terms.literal(TX), terms.integer(seq)), terms.literal(ORDINAL), terms.integer(ordinal))
 
 
+#: Rows with long keys that a task sorts.
+TASK_ROWS = 200_000
+
+
+def _dealt(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """df dealt by columns so that a task has about TASK_ROWS; left to Spark if that takes no more tasks than there are cores."""
+    return df.repartition(-(-rows // TASK_ROWS), *by) if rows > TASK_ROWS * df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def folded(ops: DataFrame) -> DataFrame:
     """ops with live (asserts only), and target_seq, target_ord of each retract that withdraws something."""
     df = ops.withColumn("__p", terms.triple_key(F.col("t1.key"), F.col("t2.key"), F.col("t3.key")))
+    df = _dealt(df, ops.count(), "space", "__p")
     w = Window.partitionBy("space", "__p").orderBy("seq", "ord")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("__s", F.sum(F.when(F.col("action") == "assert", 1).otherwise(-1)).over(up))
@@ -186,14 +198,18 @@ def with_metadata(live: DataFrame) -> DataFrame:
     """Live occurrences with recorded_at and asserted_by (terms): the latest live statement about the occurrence's
     coordinate, else that about its transaction's."""
     names = {"recorded_at": RECORDED_AT, "asserted_by": ASSERTED_BY}
+    live = written(live)  # read three times
+    rows = live.count()
+    keys = {name: terms.literal(predicate)["key"] for name, predicate in names.items()}
+    latest = lambda key: F.max_by("t3", F.when(F.col("t2.key") == key, F.struct("seq", "ord")))
+    said = live.where(reduce(lambda a, b: a | b, (F.col("t2.key") == key for key in keys.values()))).withColumn("__of", F.col("t1.key"))
+    said = _dealt(said, rows, "__of").groupBy("__of").agg(*(latest(key).alias(name) for name, key in keys.items()))
     out = live.withColumn("__c", coordinate(F.col("space"), F.col("seq"), F.col("ord"))["key"])
     out = out.withColumn("__x", terms.triple(terms.string(F.col("space")), terms.literal(TX), terms.integer(F.col("seq")))["key"])
-    for name, predicate in names.items():
-        said = live.where(F.col("t2.key") == terms.literal(predicate)["key"]).groupBy(F.col("t1.key").alias("__of")).agg(F.max_by("t3", F.struct("seq", "ord")).alias("__v"))
-        by = lambda c, to: said.select(F.col("__of").alias(c), F.col("__v").alias(to))  # noqa: E731, B023
-        out = out.join(by("__c", "__own"), "__c", "left").join(by("__x", "__all"), "__x", "left")
-        out = out.withColumn(name, F.coalesce("__own", "__all")).drop("__own", "__all")
-    return out.select(*live.columns, *names)
+    for column, prefix in (("__c", "__own"), ("__x", "__all")):
+        by = said.select(F.col("__of").alias(column), *(F.col(name).alias(f"{prefix}_{name}") for name in names))
+        out = _dealt(out, rows, column).join(_dealt(by, rows, column), column, "left")
+    return out.select(*live.columns, *(F.coalesce(f"__own_{name}", f"__all_{name}").alias(name) for name in names))
 
 
 def selections(live: DataFrame, wanted: DataFrame) -> DataFrame:

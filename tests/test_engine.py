@@ -177,6 +177,18 @@ def test_recursion_through_a_few_keys_broadcasts_them(spark, monkeypatch):
         assert ("strategy=broadcast" in plan) == (few > 0)
 
 
+def test_metadata_over_many_tasks(spark, monkeypatch, tmp_path):
+    """A log is dealt over as many tasks as its rows need, with the same result."""
+    events = spark.range(60).selectExpr("id as event_id", "id % 4 as user_id", "case when id % 5 = 0 then 'error' else 'click' end as event_type", "concat('{\"k\": ', id % 3, '}') as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    for few in (history.TASK_ROWS, 3):
+        monkeypatch.setattr(history, "TASK_ROWS", few)
+        got, wanted = _as_sql(spark, tmp_path, "occurrence_metadata", "events")
+        assert sorted(got) == sorted(wanted) and got
+    plan = history.folded(tables.event_log(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count(", 20") >= 1
+
+
 def _as_sql(spark, folder, name, *views):
     """A query's rows and those of its SQL over the folder's tables."""
     import duckdb
