@@ -56,6 +56,8 @@ UNIGRAM, BPE = 1, 2
 UNIT, TIE_BITS = 1 << 24, 64
 #: Less than any score: of one path, as a Python number and in a matrix.
 NONE, LOW = -(1 << 130), -(1 << 61)
+#: What encode and decode add.
+_ADDED = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 _ties: list[int] = []
 
 
@@ -79,17 +81,13 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=model) if proto is None else sentencepiece.SentencePieceProcessor(model_proto=proto)
         n = sp.get_piece_size()
         self.score: dict[str, tuple[int, int]] = {}
-        self.byte, self.raw = [0] * 256, []
+        self.byte = [0] * 256
         for i in range(n):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[1:-1], 16)] = i
-                self.raw.append(bytes([int(piece[1:-1], 16)]))
-            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.raw.append(b"")
-            else:
+            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.score[piece] = (round(sp.get_score(i) * UNIT) << TIE_BITS, i)
-                self.raw.append(piece.encode())
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values()) - (10 * UNIT << TIE_BITS)
         self.begins = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
@@ -314,10 +312,19 @@ def pieces_of(model: str) -> Pieces | Merges:
     return Merges(model) if kind_of(model) == BPE else Pieces(model)
 
 
+def _raw(sp, i: int) -> bytes:
+    if sp.is_byte(i):
+        return bytes([int(sp.id_to_piece(i)[1:-1], 16)])
+    return b"" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i).encode()
+
+
 @lru_cache(maxsize=1)
 def raw_pieces(model: str) -> pa.Array:
     """The bytes of each piece, all that decoding needs."""
-    return pa.array(Pieces(model).raw, pa.large_binary())
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    return pa.array([_raw(sp, i) for i in range(sp.get_piece_size())], pa.large_binary())
 
 
 def _greatest(scores: np.ndarray, ties: np.ndarray, axis: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,17 +346,35 @@ def _lists(ids: list[bytes | None]) -> pa.Array:
     return out
 
 
-def _encode_whole(docs: DataFrame, model: str) -> DataFrame:
+def _decoded(lists: pa.Array, raw: pa.Array) -> pa.Array:
+    """The texts of lists of ids."""
+    space, out, at = SPACE.encode(), [], 0
+    taken = raw.take(lists.flatten())
+    _, ends, data = taken.buffers()
+    ends = np.frombuffer(ends, np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    data = memoryview(data) if data is not None else b""
+    for n in pc.list_value_length(lists).to_pylist():
+        if n is None:
+            out.append(None)
+            continue
+        text = bytes(data[ends[at] : ends[at + n]]).replace(space, b" ") if n else b""
+        out.append(text.removeprefix(b" ").decode(errors="replace"))
+        at += n
+    return pa.array(out, pa.string())
+
+
+def _encode_whole(docs: DataFrame, model: str, decoded: bool) -> DataFrame:
     def run(batches):
-        pieces = pieces_of(model)
+        pieces, raw = pieces_of(model), raw_pieces(model) if decoded else None
         for batch in batches:
             texts = batch.column("text")
             for a in range(0, len(texts), 512):
                 ids = _lists(pieces.encode(texts[a : a + 512].to_pylist()))
                 rows = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*rows.schema.names, "ids"])
+                more = [ids, _decoded(ids, raw)] if decoded else [ids]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*rows.schema.names, *_ADDED.names[: len(more)]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, *_ADDED.fields[: 1 + decoded]]))
 
 
 _CHUNK = "doc_id long, th long, c long, n long, lead long, s string"
@@ -463,10 +488,12 @@ def _encode_chunks(chunks: DataFrame, states: DataFrame, model: str) -> DataFram
     return chunks.join(states, ["doc_id", "th", "c"]).select("doc_id", "th", "c", "s", "n", "lead", "enter", "leave").mapInArrow(run, "doc_id long, th long, c long, ids array<int>")
 
 
-def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
-    """docs with ids; texts of more than `chunk` characters are encoded in chunks of about that size."""
-    docs = docs.drop("ids")
-    whole = _encode_whole(docs.where(F.col("text").isNull() | (F.length("text") <= chunk)), model)
+def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15, decoded: bool = False) -> DataFrame:
+    """docs with ids; texts of more than `chunk` characters are encoded in chunks of about that size.
+
+    decoded: with decoded, too, as decode gives it; other texts are encoded and decoded by one Python worker a task, not two."""
+    docs = docs.drop("ids", *(["decoded"] if decoded else []))
+    whole = _encode_whole(docs.where(F.col("text").isNull() | (F.length("text") <= chunk)), model, decoded)
     # chunks meet by (__key, hash), which are never null; which doc_id stands for a null one doesn't matter, equal texts have equal ids
     giants = docs.where(F.length("text") > chunk).withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))).withColumn("__th", F.xxhash64("text"))
     if giants.isEmpty():
@@ -476,7 +503,8 @@ def encode(docs: DataFrame, model: str, *, chunk: int = 1 << 15) -> DataFrame:
     ids = ids.groupBy("doc_id", "th").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
     ids = ids.withColumnsRenamed({"doc_id": "__doc", "th": "__h"})
     found = giants.join(ids, (giants["__key"] == ids["__doc"]) & (giants["__th"] == ids["__h"]))
-    return whole.unionByName(found.select(*docs.columns, "ids"))
+    found = found.select(*docs.columns, "ids")
+    return whole.unionByName(decode(found, model) if decoded else found)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -485,23 +513,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         raw = raw_pieces(model)
-        space = SPACE.encode()
         for batch in batches:
             for a in range(0, len(batch), 512):
                 rows = batch.slice(a, 512)
-                out = []
-                lists = rows.column("ids")
-                taken = raw.take(lists.flatten())
-                _, ends, data = taken.buffers()
-                ends, at = np.frombuffer(ends, np.int64)[taken.offset : taken.offset + len(taken) + 1], 0
-                data = memoryview(data) if data is not None else b""
-                for n in pc.list_value_length(lists).to_pylist():
-                    if n is None:
-                        out.append(None)
-                        continue
-                    text = bytes(data[ends[at] : ends[at + n]]).replace(space, b" ") if n else b""
-                    out.append(text.removeprefix(b" "))
-                    at += n
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([None if x is None else x.decode(errors="replace") for x in out], pa.string())], [*rows.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema, T.StructField("decoded", T.StringType())]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, _decoded(rows.column("ids"), raw)], [*rows.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema, _ADDED["decoded"]]))

@@ -24,8 +24,7 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_maxplus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece encoding of all documents, the model's own ids, and whether decoding gives the text back."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    out = maxplus.decode(maxplus.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    out = maxplus.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

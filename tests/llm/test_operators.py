@@ -364,6 +364,22 @@ def test_encoding_round_trip(spark, docs, none, texts, model, monkeypatch):
     assert maxplus.encode(none, model).count() == 0
 
 
+def test_encoding_and_decoding_share_a_worker(spark, docs, model, tmp_path):
+    """A task that encodes and decodes has one Python worker; the rows are those of encode and decode apart."""
+    from quadrille.llm.queries import op6_maxplus
+
+    rows = [(1, "two words"), (2, ""), (3, None), (None, "  x\u2581y "), (5, "z" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plan = op6_maxplus(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("decoded", F.lit(1))
+    for chunk in (60, 1 << 15):
+        apart = maxplus.decode(maxplus.encode(more, model, chunk=chunk), model)
+        once = maxplus.encode(more, model, chunk=chunk, decoded=True)
+        assert once.columns == ["doc_id", "text", "ids", "decoded"]
+        assert sorted(map(repr, once.collect())) == sorted(map(repr, apart.select(*once.columns).collect()))
+
+
 def test_ids_are_those_of_the_unmodified_model(spark, docs, texts, model):
     import sentencepiece
 
