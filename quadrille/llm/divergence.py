@@ -52,18 +52,24 @@ def _dup_lines(text: Column) -> Column:
 
 
 def _with_class_counts(df: DataFrame, name: str) -> DataFrame:
-    """Adds the counts of CLASSES in __text, one array of doubles. Each regular expression runs once a text."""
-    n = F.length("__text")
-    without = lambda p: n - F.length(F.regexp_replace("__text", p, ""))
-    df = df.withColumn("__parts", F.array(without(r"\p{Ll}+"), without(r"\p{Lu}+"), without("[0-9]+"), without(WHITE), without(r"[#*$%&|<>]+")))
-    rest = n - F.aggregate("__parts", F.lit(0), lambda a, x: a + x)
-    return df.withColumn(name, F.concat("__parts", F.array(rest)).cast("array<double>")).drop("__parts")
+    """Adds the counts of CLASSES in __text, one array of doubles.
+
+    The classes share no character, so each is taken out of what the ones before it left: only the first regular
+    expression reads the whole text, the second what isn't lower case, the others hardly anything.
+    """
+    left, counts = "__text", {}
+    for c, p in {"lower": r"\p{Ll}+", "space": WHITE, "upper": r"\p{Lu}+", "digit": "[0-9]+", "symbol": r"[#*$%&|<>]+"}.items():
+        df = df.withColumn(f"__no_{c}", F.regexp_replace(left, p, ""))
+        counts[c] = F.length(left) - F.length(f"__no_{c}")
+        left = f"__no_{c}"
+    df = df.withColumn(name, F.array(*((counts | {"other": F.length(left)})[c] for c in CLASSES)).cast("array<double>"))
+    return df.drop(*(f"__no_{c}" for c in counts))
 
 
 def _with_base(df: DataFrame) -> DataFrame:
     """Adds __text, __words, __classes (their counts) and the base columns; symbols and space are classes, counted once."""
-    df = df.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("text")))
-    df = _with_class_counts(_repeat_words(df).drop("__windows", "__sorted", "__at"), "__classes")
+    df = _with_class_counts(df.withColumn("__text", F.coalesce("text", F.lit(""))), "__classes")
+    df = _repeat_words(df.withColumn("__words", words(F.col("text")))).drop("__windows", "__sorted", "__at")
     count = lambda c: F.get("__classes", CLASSES.index(c)).cast("long")
     df = df.withColumn("n_words", F.size("__words").cast("long")).withColumn("word_chars", F.length("__text") - count("space"))
     df = df.withColumn("n_symbols", count("symbol")).withColumn("n_dup_lines", _dup_lines(F.col("__text")))
@@ -119,7 +125,8 @@ def judge(
     distances are null, and not held against a text, below min_words or min_language_words.
     """
     references = written(language_references(docs)) if references is None else references
-    ref = references.select("lang", F.struct("words", F.array_join("words", ",").alias("list"), "word_shares", "class_shares", "total").alias("__ref")).withColumnRenamed("lang", "__lang")
+    longest = F.array_max(F.transform("words", F.octet_length))
+    ref = references.select(F.col("lang").alias("__lang"), F.struct("words", F.array_join("words", ",").alias("list"), longest.alias("longest"), "word_shares", "class_shares", "total").alias("__ref"))
     if small_enough(ref, MAX_BROADCAST_LANGUAGES):
         ref = F.broadcast(ref)
     df = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
@@ -128,9 +135,11 @@ def judge(
     judged = (F.col("n_words") >= min_words) & (r["total"] >= min_language_words)
     df = _with_shares(df, "__classes")
     df = df.withColumn("class_distance", F.when(judged, jensen_shannon(F.col("__classes"), r["class_shares"])))
-    # each word as the letter of the common word that it is, the others dropped; then how often each letter occurs
-    letter = lambda w: F.substr(F.lit("." + LETTERS), F.find_in_set(w, r["list"]) + 1, F.lit(1))
-    df = df.withColumn("__which", F.when(judged, F.replace(F.array_join(F.transform("__words", letter), ""), F.lit("."), F.lit(""))))
+    # each common word as its letter, the others dropped, those longer than all common words without a search; then how
+    # often each letter occurs
+    letters = F.array(F.lit(None).cast("string"), *map(F.lit, LETTERS))
+    letter = lambda w: F.when(F.octet_length(w) <= r["longest"], F.get(letters, F.find_in_set(w, r["list"])))
+    df = df.withColumn("__which", F.when(judged, F.array_join(F.transform("__words", letter), "")))
     known = F.col("__which")
     counts = F.transform(r["words"], lambda w, i: (F.octet_length(known) - F.octet_length(F.replace(known, F.substr(F.lit(LETTERS), i + 1, F.lit(1)), F.lit("")))).cast("double"))
     df = df.withColumn("__counts", F.concat(counts, F.array((F.col("n_words") - F.octet_length(known)).cast("double"))))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -66,6 +67,37 @@ def test_distances_by_hand(spark):
         assert r.word_distance == pytest.approx(distance(np.append(p, len(words) - p.sum()) / len(words), np.array(ref.word_shares)), abs=1e-9)
 
 
+def test_classes_of_every_kind(spark):
+    """Counts by hand over characters of all classes, neighbours or apart, and only one regular expression reads whole texts."""
+    rng = random.Random(6)
+    kinds = ["aéßñжʰ", "AÉÑЖ", "0189", " \t\n\x0b\x0c\r", "#*$%&|<>", "-_.,١\u00a0\u2028ǅ中😀\u0301\x1cª"]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "".join(kinds), "a" * 99, " \n" * 50, "😀" * 9]
+    own = {"lower": lambda c: unicodedata.category(c) == "Ll", "upper": lambda c: unicodedata.category(c) == "Lu", "digit": "0123456789".__contains__}
+    own |= {"space": " \t\n\x0b\x0c\r".__contains__, "symbol": "#*$%&|<>".__contains__}
+    out = divergence._with_class_counts(spark.createDataFrame([(t,) for t in texts], "__text string"), "c")
+    assert out.columns == ["__text", "c"]
+    for r in out.collect():
+        each = [sum(map(own[c], r["__text"])) for c in divergence.CLASSES[:-1]]
+        assert r.c == [*each, len(r["__text"]) - sum(each)], r["__text"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 5 and plan.count("regexp_replace(__text#") == 1, plan
+
+
+def test_common_words_of_all_lengths(spark):
+    """Common words of several bytes a character, the longest one, longer words and words with commas."""
+    common = ["né", "жжжжж", "of", "中文"]
+    ref = spark.createDataFrame([("en", common, [0.2] * 5, [0.5, 0.1, 0.1, 0.1, 0.1, 0.1], 9999)], "lang string, words array<string>, word_shares array<double>, class_shares array<double>, total long")
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([*common, "жжжжжж", "né,of", "n", "offer", ",", "." * 11]) for _ in range(60)) for _ in range(12)]
+    out = divergence.judge(clashing(spark, texts), ref)
+    for r in out.collect():
+        p = np.array([r.text.split().count(w) for w in common], float) / 60
+        p, q = np.append(p, 1 - p.sum()), np.full(5, 0.2)
+        m = (p + q) / 2
+        expected = (sum(x * np.log2(x / y) for a in (p, q) for x, y in zip(a, m, strict=True) if x > 0) / 2) ** 0.5
+        assert r.word_distance == pytest.approx(expected, abs=1e-9)
+
+
 # line dedup
 
 
