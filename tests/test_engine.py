@@ -236,6 +236,39 @@ def test_ids_of_a_table_need_no_distinct(spark, tmp_path):
     assert run(sizes, catalogue.facts(spark, str(tmp_path), "part.p_size"), spark).count() == 3
 
 
+def test_theta_join_writes_few_bytes_a_pair(spark, tmp_path):
+    """720,000 pairs of keys that many rows share, the same as its SQL, few texts over and over in each file."""
+    import pathlib
+
+    part = spark.range(2400).selectExpr("id as p_partkey", "'t' || id % 2 as p_type", "cast(id % 4 as int) as p_size", "cast(id * 7919 % 2411 as double) as p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    catalogue.theta_join(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got, wanted = spark.read.parquet(f"{tmp_path}/out"), _as_sql(spark, tmp_path, "theta_join", "part")[1]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted) and len(wanted) > 700_000
+    assert sum(f.stat().st_size for f in pathlib.Path(f"{tmp_path}/out").glob("*.parquet")) < len(wanted)
+
+
+@pytest.mark.parametrize("op, key, turned", [("lt", True, False), ("le", False, False), ("gt", True, True), ("ge", True, False)])
+def test_comparisons_between_rows_hold_in_tiles(spark, monkeypatch, op, key, turned):
+    """Equal numbers, numbers as texts, values that are no number, nan, a second comparison, rows without a key in common."""
+    from quadrille.plans import evaluate
+
+    for name, n in (("MANY_MET", 1), ("TILE", 6), ("CHUNK", 2), ("SORTED_BY", 2)):
+        monkeypatch.setattr(evaluate, name, n)
+    df = spark.range(40).selectExpr("id", "id % 3 as k", "case when id % 11 = 5 then 'none' when id % 7 = 3 then null else cast(id % 9 - 4 as string) end as p", "case when id = 8 then double('nan') else id % 5 end as q")
+    source = Source.from_tables(tables.Table(df, tables.tagged("x")(F.col("id")), ("id", "k", "p", "q"), unique=True))
+    has = lambda *columns: [t(v(x), Keyword(f":{c}"), v(y)) for x, c, y in columns]
+    a, b = has(("a", "id", "i"), ("a", "p", "p")), has(("b", "q", "q"), ("b", "id", "j"))
+    if key:
+        a, b = a + has(("a", "k", "k")), b + has(("b", "k", "k"))
+    body = [*(b + a if turned else a + b), {"pred": op, "args": [v("p"), v("q")]}, {"pred": "ne", "args": [v("i"), v("j")]}]
+    sign = {"lt": "<", "le": "<=", "gt": ">", "ge": ">="}[op]
+    df.createOrReplaceTempView("tiled")
+    wanted = spark.sql(f"select concat('x:', a.id), concat('x:', b.id) from tiled a join tiled b on a.id <> b.id and try_cast(a.p as double) {sign} b.q" + key * " and a.k = b.k").collect()
+    for head, want in (([v("a"), v("b")], list(map(tuple, wanted))), ([v("a")], {(x,) for x, _ in wanted}), ([1], [(1,)])):
+        assert sorted(values(run({"find": "o", "rules": [rule("o", head, *body)]}, source, spark).collect())) == sorted(want) and want
+
+
 def test_page_ordered_breaks_ties_as_its_sql(spark, tmp_path):
     """Ids of one to five digits, all of one size."""
     spark.range(9990, 10045).union(spark.range(0, 110)).selectExpr("id as p_partkey", "7 as p_size").write.parquet(f"{tmp_path}/part.parquet")
